@@ -95,12 +95,14 @@ def ignored(rel_path: Column | str, rules: list[str]) -> Column:
         glob = (rule[1:] if negated else rule).strip("/")
         if not glob:
             continue
-        rx = paths.glob_regex(glob)
-        hit = F.exists(candidates, lambda c, rx=rx: c.rlike(rx))
-        verdict = F.when(hit, F.lit(not negated)).otherwise(verdict)
+        verdict = F.when(_any_matches(candidates, paths.glob_regex(glob)), F.lit(not negated)).otherwise(verdict)
     return verdict
 
 
+def _any_matches(candidates: Column, regex: str) -> Column:
+    return F.exists(candidates, lambda c: c.rlike(regex))
+
+
 # --- corpus summaries ----------------------------------------------------------
 
 

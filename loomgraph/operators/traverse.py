@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,22 +27,33 @@ def incident(edges: DataFrame, directed: bool = False) -> DataFrame:
 # --- lookup -------------------------------------------------------------------
 
 
-def match_rank(name: str, plain: bool = False) -> Column:
+def folded(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``norm_label``, the folded label every lookup compares.
+
+    A stored graph carries the column, so folding happens once, at build time.
+    """
+    if "norm_label" in nodes.columns:
+        return nodes
+    return nodes.withColumn("norm_label", text.query_norm("label"))
+
+
+def _fold_name(name: str) -> tuple[str, str, str]:
+    plain = name.rstrip("/\\")
+    low = unicodedata.normalize("NFC", plain).casefold()
+    return plain, low, low[:-2] if low.endswith("()") else low
+
+
+def match_rank(name: str) -> Column:
     """0 exact id, 1 label, 2 label without call brackets, 3 part of the label; null otherwise."""
-    q = F.rtrim(F.lit(name), F.lit("/\\"))
-    qn, qb = text.query_norm(q, plain), text.bare(q, plain)
-    label, short = text.query_norm("label", plain), text.bare("label", plain)
-    return (
-        F.when(F.col("id") == q, 0)
-        .when(label == qn, 1)
-        .when(short == qb, 2)
-        .when((qb != "") & short.contains(qb), 3)
-    )
+    q, full, short = _fold_name(name)
+    bare = text.strip_call(F.col("norm_label"))
+    rank = F.when(F.col("id") == q, 0).when(F.col("norm_label") == full, 1).when(bare == short, 2)
+    return rank.when(F.contains(bare, F.lit(short)), 3) if short else rank
 
 
-def find_node(nodes: DataFrame, name: str, plain: bool = False) -> DataFrame:
+def find_node(nodes: DataFrame, name: str) -> DataFrame:
     """At most one row (id, match): the best match, ties in node order."""
-    ranked = nodes.select("id", "label", "ord").withColumn("match", match_rank(name, plain)).where(F.col("match").isNotNull())
+    ranked = folded(nodes).select("id", "ord", match_rank(name).alias("match")).where(F.col("match").isNotNull())
     best = ranked.agg(F.min_by(F.struct("id", "match"), F.struct("match", "ord")).alias("hit"))
     return best.where(F.col("hit").isNotNull()).select("hit.id", "hit.match")
 
@@ -53,26 +66,33 @@ def resolve_name(nodes: DataFrame, name: str) -> str | None:
 # --- question search -----------------------------------------------------------
 
 
-def question_scores(nodes: DataFrame, question: str, plain: bool = False) -> DataFrame:
-    """(id, label, score, ord) of nodes the question's words touch."""
-    tokens = text.question_tokens(F.lit(question))
-    label, short = text.query_norm("label", plain), text.bare("label", plain)
-    points = F.aggregate(
-        tokens,
-        F.lit(0.0),
-        lambda acc, t: acc
-        + F.when((F.col("n_label") == t) | (F.col("n_bare") == t), fixed.EXACT_HIT)
-        .when(F.contains(F.col("n_bare"), t), fixed.PARTIAL_HIT)
-        .otherwise(0.0),
-    )
+def question_scores(nodes: DataFrame, question: str) -> DataFrame:
+    """(id, label, score, ord) of nodes the question's words touch.
+
+    The words are few and known, so they are constants of the scan and rows
+    that match none are filtered before scoring.
+    """
+    bare = text.strip_call(F.col("norm_label"))
+    points, touched = F.lit(0.0), F.lit(False)
+    for word in question_words(question):
+        part = F.contains(F.col("n_bare"), F.lit(word))
+        exact = (F.col("norm_label") == word) | (F.col("n_bare") == word)
+        points = points + F.when(exact, fixed.EXACT_HIT).when(part, fixed.PARTIAL_HIT).otherwise(0.0)
+        touched = touched | part | (F.col("norm_label") == word)
     return (
-        nodes.select("id", "label", "ord", label.alias("n_label"), short.alias("n_bare"))
-        .withColumn("score", points)
-        .where(F.col("score") > 0)
-        .select("id", "label", "score", "ord")
+        folded(nodes)
+        .select("id", "label", "ord", "norm_label", bare.alias("n_bare"))
+        .where(touched)
+        .select("id", "label", points.alias("score"), "ord")
     )
 
 
+def question_words(question: str) -> list[str]:
+    """Driver-side twin of ``text.question_tokens`` for a question typed by a user."""
+    words = (w.lower() for w in re.findall(r"[a-zA-Z_][a-zA-Z0-9_]+", question))
+    return [w for w in words if w not in fixed.QUESTION_STOP_WORDS]
+
+
 @dataclass
 class Subgraph:
     """The part of the graph a question is about."""
@@ -100,9 +120,9 @@ class Subgraph:
         return self.nodes.count() >= self.budget
 
 
-def direct_hits(nodes: DataFrame, question: str, budget: int = fixed.QUERY_BUDGET, plain: bool = False) -> DataFrame:
+def direct_hits(nodes: DataFrame, question: str, budget: int = fixed.QUERY_BUDGET) -> DataFrame:
     """Best third of the budget, with its position as ``rank``."""
-    top = question_scores(nodes, question, plain).orderBy(F.desc("score"), "ord").limit(budget // 3)
+    top = question_scores(nodes, question).orderBy(F.desc("score"), "ord").limit(budget // 3)
     order = F.transform(
         F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "ord", "id", "label", "score"))),
         lambda x, i: F.struct(i.alias("rank"), x["id"].alias("id"), x["label"].alias("label"), x["score"].alias("score")),
@@ -110,12 +130,12 @@ def direct_hits(nodes: DataFrame, question: str, budget: int = fixed.QUERY_BUDGE
     return top.agg(F.inline(order))
 
 
-def question_nodes(nodes: DataFrame, edges: DataFrame, question: str, budget: int = fixed.QUERY_BUDGET, plain: bool = False) -> tuple[DataFrame, DataFrame]:
+def question_nodes(nodes: DataFrame, edges: DataFrame, question: str, budget: int = fixed.QUERY_BUDGET) -> tuple[DataFrame, DataFrame]:
     """(hits, subgraph ids): hits plus neighbours, in hit order, until the budget is spent.
 
     A neighbour that is itself a hit still uses up budget.
     """
-    hits = cut(direct_hits(nodes, question, budget, plain))
+    hits = cut(direct_hits(nodes, question, budget))
     n_hits = hits.count()
     near = (
         incident(edges)
@@ -133,8 +153,8 @@ def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def query(nodes: DataFrame, edges: DataFrame, question: str, budget: int = fixed.QUERY_BUDGET, plain: bool = False) -> Subgraph:
-    hits, ids = question_nodes(nodes, edges, question, budget, plain)
+def query(nodes: DataFrame, edges: DataFrame, question: str, budget: int = fixed.QUERY_BUDGET) -> Subgraph:
+    hits, ids = question_nodes(nodes, edges, question, budget)
     return Subgraph(nodes.join(F.broadcast(ids), "id", "left_semi"), induced(edges, F.broadcast(ids)), hits, budget)
 
 

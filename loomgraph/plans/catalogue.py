@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from loomgraph.plans import (  # noqa: F401
+    assembly_queries,
     graph_queries,
     text_queries,
 )

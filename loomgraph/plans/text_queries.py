@@ -31,7 +31,7 @@ def normalize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", ids.normalize_id("text").alias("norm"))
 
 
-_PARENT = "list_filter(string_split(path, '/'), x -> x <> '')[-2]"
+_PARENT = "list_filter(string_split(path, '/'), lambda x: x <> '')[-2]"
 _BASE = "regexp_replace(path, '^.*/', '')"
 _SUFFIX_RAW = "regexp_extract({0}, '^.+(\\.[^.]+)$', 1)"
 
@@ -67,7 +67,7 @@ def fragment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "module_stems",
-    "SELECT page_id, list_filter(string_split(regexp_extract(url, '://([^/]+)', 1), '.'), x -> TRUE)[-1] AS stem FROM pages",
+    "SELECT page_id, list_filter(string_split(regexp_extract(url, '://([^/]+)', 1), '.'), lambda x: TRUE)[-1] AS stem FROM pages",
 )
 def module_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", ids.module_stem(F.parse_url("url", F.lit("HOST"))).alias("stem"))
@@ -76,7 +76,7 @@ def module_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "path_parts",
     f"""WITH p AS (SELECT page_id, url, rtrim(url, '/') AS path FROM pages),
-    q AS (SELECT page_id, {_BASE} AS base, list_filter(string_split(url, '/'), x -> x <> '') AS parts FROM p)
+    q AS (SELECT page_id, {_BASE} AS base, list_filter(string_split(url, '/'), lambda x: x <> '') AS parts FROM p)
     SELECT page_id, base, {_SUFFIX_RAW.format('base')} AS suffix,
     left(base, length(base) - length({_SUFFIX_RAW.format('base')})) AS stem, parts[-2] AS parent FROM q""",
 )
@@ -152,7 +152,7 @@ def file_type_synonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.file_type(F.expr(_RAW_TYPE)).alias("file_type"))
 
 
-_TITLE = "array_to_string(list_transform(string_split({0}, ' '), w -> upper(w[1]) || lower(w[2:])), ' ')"
+_TITLE = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
 
 @query("title_labels", f"WITH {STAR_SQL} SELECT id, {_TITLE.format('trim(replace(id, chr(95), chr(32)))')} AS label FROM nodes")
@@ -194,8 +194,8 @@ def short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "question_tokens",
-    f"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]+'), w -> lower(w)),
-    w -> w NOT IN ({_list(fixed.QUESTION_STOP_WORDS)})), ' ') AS tokens FROM documents""",
+    f"""SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(text, '[a-zA-Z_][a-zA-Z0-9_]+'), lambda w: lower(w)),
+    lambda w: w NOT IN ({_list(fixed.QUESTION_STOP_WORDS)})), ' ') AS tokens FROM documents""",
 )
 def question_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.question_tokens("text"), " ").alias("tokens"))
@@ -206,12 +206,12 @@ _RAW_SCORE = "CASE event_type WHEN 'error' THEN props WHEN 'view' THEN NULL ELSE
 
 @query(
     "score_clamp",
-    f"""SELECT event_id, round_even(least(1.0, greatest(0.0, coalesce(TRY_CAST(s AS DOUBLE), 0.75))), 2) AS score
+    f"""SELECT event_id, least(1.0, greatest(0.0, coalesce(TRY_CAST(s AS DOUBLE), 0.75))) AS score
     FROM (SELECT event_id, {_RAW_SCORE} AS s FROM events)""",
 )
 def score_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.expr(_RAW_SCORE.replace("VARCHAR(30)", "STRING"))
-    return table(spark, sf_dir, "events").select("event_id", F.bround(text.clamp_score(raw), 2).alias("score"))
+    return table(spark, sf_dir, "events").select("event_id", text.clamp_score(raw).alias("score"))
 
 
 @query(
@@ -300,7 +300,7 @@ def ignore_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), classify.parse_ignore_line("raw").alias("pattern"))
 
 
-_WORDS = "len(list_filter(regexp_split_to_array({0}, '\\s+'), w -> w <> ''))"
+_WORDS = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> ''))"
 
 
 @query("word_counts", f"SELECT doc_id, CAST({_WORDS.format('text')} AS BIGINT) AS words FROM documents")

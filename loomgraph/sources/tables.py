@@ -27,6 +27,7 @@ def _node(kind: str, rank: int, key: str, label: Column, file_type: str, source_
         F.lit(source_file).alias("source_file"),
         F.concat(F.lit("L"), F.col(key) + 1).alias("source_location"),
         (F.lit(rank * KIND_STRIDE) + F.col(key)).cast("long").alias("ord"),
+        F.lower(label).alias("norm_label"),
     ]
 
 
@@ -215,3 +216,113 @@ trade AS (
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY l_suppkey, c_nationkey
 )
 """
+
+
+# --- fragments: orders as files, their lines as node and edge records ---------------
+
+
+def _line_keys() -> list[Column]:
+    pos = F.col("l_linenumber").cast("long") * KIND_STRIDE + F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")
+    return [F.format_string("order/%012d", F.col("l_orderkey")).alias("fragment_key"), pos.alias("pos")]
+
+
+LINE_KEYS_SQL = (
+    "printf('order/%012d', l_orderkey) AS fragment_key, "
+    "CAST(l_linenumber AS BIGINT) * 1000000000000 + l_partkey * 1000000 + l_suppkey AS pos"
+)
+
+
+def supplier_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item mentions its supplier; some mentions carry a place or a kind."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.concat(F.lit("supplier_"), "l_suppkey").alias("id"),
+        F.when(F.col("l_linenumber") == 7, "").otherwise(F.concat(F.lit("s"), "l_suppkey", F.lit(" "), "l_returnflag")).alias("label"),
+        F.when(F.col("l_tax") > 0.06, "tool").when(F.col("l_tax") > 0.03, " Note").otherwise("document").alias("file_type"),
+        F.concat(F.lit("orders/"), "l_orderkey").alias("source_file"),
+        F.when((F.col("l_discount") > 0.09) & (F.col("l_quantity") > 48), F.concat(F.lit("L"), "l_linenumber")).alias("source_location"),
+        F.when((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 49), F.concat(F.lit("k"), "l_returnflag", "l_linenumber")).alias("kind"),
+        F.when(F.col("l_quantity") < 2, F.concat(F.lit("sum "), "l_orderkey")).alias("summary"),
+        *_line_keys(),
+    )
+
+
+SUPPLIER_RECORDS_SQL = f"""records AS (SELECT 'supplier_' || l_suppkey AS id,
+  CASE WHEN l_linenumber = 7 THEN '' ELSE 's' || l_suppkey || ' ' || l_returnflag END AS label,
+  CASE WHEN l_tax > 0.06 THEN 'code' WHEN l_tax > 0.03 THEN 'rationale' ELSE 'document' END AS file_type,
+  'orders/' || l_orderkey AS source_file,
+  CASE WHEN l_discount > 0.09 AND l_quantity > 48 THEN 'L' || l_linenumber END AS source_location,
+  CASE WHEN l_linestatus = 'F' AND l_quantity > 49 THEN 'k' || l_returnflag || l_linenumber END AS kind,
+  CASE WHEN l_quantity < 2 THEN 'sum ' || l_orderkey END AS summary, {LINE_KEYS_SQL} FROM lineitem)"""
+
+
+def trade_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line item states one edge between its supplier and the customer's nation."""
+    o, li, c = (table(spark, sf_dir, x) for x in ("orders", "lineitem", "customer"))
+    home = o.join(c.select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    rows = li.join(home.select(F.col("o_orderkey").alias("l_orderkey"), "c_nationkey"), "l_orderkey")
+    a, b = F.concat(F.lit("supplier_"), "l_suppkey"), F.concat(F.lit("nation_"), "c_nationkey")
+    flip = F.col("l_linenumber") % 2 == 1
+    confidence = F.when(F.col("l_discount") > 0.09, "AMBIGUOUS").when((F.col("l_linestatus") == "F") & (F.col("l_quantity") > 45), "EXTRACTED").otherwise("INFERRED")
+    return rows.select(
+        F.when(flip, b).otherwise(a).alias("source"),
+        F.when(flip, a).otherwise(b).alias("target"),
+        F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "references").otherwise("imports").alias("relation"),
+        confidence.alias("confidence"),
+        F.when(confidence == "INFERRED", F.col("l_discount")).alias("confidence_score"),
+        F.concat(F.lit("orders/"), "l_orderkey").alias("source_file"),
+        F.concat(F.lit("L"), "l_linenumber").alias("source_location"),
+        F.col("l_quantity").alias("weight"),
+        *_line_keys(),
+    )
+
+
+TRADE_RECORDS_SQL = f"""records AS (SELECT
+  CASE WHEN l_linenumber % 2 = 1 THEN 'nation_' || c_nationkey ELSE 'supplier_' || l_suppkey END AS source,
+  CASE WHEN l_linenumber % 2 = 1 THEN 'supplier_' || l_suppkey ELSE 'nation_' || c_nationkey END AS target,
+  CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'references' ELSE 'imports' END AS relation,
+  CASE WHEN l_discount > 0.09 THEN 'AMBIGUOUS' WHEN l_linestatus = 'F' AND l_quantity > 45 THEN 'EXTRACTED' ELSE 'INFERRED' END AS confidence,
+  CASE WHEN l_discount > 0.09 OR (l_linestatus = 'F' AND l_quantity > 45) THEN NULL ELSE l_discount END AS confidence_score,
+  'orders/' || l_orderkey AS source_file, 'L' || l_linenumber AS source_location, l_quantity AS weight, {LINE_KEYS_SQL}
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
+
+
+def order_fragments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as fragments with flaws: (nodes, edges).
+
+    The order is a node, each line's part is a node unless the line is a
+    return of more than 45 pieces, and every line is an edge order -> part.
+    """
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    key = F.format_string("order/%012d", F.col("o_orderkey"))
+    own = o.select(
+        F.concat(F.lit("order_"), "o_orderkey").alias("id"),
+        F.when(F.col("o_totalprice") > 5000, F.concat(F.lit("order "), "o_orderkey")).alias("label"),
+        F.when(F.col("o_totalprice") > 495000, "invoice").otherwise("code").alias("file_type"),
+        F.lit("orders.py").alias("source_file"),
+        key.alias("fragment_key"),
+        F.lit(0).cast("long").alias("pos"),
+    )
+    parts = li.where(~((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))).select(
+        F.concat(F.lit("part_"), "l_partkey").alias("id"),
+        F.concat(F.lit("part "), "l_partkey").alias("label"),
+        F.lit("code").alias("file_type"),
+        F.lit("orders.py").alias("source_file"),
+        *_line_keys(),
+    )
+    edges = li.select(
+        F.concat(F.lit("order_"), "l_orderkey").alias("source"),
+        F.concat(F.lit("part_"), "l_partkey").alias("target"),
+        F.when(F.col("l_tax") < 0.08, "depends_on").alias("relation"),
+        F.when(F.col("l_discount") > 0.0999, "MAYBE").otherwise("EXTRACTED").alias("confidence"),
+        F.lit("orders.py").alias("source_file"),
+        *_line_keys(),
+    )
+    return own.unionAll(parts), edges
+
+
+ORDER_FRAGMENTS_SQL = f"""fnodes AS (SELECT 'order_' || o_orderkey AS id, CASE WHEN o_totalprice > 5000 THEN 'order ' || o_orderkey END AS label,
+    CASE WHEN o_totalprice > 495000 THEN 'invoice' ELSE 'code' END AS file_type, printf('order/%012d', o_orderkey) AS fragment_key, 0 AS pos FROM orders
+  UNION ALL SELECT 'part_' || l_partkey, 'part ' || l_partkey, 'code', {LINE_KEYS_SQL} FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_quantity > 45)),
+fedges AS (SELECT 'order_' || l_orderkey AS source, 'part_' || l_partkey AS target, CASE WHEN l_tax < 0.08 THEN 'depends_on' END AS relation,
+    CASE WHEN l_discount > 0.0999 THEN 'MAYBE' ELSE 'EXTRACTED' END AS confidence, {LINE_KEYS_SQL} FROM lineitem)"""
