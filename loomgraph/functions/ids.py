@@ -14,22 +14,19 @@ def normalize_id(value: Column | str, plain: bool = False) -> Column:
     ``plain=True`` promises ASCII/Latin-1 input and keeps the expression free
     of Python.
     """
-    col = text.as_col(value)
-    if plain:
-        return F.lower(_words(col))
-    return text._routed(col, F.lower(_words(col)), lambda c: text._casefold(_words(text._nfkc(c))))
+    return text.id_form(value, plain)
 
 
-def _words(col: Column) -> Column:
-    return F.btrim(F.regexp_replace(col, r"(?U)(?:[^\w]|_)+", "_"), F.lit("_"))
+def joined(*parts: Column | str) -> Column:
+    """The parts of a name before normalisation; empty parts vanish."""
+    cols = [text.as_col(p).cast("string") for p in parts]
+    kept = F.filter(F.array(*cols), lambda p: p.isNotNull() & (p != ""))
+    return F.array_join(F.transform(kept, lambda p: F.btrim(p, F.lit("_."))), "_")
 
 
 def make_id(*parts: Column | str, plain: bool = False) -> Column:
-    """Id of an entity named by several parts; empty parts vanish."""
-    cols = [text.as_col(p).cast("string") for p in parts]
-    kept = F.filter(F.array(*cols), lambda p: p.isNotNull() & (p != ""))
-    joined = F.array_join(F.transform(kept, lambda p: F.btrim(p, F.lit("_."))), "_")
-    return normalize_id(joined, plain)
+    """Id of an entity named by several parts."""
+    return normalize_id(joined(*parts), plain)
 
 
 def code_file_id(path: Column | str, plain: bool = False) -> Column:

@@ -3,6 +3,7 @@ unless the value needs Unicode folding Spark has no expression for."""
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -28,13 +29,13 @@ def _fold_nfc(s: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+def _fold_id(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: re.sub(r"(?:[^\w]|_)+", "_", unicodedata.normalize("NFKC", x)).strip("_").casefold(), na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def _casefold(s: pd.Series) -> pd.Series:
-    return s.map(str.casefold, na_action="ignore")
+def _fold_words(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: re.sub(r"[\W_]+", " ", unicodedata.normalize("NFKC", x).casefold()).strip(), na_action="ignore")
 
 
 def _routed(col: Column, native: Column, folded) -> Column:
@@ -47,14 +48,6 @@ def _routed(col: Column, native: Column, folded) -> Column:
     return F.when(plain, native).otherwise(folded(F.when(~plain, col)))
 
 
-def nfkc(col: Column, plain: bool = False) -> Column:
-    return col if plain else _routed(col, col, _nfkc)
-
-
-def casefold(col: Column, plain: bool = False) -> Column:
-    return F.lower(col) if plain else _routed(col, F.lower(col), _casefold)
-
-
 def query_norm(label: Column | str, plain: bool = False) -> Column:
     """Lookup form of a label: NFC then casefold."""
     col = as_col(label)
@@ -79,11 +72,15 @@ def callable_key(label: Column | str) -> Column:
 def merge_norm(label: Column | str, plain: bool = False) -> Column:
     """Comparison form for near-duplicate labels: NFKC, casefold, words only."""
     col = as_col(label)
-    if not plain:
-        col = _routed(col, F.lower(col), lambda c: _casefold(_nfkc(c)))
-    else:
-        col = F.lower(col)
-    return F.btrim(F.regexp_replace(col, r"(?U)[\W_]+", " "))
+    native = F.btrim(F.regexp_replace(F.lower(col), r"(?U)[\W_]+", " "))
+    return native if plain else _routed(col, native, _fold_words)
+
+
+def id_form(value: Column | str, plain: bool = False) -> Column:
+    """Identifier form: NFKC, non-word runs to one underscore, trimmed, casefolded."""
+    col = as_col(value)
+    native = F.lower(F.btrim(F.regexp_replace(col, r"(?U)(?:[^\w]|_)+", "_"), F.lit("_")))
+    return native if plain else _routed(col, native, _fold_id)
 
 
 def sanitize_label(label: Column | str) -> Column:

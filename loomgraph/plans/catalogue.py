@@ -2,6 +2,7 @@
 
 from loomgraph.plans import (  # noqa: F401
     assembly_queries,
+    extraction_queries,
     graph_queries,
     text_queries,
 )

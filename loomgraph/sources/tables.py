@@ -6,6 +6,8 @@ a projection, join or distinct of the given parquet tables.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -326,3 +328,68 @@ ORDER_FRAGMENTS_SQL = f"""fnodes AS (SELECT 'order_' || o_orderkey AS id, CASE W
   UNION ALL SELECT 'part_' || l_partkey, 'part ' || l_partkey, 'code', {LINE_KEYS_SQL} FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_quantity > 45)),
 fedges AS (SELECT 'order_' || l_orderkey AS source, 'part_' || l_partkey AS target, CASE WHEN l_tax < 0.08 THEN 'depends_on' END AS relation,
     CASE WHEN l_discount > 0.0999 THEN 'MAYBE' ELSE 'EXTRACTED' END AS confidence, {LINE_KEYS_SQL} FROM lineitem)"""
+
+
+# --- texts as sources: every line of a document becomes a few declarations -------------
+
+_TEMPLATES = {
+    "en": ("py", "import m_{0}\nclass C_{1}(B_{2}):\n    def f_{0}(self):\n        return f_{1}(self.x)\n"),
+    "de": ("js", "import x from 'm_{0}';\nclass C_{1} extends B_{2} {{\n  f_{0}(x) {{\n    return f_{1}(x);\n  }}\n}}\n"),
+    "fr": ("go", "import \"m_{0}\"\ntype C_{1} struct {{\n}}\nfunc (s *R_{2}) f_{0}(x int) int {{\n    return f_{1}(x)\n}}\n"),
+    "es": ("rs", "use m_{0};\ntrait C_{1}: B_{2} {{\n}}\nfn f_{0}(x: u8) -> u8 {{\n    f_{1}(x)\n}}\n"),
+}
+
+
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as source code: (path, content), one block per line with three words."""
+    d = table(spark, sf_dir, "documents")
+    lines = F.filter(
+        F.transform(F.split(F.lower("text"), "\n"), lambda line: F.regexp_extract_all(line, F.lit("[a-z]{3,}"), F.lit(0))),
+        lambda words: F.size(words) >= 3,
+    )
+    body = None
+    for lang, (_, template) in _TEMPLATES.items():
+        text_of = F.array_join(F.transform(lines, _block(template)), "")
+        body = F.when(F.col("lang") == lang, text_of) if body is None else body.when(F.col("lang") == lang, text_of)
+    ext = _case(F.col("lang"), {k: v[0] for k, v in _TEMPLATES.items()}, F.lit("txt"))
+    return d.select(F.concat("source", F.lit("/d"), "doc_id", F.lit("."), ext).alias("path"), body.alias("content"))
+
+
+def _block(template: str):
+    """The template with its numbered slots filled from a line's first words."""
+    pieces = re.split(r"\{(\d)\}", template)
+    texts = [t.replace("{{", "{").replace("}}", "}") for t in pieces[::2]]
+    slots = [int(i) for i in pieces[1::2]]
+
+    def fill(words: Column) -> Column:
+        out = [F.lit(texts[0])]
+        for slot, tail in zip(slots, texts[1:]):
+            out += [words[slot], F.lit(tail)]
+        return F.concat(*out)
+
+    return fill
+
+
+def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages as markdown: (path, content); titles, headings and links keep their role."""
+    body = F.col("html")
+    for pattern, markdown in PAGE_RULES:
+        body = F.regexp_replace(body, pattern, markdown)
+    return table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/p_"), "page_id", F.lit(".md")).alias("path"), body.alias("content"))
+
+
+PAGE_RULES = [
+    ("<title>", "\n# "),
+    ("<h1>", "\n### "),
+    ("<p><b>", "\n## "),
+    ("</title>|</h1>|<br>|</p>", "\n"),
+    ("<a href=\"([^\"]*)\">", "[[wiki|x]] [to]($1.md?v=1#top) [out](https://example.com/$1) "),
+]
+
+
+def page_markdown_sql() -> str:
+    body = "html"
+    for pattern, markdown in PAGE_RULES:
+        escaped = markdown.replace("$1", "\\1").replace("\n", "' || chr(10) || '")
+        body = f"regexp_replace({body}, '{pattern}', '{escaped}', 'g')"
+    return f"md AS (SELECT page_id, 'pages/p_' || page_id || '.md' AS path, {body} AS content FROM pages)"
