@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from loomgraph.functions import fixed, ids, paths, text
 from loomgraph.functions.source_facts import source_facts
+from loomgraph.session import spread
 
 DEFINING = ["class", "function", "struct", "enum", "trait", "impl", "type"]
 
@@ -43,7 +44,7 @@ def language_of(path: Column | str) -> Column:
 
 def scan(files: DataFrame) -> DataFrame:
     """(path, language, facts, error) of every file with a known grammar; others have no structure."""
-    known = files.withColumn("language", language_of("path")).where(F.col("language").isNotNull())
+    known = spread(files.withColumn("language", language_of("path")).where(F.col("language").isNotNull()))
     scanned = known.select("path", "language", ids.code_file_id("path").alias("file_id"), _scan("content", "language").alias("s"))
     return scanned.select("path", "language", "file_id", "s.facts", "s.error")
 

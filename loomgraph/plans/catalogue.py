@@ -4,6 +4,7 @@ from loomgraph.plans import (  # noqa: F401
     assembly_queries,
     extraction_queries,
     graph_queries,
+    system_queries,
     text_queries,
 )
 from loomgraph.plans.registry import ORACLES, QUERIES

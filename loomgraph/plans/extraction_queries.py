@@ -25,13 +25,13 @@ placed AS (SELECT h.*, CASE WHEN near.level = h.level - 1 THEN near.id
            WHEN h.level > coalesce(lag(h.level) OVER (PARTITION BY h.path ORDER BY h.n), 0)
            THEN coalesce(lag(h.id) OVER (PARTITION BY h.path ORDER BY h.n), h.file_id) END AS parent
            FROM heads h LEFT JOIN near ON h.path = near.path AND h.n = near.n),
-l1 AS (SELECT path, generate_subscripts(ts, 1) AS at, unnest(ts) AS t
+l1 AS (SELECT path, generate_subscripts(ts, 1) AS seq, unnest(ts) AS t
        FROM (SELECT path, regexp_extract_all(content, '\\[([^\\]]+)\\]\\(([^)]+)\\)', 2) AS ts FROM md)),
-inl AS (SELECT path, at, regexp_replace(rtrim(split_part(split_part(trim(t), '#', 1), '?', 1), '/'), '^.*/', '') AS name FROM l1
+inl AS (SELECT path, seq, regexp_replace(rtrim(split_part(split_part(trim(t), '#', 1), '?', 1), '/'), '^.*/', '') AS name FROM l1
         WHERE NOT regexp_matches(trim(t), '^(https?://|mailto:)') AND split_part(split_part(trim(t), '#', 1), '?', 1) <> ''),
-wiki AS (SELECT path, 1000000000 + generate_subscripts(ws, 1) AS at, trim(split_part(unnest(ws), '|', 1)) AS name
+wiki AS (SELECT path, 1000000000 + generate_subscripts(ws, 1) AS seq, trim(split_part(unnest(ws), '|', 1)) AS name
          FROM (SELECT path, regexp_extract_all(content, '\\[\\[([^\\]]+)\\]\\]', 1) AS ws FROM md)),
-refs AS (SELECT path, at, name, {_normalize_sql("trim(name, '_.')")} AS id FROM (SELECT * FROM inl UNION ALL SELECT * FROM wiki WHERE name <> ''))"""
+refs AS (SELECT path, seq, name, {_normalize_sql("trim(name, '_.')")} AS id FROM (SELECT * FROM inl UNION ALL SELECT * FROM wiki WHERE name <> ''))"""
 
 
 @query("markdown_headings", f"WITH {_HEADINGS_SQL} SELECT path, CAST(n AS INTEGER) AS line, CAST(level AS INTEGER) AS level, title, id, parent FROM placed")
@@ -61,7 +61,7 @@ def markdown_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {_HEADINGS_SQL}
     SELECT path AS source_file, 'p_' || page_id || '_md' AS id, 'p_' || page_id || '.md' AS label, 'L1' AS source_location FROM md
     UNION ALL SELECT path, id, arg_min(title, n), 'L' || min(n) FROM heads GROUP BY path, id
-    UNION ALL SELECT path, id, arg_min(name, at), NULL FROM refs r WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.path = r.path AND h.id = r.id) GROUP BY path, id""",
+    UNION ALL SELECT path, id, arg_min(name, seq), NULL FROM refs r WHERE NOT EXISTS (SELECT 1 FROM heads h WHERE h.path = r.path AND h.id = r.id) GROUP BY path, id""",
 )
 def markdown_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = extract_markdown.extract_markdown(page_markdown(spark, sf_dir))

@@ -74,6 +74,16 @@ def reused(df: DataFrame) -> Iterator[DataFrame]:
         kept.unpersist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give per-row Python work at least one task per core.
+
+    Large inputs have plenty of splits and pass through; a few unsplittable
+    files would otherwise be parsed by a few tasks.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting at most ``limit + 1`` rows of ``df``.
 
