@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import fixed, paths
 from loomgraph.operators.assemble import degrees, symmetric
 from loomgraph.schema import CONFIDENCES
-from loomgraph.session import cut
+from loomgraph.session import cut, reused
 
 
 def with_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -174,8 +174,12 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     then dependencies flow back level by level. Work is proportional to
     sources x edges, as the exact measure requires, and is spread over both.
     """
-    links = cut(symmetric(edges.where(F.col("source") != F.col("target")).select("source", "target")).distinct())
-    vertices = links.select("id").distinct()
+    named = symmetric(edges.where(F.col("source") != F.col("target")).select("source", "target")).distinct()
+    # the walk holds sources x nodes rows, so it runs on numbers rather than names
+    names = cut(named.select("id").distinct().withColumn("no", F.monotonically_increasing_id()))
+    left, right = names.toDF("id", "a"), names.toDF("other", "b")
+    links = cut(named.join(left, "id").join(right, "other").select(F.col("a").alias("id"), F.col("b").alias("other")))
+    vertices = names.select(F.col("no").alias("id"))
     n = vertices.count()
     frontier = cut(vertices.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
     seen = frontier.select("s", "id")
@@ -196,22 +200,26 @@ def edge_betweenness(edges: DataFrame) -> DataFrame:
     shares = []
     for upper in reversed(levels[:-1]):
         lower = below.select("s", F.col("id").alias("other"), F.col("paths").alias("paths2"), "dep")
-        share = cut(
+        flow = (
             upper.join(links, "id")
             .join(lower, ["s", "other"])
             .select("s", "id", "other", (F.col("paths") / F.col("paths2") * (1 + F.col("dep"))).alias("share"))
         )
-        shares.append(
-            share.groupBy(F.least("id", "other").alias("k1"), F.greatest("id", "other").alias("k2")).agg(F.sum("share").alias("part"))
-        )
-        back = share.groupBy("s", "id").agg(F.sum("share").alias("dep"))
-        below = cut(upper.join(back, ["s", "id"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0))))
+        with reused(flow) as share:
+            ends = share.groupBy(F.least("id", "other").alias("k1"), F.greatest("id", "other").alias("k2"))
+            shares.append(cut(ends.agg(F.sum("share").alias("part"))))
+            back = share.groupBy("s", "id").agg(F.sum("share").alias("dep"))
+            below = cut(upper.join(back, ["s", "id"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0))))
     if not shares:
         return edges.select(F.least("source", "target").alias("k1"), F.greatest("source", "target").alias("k2"), F.lit(0.0).alias("score"))
     total = shares[0]
     for part in shares[1:]:
         total = total.unionByName(part)
-    return total.groupBy("k1", "k2").agg((F.sum("part") / (n * (n - 1))).alias("score"))
+    scored = total.groupBy("k1", "k2").agg((F.sum("part") / (n * (n - 1))).alias("score"))
+    first, second = names.toDF("n1", "k1"), names.toDF("n2", "k2")
+    return scored.join(first, "k1").join(second, "k2").select(
+        F.least("n1", "n2").alias("k1"), F.greatest("n1", "n2").alias("k2"), "score"
+    )
 
 
 def bridge_edges(nodes: DataFrame, edges: DataFrame, top_n: int = 5) -> DataFrame:

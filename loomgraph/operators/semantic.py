@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions import fixed, ids, paths, text
+from loomgraph.session import cut, spread
 
 # What the model is asked for, and how the document is wrapped.
 REPLY_FORMAT = """You extract a knowledge-graph fragment from a document.
@@ -116,7 +117,7 @@ def ask_model(files: DataFrame, model: Callable[[str], str] | None, cache: DataF
                     errors.append(f"llm: {type(e).__name__}: {e}")
             yield pd.DataFrame({"path": pdf["path"], "hash": pdf["hash"], "reply": replies, "error": errors})
 
-    fresh = asked.mapInPandas(call, "path string, hash string, reply string, error string")
+    fresh = spread(asked).mapInPandas(call, "path string, hash string, reply string, error string")
     return fresh if known is None else fresh.unionByName(known)
 
 
@@ -126,7 +127,7 @@ def fragments(replies: DataFrame) -> dict[str, DataFrame]:
     Keeps the first 30 nodes, 40 edges and 20 links of a reply; unnamed
     concepts, edges that leave the reply's concepts and self-edges are dropped.
     """
-    parsed = replies.withColumn("json", json_object(F.col("reply")))
+    parsed = cut(replies.select("path", "error", json_object(F.col("reply")).alias("json")))
     bad = parsed.where(F.col("json").isNull()).select(
         "path", F.coalesce("error", F.lit("llm returned unparseable JSON")).alias("error")
     )
@@ -141,6 +142,7 @@ def fragments(replies: DataFrame) -> dict[str, DataFrame]:
         .groupBy("path", "id")
         .agg(F.min_by(F.struct("label", F.col("n.summary").alias("summary")), "at").alias("c"), F.min("at").alias("at"))
     )
+    concepts = cut(concepts)
     file_id = ids.document_id("path")
     anchors = r.select(file_id.alias("id"), paths.basename("path").alias("label"), F.lit("document").alias("file_type"), *own,
                        F.lit("L1").alias("source_location"), none.alias("kind"), none.alias("summary"),

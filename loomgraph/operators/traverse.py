@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import fixed, text
 from loomgraph.operators.analyze import with_degree
 from loomgraph.operators.assemble import degrees, symmetric
-from loomgraph.session import cut, reused
+from loomgraph.session import cut, hint_if_small, reused
 
 
 def incident(edges: DataFrame, directed: bool = False) -> DataFrame:
@@ -228,12 +228,12 @@ def reach(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int = 4, re
         walk = walk.where(F.col("relation").isin(relations))
     first = nodes.where(F.col("id") == start).select("id", "ord", F.lit(0).alias("depth"), F.lit("root").alias("via"))
     seen = frontier = cut(first)
+    size = 1
     order = nodes.select("id", "ord")
     with reused(walk) as steps:
         for depth in range(1, max_depth + 1):
             step = (
-                frontier.select("id", F.col("ord").alias("from_ord"))
-                .join(steps, "id")
+                steps.join(hint_if_small(frontier.select("id", F.col("ord").alias("from_ord")), size), "id")
                 .groupBy(F.col("other").alias("id"))
                 .agg(F.min_by("relation", F.struct("from_ord", "relation")).alias("via"))
                 .join(seen.select("id"), "id", "left_anti")
@@ -241,7 +241,8 @@ def reach(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int = 4, re
                 .select("id", "ord", F.lit(depth).alias("depth"), "via")
             )
             frontier = cut(step)
-            if frontier.isEmpty():
+            size = frontier.count()
+            if not size:
                 break
             seen = seen.unionByName(frontier)
     return seen
@@ -283,8 +284,7 @@ def _meet(walk: DataFrame, start: str, goal: str, max_hops: int) -> list[str] |
         side, other = sides[grow], sides[1 - grow]
         trail = F.array_append("trail", F.col("other")) if grow == 0 else F.array_prepend("trail", F.col("other"))
         step = (
-            side["front"]
-            .join(walk, "id")
+            walk.join(hint_if_small(side["front"], side["size"]), "id")
             .select(F.col("other").alias("id"), trail.alias("trail"))
             .groupBy("id")
             .agg(F.min("trail").alias("trail"))

@@ -9,7 +9,7 @@ from loomgraph.functions import fixed, ids, paths, text
 from loomgraph.functions.similarity import jaro_winkler
 from loomgraph.operators import classify
 from loomgraph.plans.registry import query
-from loomgraph.sources.tables import STAR_SQL, document_files, document_files_sql, star_nodes, table
+from loomgraph.sources.tables import STAR_SQL, document_files, document_files_sql, star_nodes, table, texts
 
 FILES_SQL = document_files_sql()
 
@@ -28,7 +28,7 @@ def _normalize_sql(col: str) -> str:
 
 @query("normalize_ids", f"SELECT doc_id, {_normalize_sql('text')} AS norm FROM documents")
 def normalize_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", ids.normalize_id("text").alias("norm"))
+    return texts(spark, sf_dir, "documents").select("doc_id", ids.normalize_id("text").alias("norm"))
 
 
 _PARENT = "list_filter(string_split(path, '/'), lambda x: x <> '')[-2]"
@@ -165,7 +165,7 @@ def title_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS norm FROM documents""",
 )
 def merge_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.merge_norm("text").alias("norm"))
+    return texts(spark, sf_dir, "documents").select("doc_id", text.merge_norm("text").alias("norm"))
 
 
 @query(
@@ -187,7 +187,7 @@ def label_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT doc_id, CASE WHEN length(text) > 22 THEN left(text, 21) || '…' ELSE text END AS label, left(text, 400) AS clipped FROM documents",
 )
 def short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(
+    return texts(spark, sf_dir, "documents").select(
         "doc_id", text.short_label("text").alias("label"), text.clip_tokens("text", 100).alias("clipped")
     )
 
@@ -198,7 +198,7 @@ def short_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     lambda w: w NOT IN ({_list(fixed.QUESTION_STOP_WORDS)})), ' ') AS tokens FROM documents""",
 )
 def question_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.question_tokens("text"), " ").alias("tokens"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.array_join(text.question_tokens("text"), " ").alias("tokens"))
 
 
 _RAW_SCORE = "CASE event_type WHEN 'error' THEN props WHEN 'view' THEN NULL ELSE CAST(value / 100 - 0.1 AS VARCHAR(30)) END"
@@ -296,7 +296,7 @@ def ignore_last_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     replace(regexp_replace(line, '\\s+#+[^\\\\\\n].*$', ''), '\\#', '#') END AS pattern FROM t""",
 )
 def ignore_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
+    lines = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
     return lines.select("doc_id", (F.col("pos") + 1).alias("line_no"), classify.parse_ignore_line("raw").alias("pattern"))
 
 
@@ -305,7 +305,7 @@ _WORDS = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')
 
 @query("word_counts", f"SELECT doc_id, CAST({_WORDS.format('text')} AS BIGINT) AS words FROM documents")
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("words"))
+    return texts(spark, sf_dir, "documents").select("doc_id", text.word_count("text").alias("words"))
 
 
 _KEPT_SQL = f"""kept AS (SELECT {_CLASS_SQL} AS file_type, CAST({_WORDS.format('content')} AS BIGINT) AS words FROM files

@@ -24,7 +24,7 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 
-# Largest table we ask Spark to broadcast without a measured bound.
+# Most rows a counted frame may have to be sent to every executor.
 BROADCAST_ROWS = 100_000
 
 
@@ -84,11 +84,9 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``limit + 1`` rows of ``df``.
+def hint_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a frame whose row count has been measured and is within the limit.
 
-    Beyond the limit the frame is returned untouched and Spark shuffles it.
+    Beyond it the frame is returned untouched and Spark shuffles it.
     """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if rows <= limit else df

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import ids
 from loomgraph.operators.assemble import pair_keys
+from loomgraph.session import spread
 
 KIND_STRIDE = 1_000_000_000_000  # keeps the node order of one table apart from the next
 
@@ -21,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of whole texts, with enough tasks for work on every text."""
+    return spread(table(spark, sf_dir, name))
+
+
 def _node(kind: str, rank: int, key: str, label: Column, file_type: str, source_file: str) -> list[Column]:
     return [
         ids.make_id(F.lit(kind), F.col(key), plain=True).alias("id"),
@@ -148,7 +154,7 @@ def _case(col: Column, mapping: dict, default: Column) -> Column:
 
 def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as files: (doc_id, path, content)."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     folder = _case(F.col("source"), _FOLDERS, F.col("source"))
     name = _case(F.col("doc_id") % len(_NAMES), dict(enumerate(_NAMES)), F.lit("notes"))
     ext = F.when(name.isin(".env", "server.pem", "poetry.lock"), "").otherwise(_case(F.col("lang"), _SUFFIX, F.lit("")))
@@ -342,7 +348,7 @@ _TEMPLATES = {
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as source code: (path, content), one block per line with three words."""
-    d = table(spark, sf_dir, "documents")
+    d = texts(spark, sf_dir, "documents")
     lines = F.filter(
         F.transform(F.split(F.lower("text"), "\n"), lambda line: F.regexp_extract_all(line, F.lit("[a-z]{3,}"), F.lit(0))),
         lambda words: F.size(words) >= 3,
@@ -375,7 +381,7 @@ def page_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.col("html")
     for pattern, markdown in PAGE_RULES:
         body = F.regexp_replace(body, pattern, markdown)
-    return table(spark, sf_dir, "pages").select(F.concat(F.lit("pages/p_"), "page_id", F.lit(".md")).alias("path"), body.alias("content"))
+    return texts(spark, sf_dir, "pages").select(F.concat(F.lit("pages/p_"), "page_id", F.lit(".md")).alias("path"), body.alias("content"))
 
 
 PAGE_RULES = [
