@@ -83,6 +83,7 @@ def test_event_log(spark, tmp_path):
 def test_stream_state(spark, tmp_path):
     src, out, offsets = (str(tmp_path / x) for x in ("in", "out", "off"))
     schema = "path string, hash string, version long"
+    (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
     for batch in ([("a", "h1", 1), ("b", "h1", 1)], [("a", "h1", 2), ("b", "h2", 5)], [("b", "h0", 3)]):
         spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(src)
