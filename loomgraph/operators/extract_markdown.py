@@ -17,7 +17,7 @@ HEADING = r"(?s)^(#{1,6})\s+(.+?)\s*#*\s*$"
 INLINE_LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 WIKI_LINK = r"\[\[([^\]]+)\]\]"
 EXTERNAL = ("http://", "https://", "mailto:")
-LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def headings(files: DataFrame) -> DataFrame:
