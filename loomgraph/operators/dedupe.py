@@ -13,8 +13,6 @@ no step lists all pairs of a group:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import fixed, text
 from loomgraph.operators import assemble, dedupe, foldin, resolve, validate
 from loomgraph.plans.registry import query
 from loomgraph.sources.tables import (
