@@ -126,48 +126,42 @@ def _round_down_sizes(most: int):
     return run
 
 
-def plan(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MAX_COPIES, prefix: str = "_mix_") -> DataFrame:
-    """``docs`` with four more columns: size, source_size, target, copies (names start with ``prefix``)."""
+def plan(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MAX_COPIES) -> DataFrame:
+    """(row, size, source_size, target, copies): each row of ``docs`` whole, and how often the mixture takes it."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    own = {k: f"{prefix}{k}" for k in ("size", "split", "source_size", "target", "copies", "of", "base", "more")}
-    part = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SPLITS)).cast("int")
-    sized = docs.withColumns({own["size"]: size_of(F.col("text")), own["split"]: part})
-    short = sized.select("source", F.col(own["size"]).alias("size"), F.col(own["split"]).alias("split"))
-    parts = scratch.put("parts", short.groupBy("source", "size", "split").agg(F.count("*").alias("n")))
+    split = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SPLITS)).cast("int").alias("split")
+    # The row is kept in a struct, where its columns clash with nothing.
+    sized = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), split)
+    parts = scratch.put("parts", sized.groupBy("source", "size", "split").agg(F.count("*").alias("n")))
     sizes = scratch.put("sizes", parts.groupBy("source", "size").agg(F.sum("n").alias("docs")))
     sources = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"))
     goals = scratch.put("goals", targets(sources, cycle, most))
     tilt = tilts(sizes, goals, scratch, most)
     cells = sizes.where("size > 0").join(tilt.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "target")
-    # A null source must not share its group with any text.
     rounded = cells.groupBy("source").applyInPandas(_round_down_sizes(most), "source string, size long, docs long, copies long")
     rounded = scratch.put("rounded", rounded)
 
+    # Copies of a size are dealt to its parts in proportion to their documents.
     same = lambda a, b: a["source"].eqNullSafe(b["source"]) & (a["size"] == b["size"])
     joined = parts.join(rounded, same(parts, rounded)).select(parts["source"], parts["size"], "split", "n", "docs", "copies")
     upto = Window.partitionBy("source", "size").orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
-    whole = lambda c: F.col(c).cast("decimal(19,0)")
-    share = lambda c: F.floor(whole("copies") * c / whole("docs"))
+    exact = lambda c: c.cast("decimal(19,0)")
+    share = lambda c: F.floor(exact(F.col("copies")) * exact(c) / exact(F.col("docs")))
     joined = joined.withColumn("sofar", F.sum("n").over(upto))
-    joined = joined.withColumn("c", (share(whole("sofar")) - share((F.col("sofar") - F.col("n")).cast("decimal(19,0)"))).cast("long"))
-    shares = joined.select(
-        F.col("source").alias(own["of"]), F.col("size").alias("_s"), F.col("split").alias("_p"),
-        F.expr("c div n").alias(own["base"]), F.expr("c % n").alias(own["more"]),
-    )
-    goal = goals.select(F.col("source").alias("_g"), F.col("source_size").alias(own["source_size"]), F.col("target").alias(own["target"]))
-    key = sized["source"].eqNullSafe(shares[own["of"]]) & (sized[own["size"]] == shares["_s"]) & (sized[own["split"]] == shares["_p"])
-    out = sized.join(shares, key, "left").drop("_s", "_p", own["of"])
-    first = Window.partitionBy("source", own["size"], own["split"]).orderBy(F.xxhash64(F.col("doc_id").cast("long"), F.lit(1)), "doc_id")
-    extra = (F.row_number().over(first) <= F.col(own["more"])).cast("long")
-    out = out.withColumn(own["copies"], F.coalesce(F.col(own["base"]) + extra, F.lit(0)).cast("long"))
-    out = out.join(goal, out["source"].eqNullSafe(goal["_g"]), "left").drop("_g", own["base"], own["more"], own["split"])
-    return out
+    joined = joined.withColumn("c", (share(F.col("sofar")) - share(F.col("sofar") - F.col("n"))).cast("long"))
+    shares = joined.select("source", "size", "split", F.expr("c div n").alias("base"), F.expr("c % n").alias("more"))
+    shares = scratch.put("shares", shares)
+    scratch.drop("parts", "sizes", "rounded")
+    out = sized.join(shares, same(sized, shares) & (sized["split"] == shares["split"]), "left")
+    out = out.select("row", sized["source"], sized["size"], sized["split"], "base", "more")
+    first = Window.partitionBy("source", "size", "split").orderBy(F.xxhash64(F.col("row.doc_id").cast("long"), F.lit(1)), "row.doc_id")
+    extra = (F.row_number().over(first) <= F.col("more")).cast("long")
+    out = out.withColumn("copies", F.coalesce(F.col("base") + extra, F.lit(0)).cast("long"))
+    out = out.join(goals, out["source"].eqNullSafe(goals["source"]), "left")
+    return out.select("row", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, cycle: tuple[int, ...] = (1, 2, 3), most: int = MAX_COPIES) -> DataFrame:
     """The mixture: each row of ``docs`` as often as the plan says, columns unchanged."""
-    planned = plan(docs, cycle, most)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    taken = planned.where(F.col("_mix_copies") > 0)
-    return taken.withColumn("_mix_turn", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*columns)
-
+    taken = plan(docs, cycle, most).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

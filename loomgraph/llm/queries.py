@@ -63,16 +63,13 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("_lines_before").alias("lines_before"), F.col("_lines_after").alias("lines_after"), F.col("_lines_dropped").alias("lines_dropped"))
+    out = line_dedup.rewritten(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("row.doc_id", "text", "lines_before", "lines_after", "lines_dropped")
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = mixing.plan(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return planned.select(
-        "doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"),
-        (F.col("_mix_size") * F.col("_mix_copies")).alias("taken"), F.col("_mix_copies").alias("copies"),
-    )
+    return planned.select("row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,8 +91,9 @@ def _shrunk(units: DataFrame, mean: Column) -> DataFrame:
     """Add ``prior`` and ``strength`` to rows with outcomes n, good: one strength for all rows."""
     rows = units.withColumn("prior", mean)
     chance = F.col("prior") * (1 - F.col("prior"))
-    share = F.col("good") / F.col("n")
-    excess = F.sum(F.col("n") * (share - F.col("prior")) * (share - F.col("prior")) - chance) / F.sum((F.col("n") - 1) * chance)
+    share = F.try_divide(F.col("good"), F.col("n"))
+    beyond = F.sum(F.col("n") * (share - F.col("prior")) * (share - F.col("prior")) - chance)
+    excess = F.try_divide(beyond, F.sum((F.col("n") - 1) * chance))
     # Between about a hundred outcomes' worth of prior and a third of one.
     alike = F.least(F.greatest(F.coalesce(excess, F.lit(0.5)), F.lit(0.01)), F.lit(0.75))
     strength = rows.where("n > 0").agg((1 / alike - 1).alias("strength"))
