@@ -1,13 +1,16 @@
-"""Command line: build, query, path, explain, affected, ask."""
+"""Command line: build a graph, and put questions to a stored one."""
 
 from __future__ import annotations
 
 import argparse
 import sys
 
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
+
 from loomgraph.operators import traverse
-from loomgraph.plans import answer, tools
 from loomgraph.plans.build import build
+from loomgraph.plans.stored import StoredGraph
 from loomgraph.session import build_session
 
 
@@ -15,67 +18,67 @@ def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="loomgraph", description="Property-graph analytics on Spark")
     p.add_argument("--graph", default="loomgraph-out", help="folder of the stored graph")
     p.add_argument("--master", default="local[*]")
+    p.add_argument("--rows", type=int, default=50, help="rows printed of an answer")
     sub = p.add_subparsers(dest="command", required=True)
-    b = sub.add_parser("build", help="build the graph of a folder")
+    b = sub.add_parser("build")
     b.add_argument("root")
-    b.add_argument("--update", action="store_true", help="replay fragments of unchanged files")
-    b.add_argument("--directed", action="store_true")
-    b.add_argument("--no-report", action="store_true")
+    for flag in ("--update", "--directed", "--no-report"):
+        b.add_argument(flag, action="store_true")
     b.add_argument("--resolution", type=float, default=1.0)
-    b.add_argument("--exclude", action="append", default=None)
-    q = sub.add_parser("query", help="subgraph for a question")
+    b.add_argument("--exclude", action="append")
+    q = sub.add_parser("query")
     q.add_argument("question")
     q.add_argument("--budget", type=int, default=60)
-    h = sub.add_parser("path", help="shortest path between two entities")
+    h = sub.add_parser("path")
     h.add_argument("a")
     h.add_argument("b")
     h.add_argument("--max-hops", type=int, default=6)
-    e = sub.add_parser("explain", help="one entity and its connections")
-    e.add_argument("name")
-    a = sub.add_parser("affected", help="everything downstream of an entity")
+    for command in ("explain", "neighbors"):
+        sub.add_parser(command).add_argument("name")
+    a = sub.add_parser("affected")
     a.add_argument("name")
     a.add_argument("--depth", type=int, default=4)
-    k = sub.add_parser("ask", help="answer a question from the graph")
-    k.add_argument("question")
     return p
 
 
+def _show(answer: DataFrame | None, rows: int) -> int:
+    if answer is None or answer.isEmpty():
+        print("nothing found")
+        return 1
+    answer.show(rows, truncate=False)
+    return 0
+
+
 def run(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     spark = build_session(args.master)
     if args.command == "build":
-        r = build(
+        done = build(
             spark, args.root, args.graph, update=args.update, directed=args.directed,
             write_report=not args.no_report, resolution=args.resolution, extra_excludes=args.exclude,
         )
-        print(f"{r.nodes} nodes, {r.edges} edges, {r.communities} communities ({r.cached_files} cached, {r.extracted_files} extracted)")
+        print(f"nodes {done.nodes}, edges {done.edges}, communities {done.communities}; files read {done.extracted_files}, unchanged {done.cached_files}")
         return 0
     try:
-        g = tools.Graph.load(spark, args.graph)
-    except Exception:  # noqa: BLE001 - no stored graph
-        print(f"error: no graph at {args.graph}. Run `build <folder>` first.", file=sys.stderr)
+        g = StoredGraph.open(spark, args.graph)
+    except AnalysisException:
+        print(f"{args.graph} holds no graph; build one first", file=sys.stderr)
         return 1
     if args.command == "query":
-        result = tools.search(g, args.question, args.budget)
-        print(result.text)
-        return 0 if result.ok else 1
+        return _show(g.hits(args.question, args.budget), args.rows)
     if args.command == "path":
-        hops = traverse.path(g.nodes, g.edges, args.a, args.b, args.max_hops)
-        if hops is None:
-            print("no path found")
-            return 1
-        for h in hops.orderBy("hop").collect():
-            print(f"{h.source_label} --{h.relation}--> {h.target_label} [{h.confidence}]")
-        return 0
-    if args.command == "explain":
-        result = tools.explain(g, args.name)
-    elif args.command == "affected":
-        result = tools.find_affected(g, args.name, args.depth)
-    else:
-        print(answer.answer_question(g, args.question).text)
-        return 0
-    print(result.text)
-    return 0 if result.ok else 1
+        return _show(g.route(args.a, args.b, args.max_hops), args.rows)
+    if args.command == "affected":
+        return _show(g.downstream(args.name, args.depth), args.rows)
+    if args.command == "neighbors":
+        return _show(g.around(args.name), args.rows)
+    found = traverse.explain(g.nodes, g.edges, args.name, g.communities)
+    if found is None:
+        return _show(None, args.rows)
+    for key, value in found.items():
+        for line in value if isinstance(value, list) else [value]:
+            print(f"{key}: {line}")
+    return 0
 
 
 if __name__ == "__main__":

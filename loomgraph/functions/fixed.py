@@ -15,7 +15,7 @@ IMAGE_EXTENSIONS = ".png .jpg .jpeg .gif .webp .svg".split()
 
 SKIP_DIRS = (
     "venv .venv env .env node_modules __pycache__ .git dist build target out site-packages "
-    ".pytest_cache .mypy_cache .ruff_cache .tox .nox .eggs kg-out .kg "
+    ".pytest_cache .mypy_cache .ruff_cache .tox .nox .eggs "
     ".next .nuxt .turbo .svelte-kit .idea .cache .worktrees __snapshots__"
 ).split()
 SKIP_DIR_SUFFIXES = ["_venv", "_env", ".egg-info"]
@@ -23,7 +23,7 @@ SKIP_FILES = (
     "package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock "
     "Gemfile.lock composer.lock go.sum uv.lock"
 ).split()
-IGNORE_FILES = [".gitignore", ".kgignore"]
+IGNORE_FILES = [".gitignore", ".loomignore"]
 VCS_MARKERS = [".git", ".hg", ".svn"]
 
 SENSITIVE_DIRS = ".ssh .gnupg .aws .gcloud secrets .secrets credentials".split()
@@ -51,10 +51,9 @@ PAPER_SIGNALS = [
     r"\d{4}\.\d{4,5}",
 ]
 PAPER_SIGNAL_THRESHOLD = 3
-PAPER_HEAD_CHARS = 3000  # the heuristic is defined on the head of a document
 
-WARN_EMPTY = "No indexable files found in this folder."
-WARN_SMALL = "Small corpus - the graph adds structural clarity, not token savings."
+WARN_EMPTY = "nothing to index here"
+WARN_SMALL = "few files: expect structure from the graph rather than savings"
 SMALL_CORPUS_WORDS = 5000
 SMALL_CORPUS_FILES = 6
 
@@ -68,7 +67,6 @@ GRAMMAR_BY_EXTENSION = {
 }
 MARKDOWN_EXTENSIONS = [".md", ".mdx", ".qmd"]
 MANIFEST_NAMES = ["pyproject.toml", "package.json", "go.mod"]
-MANIFEST_MAX_DEPS = 60
 
 BUILTIN_CALLS = (
     "str int float bool bytes list dict set tuple len print range enumerate zip map filter open "
@@ -90,7 +88,6 @@ DEFAULT_REPORT_SCORE = 0.5
 MERGE_THRESHOLD = 0.92
 MERGE_BLOCK_CHARS = 4
 MERGE_MIN_CHARS = 3
-MERGE_MAX_GROUP = 200
 
 BUILTIN_NOISE_LABELS = (
     "str int float bool bytes bytearray complex object True False Path Any Optional List Dict Set Tuple "
@@ -120,19 +117,14 @@ EXACT_HIT = 5.0
 PARTIAL_HIT = 2.0
 QUERY_BUDGET = 60
 
-IMPACT_WORDS = "break impact affect change risk remove delete refactor".split()
-EXPLORE_WORDS = "how what why where connect relate flow explain who uses".split()
 
 # --- Fixed values: communities ----------------------------------------------------
 LOUVAIN_THRESHOLD = 1e-4
-LOUVAIN_MAX_LEVEL = 10
 SPLIT_RESOLUTION = 2.0
 MAX_COMMUNITY_FRACTION = 0.25
 MIN_SPLIT_SIZE = 10
 
 # --- Fixed values: labels, file-type synonyms, prices --------------------------------
-LABEL_MAX = 256
-SUMMARY_MAX = 300
 FILE_TYPE_SYNONYMS = {
     "document": "document", "markdown": "document", "text": "document", "doc": "document",
     "image": "image",
@@ -155,24 +147,10 @@ PRICES = [  # (model prefix, $ per 1M prompt tokens, $ per 1M completion tokens)
 ]
 CHARS_PER_TOKEN = 4
 SEMANTIC_TOKEN_BUDGET = 60_000
-SEMANTIC_MAX_NODES = 30
-SEMANTIC_MAX_EDGES = 40
-SEMANTIC_MAX_LINKS = 20
 SEMANTIC_RELATIONS = ["references", "semantically_similar_to"]
 
 # --- Fixed values: raw-file tools -------------------------------------------------------
 RAW_IGNORE_DIRS = (
     "node_modules .git .venv venv __pycache__ dist build .mypy_cache .pytest_cache .ruff_cache "
-    "kg-out .kg .idea .vscode"
+    ".idea .vscode"
 ).split()
-RAW_MAX_LIST = 500
-RAW_MAX_CHARS = 200_000
-RAW_MAX_HITS = 80
-RAW_LINE_CHARS = 160
-
-BENCH_QUESTIONS = [
-    "how does auth connect to the database",
-    "what breaks if I change the database layer",
-    "explain the token flow through the system",
-    "which parts of the codebase handle rate limiting",
-]

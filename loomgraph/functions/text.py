@@ -87,7 +87,7 @@ def sanitize_label(label: Column | str) -> Column:
     col = F.regexp_replace(F.coalesce(as_col(label), F.lit("")), r"[\x00-\x1f\x7f]", "")
     for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         col = F.replace(col, F.lit(raw), F.lit(safe))
-    return F.left(col, F.lit(fixed.LABEL_MAX))
+    return col
 
 
 def sanitize_metadata(metadata: Column | str) -> Column:

@@ -150,18 +150,6 @@ def inferred_average(edges: DataFrame) -> DataFrame:
     )
 
 
-def suggested_questions(gods: list[str], community_names: list[str], top_n: int = 4) -> list[str]:
-    asked = []
-    if len(gods) >= 2:
-        asked.append(f"How do {gods[0]} and {gods[1]} interact?")
-    if len(gods) >= 3:
-        asked.append(f"What breaks if I change {gods[2]}?")
-    if gods:
-        asked.append(f"Explain the role of {gods[0]} in this codebase.")
-    if len(community_names) >= 2:
-        asked.append(f"What belongs to the {community_names[0]} subsystem and what touches it?")
-    return asked[:top_n]
-
 
 # --- edge betweenness ----------------------------------------------------------------
 

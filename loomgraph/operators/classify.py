@@ -44,8 +44,7 @@ def is_sensitive(rel_path: Column | str) -> Column:
 
 
 def paper_signals(content: Column | str, patterns: list[str] | None = None) -> Column:
-    head = F.left(text.as_col(content), F.lit(fixed.PAPER_HEAD_CHARS))
-    return text.count_hits(head, patterns or fixed.PAPER_SIGNALS)
+    return text.count_hits(text.as_col(content), patterns or fixed.PAPER_SIGNALS)
 
 
 def looks_like_paper(content: Column | str, patterns: list[str] | None = None) -> Column:

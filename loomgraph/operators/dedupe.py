@@ -136,13 +136,11 @@ def _large_block_links(blocks: DataFrame, threshold: float) -> DataFrame:
 def merge_map(
     nodes: DataFrame,
     threshold: float = fixed.MERGE_THRESHOLD,
-    max_group: int | None = fixed.MERGE_MAX_GROUP,
     plain: bool = False,
 ) -> DataFrame:
     """(id, keep): nodes that merge into an earlier node.
 
-    ``keep`` is the first node of its component. Components above ``max_group``
-    nodes are left alone: that many "duplicates" are a naming scheme.
+    ``keep`` is the first node of its component, however large that is.
     """
     labelled = nodes.where(F.col("label") != "")
     forms = cut(label_forms(labelled, plain))
@@ -156,8 +154,6 @@ def merge_map(
     members = labelled.select("id", "ord", text.merge_norm("label", plain).alias("norm")).join(roots, "norm").drop("norm")
     keepers = members.groupBy("root").agg(F.min_by("id", "ord").alias("keep"), F.count("*").alias("n"))
     keepers = keepers.where(F.col("n") >= 2)
-    if max_group is not None:
-        keepers = keepers.where(F.col("n") <= max_group)
     return members.join(keepers, "root").where(F.col("id") != F.col("keep")).select("id", "keep", "ord")
 
 

@@ -56,14 +56,14 @@ def manifest_files(files: DataFrame) -> DataFrame:
 
 
 def packages(files: DataFrame) -> DataFrame:
-    """(path, package, deps): only the first 60 dependencies count."""
+    """(path, package, deps)."""
     name = F.lower(paths.basename("path"))
     known = manifest_files(files).withColumn("manifest", name)
     toml = known.where(F.col("manifest") == "pyproject.toml").select("path", _pyproject("content").alias("p"))
     rest = known.where(F.col("manifest") != "pyproject.toml").select(
         "path", F.when(F.col("manifest") == "package.json", _npm(F.col("content"))).otherwise(_go_mod(F.col("content"))).alias("p")
     )
-    both = toml.unionByName(rest).select("path", "p.package", F.slice("p.deps", 1, fixed.MANIFEST_MAX_DEPS).alias("deps"))
+    both = toml.unionByName(rest).select("path", "p.package", F.col("p.deps").alias("deps"))
     return both.where(F.coalesce("package", F.lit("")) != "")
 
 

@@ -102,20 +102,6 @@ class Subgraph:
     matched: DataFrame
     budget: int
 
-    def render(self, max_edges: int = 40) -> str:
-        rows = self.nodes.orderBy("ord").collect()  # at most ``budget`` rows
-        lines = []
-        for n in rows:
-            where = f"{n.source_file}:{n.source_location}" if n.source_file and n.source_location else (n.source_file or "-")
-            lines.append(f"  {n.label}  [{n.file_type}]  ({where})")
-        lines.append("")
-        total = self.edges.count()
-        for e in self.edges.orderBy("source", "target").limit(max_edges).collect():
-            lines.append(f"  {e.source} --{e.relation}--> {e.target}  [{e.confidence}]")
-        if total > max_edges:
-            lines.append(f"  ... {total - max_edges} more edges")
-        return "\n".join(lines)
-
     def truncated(self) -> bool:
         return self.nodes.count() >= self.budget
 

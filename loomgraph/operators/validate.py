@@ -21,34 +21,31 @@ def fragment_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     own ids: both endpoints of an edge are looked up in one join on
     (fragment_key, id), and fragments without any id are not checked.
     """
-    shown = F.concat(F.lit("(id="), F.coalesce(F.concat(F.lit("'"), "id", F.lit("'")), F.lit("'?'")), F.lit(")"))
+    shown = F.coalesce(F.concat(F.lit(" "), "id"), F.lit(""))
     field_checks = [
         F.when(
             F.col(f).isNull(),
-            F.format_string(f"Node %d %s missing required field '{f}'", F.col("pos"), shown),
+            F.format_string(f"node %d%s: no {f}", F.col("pos"), shown),
         )
         for f in REQUIRED_NODE_FIELDS
     ]
-    domain = ", ".join(f"'{t}'" for t in sorted(FILE_TYPES))
     field_checks.append(
         F.when(
             ~F.col("file_type").isin(FILE_TYPES),
-            F.format_string(
-                f"Node %d %s has invalid file_type '%s' - must be one of [{domain}]", F.col("pos"), shown, F.col("file_type")
-            ),
+            F.format_string("node %d%s: unknown file_type %s", F.col("pos"), shown, F.col("file_type")),
         )
     )
     node_errors = nodes.select(
         "fragment_key", F.lit("nodes").alias("section"), "pos", F.explode(F.array_compact(F.array(*field_checks))).alias("message")
     )
     edge_checks = [
-        F.when(F.col(f).isNull(), F.format_string(f"Edge %d missing required field '{f}'", F.col("pos")))
+        F.when(F.col(f).isNull(), F.format_string(f"edge %d: no {f}", F.col("pos")))
         for f in REQUIRED_EDGE_FIELDS
     ]
     edge_checks.append(
         F.when(
             ~F.col("confidence").isin(CONFIDENCES),
-            F.format_string("Edge %d has invalid confidence '%s'", F.col("pos"), F.col("confidence")),
+            F.format_string("edge %d: unknown confidence %s", F.col("pos"), F.col("confidence")),
         )
     )
     edge_errors = edges.select(
@@ -79,7 +76,7 @@ def _endpoint_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         "fragment_key",
         F.lit("edges").alias("section"),
         "pos",
-        F.format_string("Edge %d %s '%s' does not match any node id", "pos", "end", "id").alias("message"),
+        F.format_string("edge %d: %s %s is no node of the fragment", "pos", "end", "id").alias("message"),
     )
 
 
@@ -96,4 +93,4 @@ def assert_valid(nodes: DataFrame, edges: DataFrame, shown: int = 20) -> None:
     if total:
         head = errors.orderBy("fragment_key", "section", "pos", "message").limit(shown).collect()
         lines = "\n".join(f"  - {r.message}" for r in head)
-        raise ValueError(f"Extraction has {total} error(s):\n{lines}")
+        raise ValueError(f"{total} violations in the fragments:\n{lines}")

@@ -1 +1 @@
-"""Composed plans: build, questions, report, comparison, query catalogue."""
+"""Composed plans: build, stored graph, report, query catalogue."""

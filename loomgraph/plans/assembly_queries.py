@@ -28,15 +28,15 @@ _O = "(fragment_key, pos)"
 _ERRORS_SQL = f"""{ORDER_FRAGMENTS_SQL},
 known AS (SELECT DISTINCT fragment_key, id FROM fnodes),
 errors AS (
-  SELECT fragment_key, 'nodes' AS section, pos, 'Node ' || pos || ' (id=''' || id || ''') missing required field ''label''' AS message FROM fnodes WHERE label IS NULL
-  UNION ALL SELECT fragment_key, 'nodes', pos, 'Node ' || pos || ' (id=''' || id || ''') has invalid file_type ''invoice'' - must be one of [''code'', ''concept'', ''document'', ''image'', ''paper'', ''rationale'']'
+  SELECT fragment_key, 'nodes' AS section, pos, 'node ' || pos || ' ' || id || ': no label' AS message FROM fnodes WHERE label IS NULL
+  UNION ALL SELECT fragment_key, 'nodes', pos, 'node ' || pos || ' ' || id || ': unknown file_type invoice'
     FROM fnodes WHERE file_type = 'invoice'
-  UNION ALL SELECT fragment_key, 'edges', pos, 'Edge ' || pos || ' missing required field ''relation''' FROM fedges WHERE relation IS NULL
-  UNION ALL SELECT fragment_key, 'edges', pos, 'Edge ' || pos || ' has invalid confidence ''MAYBE''' FROM fedges WHERE confidence = 'MAYBE'
-  UNION ALL SELECT fragment_key, 'edges', pos, 'Edge ' || pos || ' source ''' || source || ''' does not match any node id' FROM fedges e
+  UNION ALL SELECT fragment_key, 'edges', pos, 'edge ' || pos || ': no relation' FROM fedges WHERE relation IS NULL
+  UNION ALL SELECT fragment_key, 'edges', pos, 'edge ' || pos || ': unknown confidence MAYBE' FROM fedges WHERE confidence = 'MAYBE'
+  UNION ALL SELECT fragment_key, 'edges', pos, 'edge ' || pos || ': source ' || source || ' is no node of the fragment' FROM fedges e
     WHERE EXISTS (SELECT 1 FROM known k WHERE k.fragment_key = e.fragment_key)
     AND NOT EXISTS (SELECT 1 FROM known k WHERE k.fragment_key = e.fragment_key AND k.id = e.source)
-  UNION ALL SELECT fragment_key, 'edges', pos, 'Edge ' || pos || ' target ''' || target || ''' does not match any node id' FROM fedges e
+  UNION ALL SELECT fragment_key, 'edges', pos, 'edge ' || pos || ': target ' || target || ' is no node of the fragment' FROM fedges e
     WHERE EXISTS (SELECT 1 FROM known k WHERE k.fragment_key = e.fragment_key)
     AND NOT EXISTS (SELECT 1 FROM known k WHERE k.fragment_key = e.fragment_key AND k.id = e.target))"""
 
@@ -305,20 +305,20 @@ def label_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.label_forms(_named(spark, sf_dir), plain=True).select("norm", "open")
 
 
-@query("merge_map", f"WITH {MERGE_SQL} SELECT id, keep FROM sized WHERE n BETWEEN 2 AND 200 AND id <> keep")
+@query("merge_map", f"WITH {MERGE_SQL} SELECT id, keep FROM sized WHERE n >= 2 AND id <> keep")
 def merge_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedupe.merge_map(_named(spark, sf_dir), plain=True).select("id", "keep")
 
 
 @query("merge_map_unbounded", f"WITH {MERGE_SQL} SELECT id, keep FROM sized WHERE n >= 2 AND id <> keep")
 def merge_map_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Without the group limit: whole naming schemes collapse."""
-    return dedupe.merge_map(_named(spark, sf_dir), plain=True, max_group=None).select("id", "keep")
+    """The same under the name it had when groups were limited."""
+    return dedupe.merge_map(_named(spark, sf_dir), plain=True).select("id", "keep")
 
 
 @query(
     "merge_rewired_edges",
-    f"""WITH {MERGE_SQL}, m AS (SELECT id, keep FROM sized WHERE n BETWEEN 2 AND 200 AND id <> keep),
+    f"""WITH {MERGE_SQL}, m AS (SELECT id, keep FROM sized WHERE n >= 2 AND id <> keep),
     moved AS (SELECT coalesce(a.keep, source) AS s, coalesce(b.keep, target) AS t FROM edges LEFT JOIN m a ON source = a.id LEFT JOIN m b ON target = b.id)
     SELECT DISTINCT least(s, t) AS k1, greatest(s, t) AS k2 FROM moved""",
 )

@@ -178,7 +178,8 @@ def build(
     result.nodes, result.edges, result.communities = stored_nodes.count(), stored_edges.count(), named.count()
     mark("write")
     if write_report:
-        result.report = report_text.render(stored_nodes, stored_edges, membership, named, health, skipped, root)
+        corpus = spark.createDataFrame([(health["total_files"], health["total_words"], skipped)], "files long, words long, secrets long")
+        result.report = report_text.text(report_text.rows(stored_nodes, stored_edges, membership, named, corpus), root)
         spark.createDataFrame([(result.report,)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report")
     mark("report")
     return result

@@ -165,7 +165,7 @@ m AS (SELECT s_suppkey, 'manifest:s' || s_suppkey || '/' || f AS fragment_key, r
 @query(
     "manifest_edges",
     f"""WITH {_MANIFEST_SQL} SELECT fragment_key, file_id AS source, package_id AS target, 'defines_package' AS relation FROM m
-    UNION ALL SELECT fragment_key, package_id, 'pkg_' || replace(dep, '-', '_'), 'depends_on' FROM m JOIN ranked ON s_suppkey = l_suppkey WHERE n <= 60""",
+    UNION ALL SELECT fragment_key, package_id, 'pkg_' || replace(dep, '-', '_'), 'depends_on' FROM m JOIN ranked ON s_suppkey = l_suppkey""",
 )
 def manifest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = extract_manifest.extract_manifests(manifest_sources(spark, sf_dir))
@@ -176,7 +176,7 @@ def manifest_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     "manifest_nodes",
     f"""WITH {_MANIFEST_SQL} SELECT fragment_key, file_id AS id, regexp_replace(fragment_key, '^.*/', '') AS label, 'L1' AS source_location FROM m
     UNION ALL SELECT fragment_key, package_id, 'pkg-' || s_suppkey, 'L1' FROM m
-    UNION ALL SELECT fragment_key, 'pkg_' || replace(dep, '-', '_'), dep, NULL FROM m JOIN ranked ON s_suppkey = l_suppkey WHERE n <= 60""",
+    UNION ALL SELECT fragment_key, 'pkg_' || replace(dep, '-', '_'), dep, NULL FROM m JOIN ranked ON s_suppkey = l_suppkey""",
 )
 def manifest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, _ = extract_manifest.extract_manifests(manifest_sources(spark, sf_dir))

@@ -242,7 +242,7 @@ def _raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "raw_list_files",
-    f"""WITH {_FILES_SQL} SELECT path AS rel, path || ' (' || strlen(content) || 'B)' AS entry FROM files WHERE folder <> 'node_modules' ORDER BY path LIMIT 501""",
+    f"""WITH {_FILES_SQL} SELECT path AS rel, path || ' (' || strlen(content) || 'B)' AS entry FROM files WHERE folder <> 'node_modules'""",
 )
 def raw_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_source.list_files(_raw_files(spark, sf_dir))
@@ -251,7 +251,7 @@ def raw_list_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GREP = "token|[0-9]{3}-[0-9]{4}"
 _GREP_SQL = f"""WITH {_FILES_SQL}, l AS (SELECT path, generate_subscripts(string_split(content, chr(10)), 1) AS n, unnest(string_split(content, chr(10))) AS t FROM files
   WHERE folder <> 'node_modules')
-SELECT path AS rel, CAST(n AS INTEGER) AS line, left(regexp_replace(t, '^\\s+|\\s+$', '', 'g'), 160) AS hit FROM l WHERE regexp_matches(t, '{_GREP}')"""
+SELECT path AS rel, CAST(n AS INTEGER) AS line, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS hit FROM l WHERE regexp_matches(t, '{_GREP}')"""
 
 
 @query("raw_grep_hits", _GREP_SQL)
@@ -259,14 +259,14 @@ def raw_grep_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_source.grep_hits(_raw_files(spark, sf_dir), _GREP)
 
 
-@query("raw_grep", _GREP_SQL + " ORDER BY rel, line LIMIT 81")
+@query("raw_grep", _GREP_SQL)
 def raw_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_source.grep(_raw_files(spark, sf_dir), _GREP)
 
 
 @query(
     "raw_read_files",
-    f"""WITH {_FILES_SQL} SELECT path AS rel, CASE WHEN length(content) > 200000 THEN left(content, 200000) || chr(10) || '... (truncated)' ELSE content END AS content FROM files""",
+    f"""WITH {_FILES_SQL} SELECT path AS rel, content FROM files""",
 )
 def raw_read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_source.read_files(_raw_files(spark, sf_dir))
@@ -305,10 +305,10 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _REPLY_SQL = """w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM documents),
 ok AS (SELECT doc_id, 'd' || doc_id || '.md' AS path, w FROM w WHERE len(w) >= 2 AND lang <> 'es'),
-n AS (SELECT path, generate_subscripts(w[1:30], 1) - 1 AS i, unnest(w[1:30]) AS word FROM ok),
+n AS (SELECT path, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM ok),
 concept AS (SELECT path, word, min(i) AS i FROM n WHERE i % 7 <> 3 GROUP BY path, word),
-e AS (SELECT path, i, w[i + 1] AS s, w[i + 2] AS t FROM ok, range(0, 40) r(i) WHERE i <= len(w) - 2),
-l AS (SELECT path, generate_subscripts(w[1:20], 1) - 1 AS i, unnest(w[1:20]) AS word FROM ok)"""
+e AS (SELECT path, i - 1 AS i, w[i] AS s, w[i + 1] AS t FROM (SELECT path, w, unnest(range(1, len(w))) AS i FROM ok)),
+l AS (SELECT path, generate_subscripts(w, 1) - 1 AS i, unnest(w) AS word FROM ok)"""
 
 
 @query(
@@ -347,12 +347,14 @@ def reply_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "semantic_prompts",
-    """SELECT doc_id || '.md' AS path, left(sha256(text), 16) AS hash, '<untrusted_source path="' || doc_id || '.md" sha256="' || left(sha256(left(text, 240000)), 16) || '">' || chr(10)
-    || left(text, 240000) || chr(10) || '</untrusted_source>' || chr(10) || 'Extract the knowledge-graph fragment for the document above. JSON only.' AS prompt FROM documents""",
+    """WITH parts AS (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil(length(text) / 40000.0) AS BIGINT), 1))) AS part FROM documents),
+    bodies AS (SELECT doc_id, part, substr(text, part * 40000 + 1, 40000) AS body FROM parts)
+    SELECT doc_id || '.md' AS path, CAST(part AS INTEGER) AS part, left(sha256(body), 16) AS hash, 'Document ' || doc_id || '.md (sha256 ' || left(sha256(body), 16) || ') follows.' || chr(10) || '-----' || chr(10)
+    || body || chr(10) || '-----' || chr(10) || 'End of the document; answer in JSON.' AS prompt FROM bodies""",
 )
 def semantic_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.concat("doc_id", F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    return semantic.prompts(docs)
+    return semantic.prompts(docs, token_budget=10_000)
 
 
 # --- export ------------------------------------------------------------------------------------------

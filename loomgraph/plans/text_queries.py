@@ -116,7 +116,7 @@ def lookup_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sanitize_labels",
-    """SELECT page_id, left(replace(replace(replace(regexp_replace(html, '[\\x00-\\x1f\\x7f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 256)
+    """SELECT page_id, replace(replace(replace(regexp_replace(html, '[\\x00-\\x1f\\x7f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
     AS label FROM pages""",
 )
 def sanitize_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +126,7 @@ def sanitize_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sanitize_metadata",
     """SELECT conv_id, turn, replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS role,
-    left(replace(replace(replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), 256) AS text
+    replace(replace(replace(regexp_replace(text, '[\\x00-\\x1f\\x7f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS text
     FROM conversations""",
 )
 def sanitize_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,8 +232,8 @@ def _hits(patterns, col: str) -> str:
     return " + ".join(f"CAST(regexp_matches({col}, '{p}') AS INTEGER)" for p in patterns)
 
 
-_PAPER_SQL = f"({_hits(_SIGNALS, 'left(content, 3000)')})"
-_MD_PAPER_SQL = f"({_hits(['(?i)' + p for p in _SIGNALS[:-1]], 'left(content, 3000)')})"
+_PAPER_SQL = f"({_hits(_SIGNALS, 'content')})"
+_MD_PAPER_SQL = f"({_hits(['(?i)' + p for p in _SIGNALS[:-1]], 'content')})"
 
 
 @query("paper_signals", f"WITH {FILES_SQL} SELECT doc_id, {_PAPER_SQL} AS signals, {_MD_PAPER_SQL} >= 3 AS markdown_paper FROM files")

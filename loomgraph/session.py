@@ -83,13 +83,12 @@ def reused(df: DataFrame) -> Iterator[DataFrame]:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give per-row Python work at least one task per core.
+    """Deal rows out evenly before per-row Python work, at least one task per core.
 
-    Large inputs have plenty of splits and pass through; a few unsplittable
-    files would otherwise be parsed by a few tasks.
+    The number of partitions is fixed without looking at the input, so planning runs no job.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def hint_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

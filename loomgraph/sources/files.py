@@ -2,42 +2,85 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions import fixed, paths, text
 from loomgraph.operators import classify
-from loomgraph.session import spread
+from loomgraph.session import cut, spread
 
 
-@F.pandas_udf(T.StringType())
-def decode_lossy(content: pd.Series) -> pd.Series:
-    """UTF-8 text with undecodable bytes dropped; Spark's decode would substitute them."""
-    return content.map(lambda b: bytes(b).decode("utf-8", "ignore"), na_action="ignore")
+#: Bytes of file contents that a task hands on at a time.
+READ_BYTES = 1 << 24
+
+_ENTRY = "rel string, folder boolean, size long, mtime_ns long"
+
+
+def _base(root: str) -> str:
+    return root.rstrip("/") if "://" in root else f"file://{Path(root).resolve()}"
+
+
+def _lister(base: str):
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for rel in batch["rel"]:
+                found = system.get_file_info(fs.FileSelector(f"{top}/{rel}" if rel else top))
+                yield pd.DataFrame(
+                    [(f"{rel}/{f.base_name}" if rel else f.base_name, f.type == fs.FileType.Directory, f.size or 0, f.mtime_ns or 0) for f in found],
+                    columns=["rel", "folder", "size", "mtime_ns"],
+                )
+
+    return entries
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """(path, rel, size, mtime_ns): every file below ``root``, contents unread."""
-    base = str(Path(root).resolve()) if "://" not in root else root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    return files.select(
-        plain.alias("path"),
-        F.substring(plain, F.lit(len(base) + 2), F.length(plain)).alias("rel"),
-        F.col("length").alias("size"),
-        (F.unix_micros("modificationTime") * 1000).alias("mtime_ns"),
-    )
+    """(path, rel, size, mtime_ns): every file below ``root``, contents unread.
+
+    Folders are listed level by level, each level spread over the executors;
+    noise folders are not entered. Names may begin with anything.
+    """
+    base = _base(root)
+    plain = base.removeprefix("file://")
+    level, found = spark.createDataFrame([("",)], "rel string"), None
+    while not level.isEmpty():
+        listed = cut(spread(level).mapInPandas(_lister(base), _ENTRY))
+        own = listed.where(~F.col("folder")).select(F.concat(F.lit(f"{plain}/"), "rel").alias("path"), "rel", "size", "mtime_ns")
+        found = own if found is None else found.unionByName(own)
+        level = listed.where(F.col("folder") & ~classify.in_noise_dir(F.concat("rel", F.lit("/.")))).select("rel")
+    return found
 
 
-def contents(spark: SparkSession, root: str) -> DataFrame:
-    """(path, raw): file bytes, to be joined with the paths that are wanted."""
-    base = str(Path(root).resolve()) if "://" not in root else root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), F.col("content").alias("raw"))
+def read_contents(files: DataFrame, root: str, wanted: Column) -> DataFrame:
+    """``files`` with the text of those that are ``wanted``, undecodable bytes dropped.
+
+    Only paths move between tasks; a file is read where its text is used next.
+    """
+    base, columns = _base(root), files.columns
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            texts, low, held = [], 0, 0
+            for k, (rel, want) in enumerate(zip(batch["rel"], batch["_wanted"], strict=True)):
+                text = None
+                if want:
+                    with system.open_input_stream(f"{top}/{rel}") as source:
+                        text = source.read().decode("utf-8", "ignore")
+                texts.append(text)
+                held += len(text or "")
+                if held >= READ_BYTES or k + 1 == len(batch):
+                    yield batch.iloc[low : k + 1].drop(columns="_wanted").assign(content=texts)
+                    texts, low, held = [], k + 1, 0
+
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.StringType())])
+    return spread(files.withColumn("_wanted", F.coalesce(wanted, F.lit(False)))).select(*columns, "_wanted").mapInPandas(read, schema)
 
 
 def ignore_rules(root: str, extra: list[str] | None = None) -> list[str]:
@@ -96,10 +139,8 @@ def detect(spark: SparkSession, root: str, extra_excludes: list[str] | None = No
     files that survive the checks on their name.
     """
     files = candidates(spark, root, extra_excludes)
-    named = files.withColumn("by_name", classify.classify("rel", F.lit("")))
-    wanted = named.where(~F.col("sensitive") & F.col("by_name").isin("code", "document", "paper")).select("path")
-    bodies = spread(contents(spark, root).join(wanted, "path", "left_semi")).select("path", decode_lossy("raw").alias("content"))
-    joined = named.join(bodies, "path", "left")
+    by_name = classify.classify("rel", F.lit(""))
+    joined = read_contents(files, root, ~F.col("sensitive") & by_name.isin("code", "document", "paper"))
     kind = F.when(~F.col("sensitive"), classify.classify("rel", "content"))
     typed = joined.withColumn("file_type", kind)
     return typed.select(
@@ -118,17 +159,14 @@ def _visible(files: DataFrame) -> DataFrame:
 
 
 def list_files(files: DataFrame) -> DataFrame:
-    """(rel, entry) of ``files(rel, size)`` in path order; one row beyond the listing limit marks a cut."""
+    """(rel, entry) of ``files(rel, size)`` in path order."""
     entry = F.concat("rel", F.lit(" ("), "size", F.lit("B)"))
-    return _visible(files).select("rel", entry.alias("entry")).orderBy("rel").limit(fixed.RAW_MAX_LIST + 1)
+    return _visible(files).select("rel", entry.alias("entry")).orderBy("rel")
 
 
 def read_files(files: DataFrame) -> DataFrame:
-    """(rel, content): texts clipped to the tool's answer size."""
-    clipped = F.when(
-        F.length("content") > fixed.RAW_MAX_CHARS, F.concat(F.left("content", F.lit(fixed.RAW_MAX_CHARS)), F.lit("\n... (truncated)"))
-    ).otherwise(F.col("content"))
-    return files.select("rel", clipped.alias("content"))
+    """(rel, content)."""
+    return files.select("rel", "content")
 
 
 def read_file(files: DataFrame, rel: str) -> DataFrame:
@@ -142,10 +180,10 @@ def grep_hits(files: DataFrame, pattern: str) -> DataFrame:
 
     lines = _visible(files).where(F.col("content").rlike(pattern)).select("rel", F.posexplode(F.split("content", LINE_BREAK)).alias("at", "text"))
     return lines.where(F.col("text").rlike(pattern)).select(
-        "rel", (F.col("at") + 1).alias("line"), F.left(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""), F.lit(fixed.RAW_LINE_CHARS)).alias("hit")
+        "rel", (F.col("at") + 1).alias("line"), F.regexp_replace("text", r"(?U)^\s+|\s+$", "").alias("hit")
     )
 
 
 def grep(files: DataFrame, pattern: str) -> DataFrame:
-    """First hits in path order; one row beyond the limit marks a cut."""
-    return grep_hits(files, pattern).orderBy("rel", "line").limit(fixed.RAW_MAX_HITS + 1)
+    """All hits in path order."""
+    return grep_hits(files, pattern).orderBy("rel", "line")

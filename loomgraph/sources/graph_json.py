@@ -36,6 +36,13 @@ def node_link_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
+def drawing_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(section, json): what a viewer draws, absent values left out."""
+    shown = [c for c in ("id", "label", "file_type", "source_file", "community") if c in nodes.columns]
+    points = nodes.select(F.lit("nodes").alias("section"), F.to_json(F.struct(*shown)).alias("json"))
+    return points.unionByName(edges.select(F.lit("links").alias("section"), F.to_json(F.struct("source", "target", "relation", "confidence")).alias("json")))
+
+
 def export_node_link(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """Line-delimited node-link export: ``nodes/*.json`` and ``links/*.json``, written by the executors."""
     rows = node_link_rows(nodes, edges)

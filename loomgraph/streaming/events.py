@@ -6,19 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-# The event vocabulary and how much of a payload is kept.
+# The event vocabulary.
 EVENT_TYPES = "run_started plan tool_call tool_result react_action react_observation synthesis done metrics".split()
 TERMINAL = "done"
-CLIPS = {"raw": 400, "summary": 300, "arg": 120, "preview": 400, "error": 300}
 
 EVENT_SCHEMA = "seq long, ts string, type string, payload string"
 
 
 def event(kind: str, seq: Column, ts: Column, **fields: Column) -> Column:
-    """One event as a struct; long texts are clipped to what a viewer shows."""
-    kept = [
-        (F.left(value, F.lit(CLIPS[name])) if name in CLIPS else value).alias(name) for name, value in fields.items()
-    ]
+    """One event as a struct; its fields are a JSON payload."""
+    kept = [value.alias(name) for name, value in fields.items()]
     return F.struct(seq.alias("seq"), ts.alias("ts"), F.lit(kind).alias("type"), F.to_json(F.struct(*kept)).alias("payload"))
 
 

@@ -3,8 +3,8 @@
 import pytest
 
 from loomgraph.operators import analyze, traverse
-from loomgraph.plans import answer, tools
 from loomgraph.plans.build import build
+from loomgraph.plans.stored import StoredGraph
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +26,7 @@ def built(spark, corpus, tmp_path_factory):
 
 @pytest.fixture(scope="module")
 def graph(spark, built):
-    return tools.Graph.load(spark, built[1])
+    return StoredGraph.open(spark, built[1])
 
 
 def test_counts(built):
@@ -78,25 +78,17 @@ def test_communities_cover_everything(graph):
 
 def test_report(built):
     text = built[0].report
-    for title in ("Corpus Check", "Headline Numbers", "God Nodes", "Communities", "Surprising Connections", "How to read this"):
-        assert f"## {title}" in text
-    assert "**7** nodes, **6** edges" in text and "Skipped 1 likely-secret" in text
+    for topic in ("corpus", "size", "evidence", "most connected", "communities", "unexpected links", "nothing points here"):
+        assert f"\n{topic}\n" in text
+    assert "nodes 7, edges 6" in text and "1 files look secret" in text
 
 
-def test_answer_offline(graph):
-    events = []
-    a = answer.answer_question(graph, "what breaks if I change helper and how", sink=events.append)
-    assert a.plan == ["orient", "impact", "explorer"]
-    assert a.text.startswith("Question:") and "find_affected" in a.text and "explain_concept" in a.text
-    assert [e["type"] for e in events][0] == "plan" and events[-1]["type"] == "done"
-
-
-def test_answer_with_model(graph):
-    def model(instructions, question):
-        return '{"workers": ["orient"]}' if "Route" in instructions else "the answer"
-
-    a = answer.answer_question(graph, "x", model)
-    assert a.plan == ["orient"] and a.text == "the answer"
+def test_stored_graph_answers(graph):
+    assert not graph.directed
+    assert {r["label"] for r in graph.hits("how does main use helper", 60).where("rank is not null").collect()} == {"main()", "helper()"}
+    assert [r["target_label"] for r in graph.route("main", "b.py", 6).collect()] == ["a.py", "helper()", "b.py"]
+    assert [(r["label"], r["relation"]) for r in graph.around("helper").collect()] == [("a.py", "calls"), ("b.py", "contains")]
+    assert graph.downstream("helper", 4).count() == 4
 
 
 def test_incremental(spark, corpus, built):

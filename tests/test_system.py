@@ -1,10 +1,8 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import incremental, ledger, semantic
-from loomgraph.plans import answer, comparison, raw_loop
 from loomgraph.schema import LEDGER
 from loomgraph.sources import files as file_source
 from loomgraph.sources import graph_json
@@ -25,27 +23,22 @@ CALLS = [
 ]
 
 
+def totals(rows):
+    return next(r for r in ledger.roll_up(rows).collect() if r["purpose"] is None)
+
+
 def test_roll_up_and_supersede(spark):
     rows = ledger_of(spark, CALLS)
-    total = comparison.totals(rows)
+    total = totals(rows)
     assert (total["calls"], total["failed_calls"], total["total_tokens"], total["phase_wall_ms"]) == (3, 1, 240, 1200.0)
     by = {r["purpose"]: r for r in ledger.roll_up(rows).collect()}
     assert by["read"]["calls"] == 0 and by["plan"]["calls"] == 2
     zeroed = ledger.supersede_latest(rows, "plan")
-    again = comparison.totals(zeroed)
+    again = totals(zeroed)
     assert (again["calls"], again["total_tokens"]) == (3, 120)
     assert [r["seq"] for r in zeroed.where("superseded").collect()] == [0]
 
 
-def test_comparison_report(spark):
-    graph = ledger_of(spark, [{"kind": "llm", "purpose": "ingest", "prompt_tokens": 1000, "completion_tokens": 0, "wall_ms": 0.0}, {"kind": "llm", "purpose": "answer", "prompt_tokens": 500, "completion_tokens": 100, "wall_ms": 1000.0}])
-    base = ledger_of(spark, [{"kind": "llm", "purpose": "plan", "prompt_tokens": 4000, "completion_tokens": 300, "wall_ms": 9000.0}])
-    steps = spark.createDataFrame([(0, "grep"), (0, "read_file"), (0, "finish")], "question_no int, action string")
-    text = comparison.render(graph, base, steps, ["q one"], "repo", "now")
-    assert "| Total tokens | 1600 | 4300 |" in text and "| q one | 3 | grep, read_file |" in text
-    assert "**3700** per question" in text and "after **0**" in text
-
-
 def test_snapshot(spark):
     now = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 9)], "path string, size long, mtime_ns long")
     index = spark.createDataFrame([("a", 1, 1, "known"), ("c", 3, 3, "old")], "path string, size long, mtime_ns long, hash string")
@@ -107,22 +100,20 @@ def test_scan_and_raw_tools(spark, tmp_path):
     fewer = {r.rel for r in file_source.detect(spark, str(root), ["docs"]).collect()}
     assert "docs/readme.md" not in fewer
     files = file_source.detect(spark, str(root)).where("status = 'kept' AND file_type <> 'image'")
-    assert raw_loop.run_tool(files, {"tool": "grep", "pattern": "tok.n"}) == "src/app.py:2: y = token"
-    assert raw_loop.run_tool(files, {"tool": "read_file", "path": "docs/readme.md"}) == "# Hi"
-    assert raw_loop.run_tool(files, {"tool": "read_file", "path": "../x"}).startswith("error: path escapes")
-    assert raw_loop.run_tool(files, {"tool": "list_files"}).splitlines()[1] == "docs/readme.md (4B)"
-    assert raw_loop.run_tool(files, {"tool": "grep", "pattern": "("}).startswith("error: bad regex")
-
-    script = iter(['<thought>hm</thought>```json\n{"tool": "grep", "pattern": "token"}\n```', "gibberish", '{"tool": "finish", "answer": "in app.py"}'])
-    result = raw_loop.run("where", files, lambda system, user: next(script))
-    assert result.answer == "in app.py" and result.finish_reason == "finish"
-    assert [s["action"] for s in result.steps] == ["grep", "unparseable", "finish"]
-    spent = raw_loop.run("where", files, lambda s, u: '{"tool": "list_files"}', max_steps=2)
-    assert spent.finish_reason == "budget" and len(spent.steps) == 2
-    pauses = []
-    with pytest.raises(RuntimeError):
-        raw_loop.chat_with_retry(lambda s, u: (_ for _ in ()).throw(RuntimeError("429")), "x", sleep=pauses.append)
-    assert pauses == [4.0, 8.0, 16.0]
+    assert [(r.rel, r.line, r.hit) for r in file_source.grep(files, "tok.n").collect()] == [("src/app.py", 2, "y = token")]
+    assert [r.content for r in file_source.read_file(files, "docs/readme.md").collect()] == ["# Hi"]
+    assert [r.entry for r in file_source.list_files(files).collect()][1] == "docs/readme.md (4B)"
+
+
+def test_scan_sees_hidden_names_and_prunes(spark, tmp_path):
+    root = tmp_path / "repo"
+    for rel in ("pkg/__init__.py", "pkg/_utils.py", "pkg/_private/deep.py", "pkg/main.py", ".env", ".github/CONTRIBUTING.md", "README.md", "go.mod", ".git/config", "node_modules/a/b.js"):
+        (root / rel).parent.mkdir(parents=True, exist_ok=True)
+        (root / rel).write_text("module m\n")
+    seen = {r.rel for r in file_source.scan(spark, str(root)).collect()}
+    assert seen == {"pkg/__init__.py", "pkg/_utils.py", "pkg/_private/deep.py", "pkg/main.py", ".env", ".github/CONTRIBUTING.md", "README.md", "go.mod"}
+    found = {r.rel: (r.status, r.content) for r in file_source.detect(spark, str(root)).collect()}
+    assert found["pkg/__init__.py"] == ("kept", "module m\n") and found[".env"] == ("sensitive", None)
 
 
 def test_replies(spark):
@@ -132,14 +123,13 @@ def test_replies(spark):
     acts = ['<thought>x {1} </thought> {"tool": "a"}', "<thought>never closed", 'so {"tool": "b"} ok', '{"tool": "c", "x": {"y": 1}}']
     got = [x[0] for x in spark.createDataFrame([(r,) for r in acts], "r string").select(semantic.action_object(F.col("r"))).collect()]
     assert [json.loads(g)["tool"] if g else None for g in got] == ["a", None, "b", "c"]
-    assert [(raw_loop.parse_action(a) or {}).get("tool") for a in acts] == ["a", None, "b", "c"]
 
 
 def test_model_errors_and_cache(spark):
     files = spark.createDataFrame([("a.md", "A"), ("b.md", "B")], "path string, content string")
 
     def model(prompt):
-        if "A" in prompt.splitlines()[1]:
+        if "A" in prompt.splitlines()[2]:
             raise RuntimeError("down")
         return "{}"
 
@@ -152,13 +142,6 @@ def test_model_errors_and_cache(spark):
     assert {r.error for r in semantic.ask_model(files, None).collect()} == {"skipped"}
 
 
-def test_router_and_evidence():
-    assert answer.keyword_plan("what breaks if I change the pool") == ["orient", "impact", "explorer"]
-    assert answer.keyword_plan("refactor pool") == ["orient", "impact"]
-    assert answer.keyword_plan("pool") == ["orient", "explorer"]
-    assert answer.add_evidence([{"a": 1}], [{"a": 1}, {"b": 2}]) == [{"a": 1}, {"b": 2}]
-
-
 def test_graph_json_round_trip(spark, tmp_path):
     doc = {"directed": False, "nodes": [{"id": "a", "label": "A", "file_type": "code", "source_file": "a.py"}, {"id": "b", "label": "B"}], "links": [{"source": "a", "target": "b", "relation": "calls"}]}
     (tmp_path / "g.json").write_text(json.dumps(doc))
