@@ -1,14 +1,16 @@
 """From candidate buckets to classes: union-find over links, kept in tables.
 
-Near-duplicate operators give members to buckets. ``Linker`` tests members of a
+Near-duplicate operators give members to buckets. ``link_buckets`` tests members of a
 bucket and joins what is alike, without listing all pairs of a bucket:
 
 1. every bucket has a leader, chosen by an order of its own, and each member is
    tested against it; members of one large group of copies so meet many leaders
    and become one class in one pass over the buckets;
-2. what still shares a bucket but not a class is tested pair by pair, because a
-   leader that is unlike both says nothing about two members. Pairs inside a
-   class are never listed.
+2. a leader that is unlike two members says nothing about them. Members of buckets
+   that still hold several classes are compared by an exact prefix filter: with
+   shingles in order of frequency, rarest first, two sets of Jaccard similarity t share
+   one of the first n - ceil(t n) + 1 of each. What many members have in common is late
+   in that order, so large classes do not meet pair by pair.
 """
 
 from __future__ import annotations
@@ -28,37 +30,59 @@ def union_find(links: DataFrame, scratch: Scratch) -> DataFrame:
     halves the paths; hash order keeps chains short, so the rounds grow with the
     logarithm of the input. The state is a written table in every round.
     """
-    edges = links.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y").distinct()
-    edges = scratch.put("edges0", edges)
-    ids = edges.select(F.col("x").alias("id")).union(edges.select(F.col("y").alias("id"))).distinct()
-    state = scratch.put("state0", ids.select("id", F.col("id").alias("root")))
-    done = 0
+    first = scratch.put("edges0", links.select(F.col("a").alias("x"), F.col("b").alias("y")).where("x <> y").distinct())
+    edges, jumps = first, []
     while not edges.isEmpty():
+        done = len(jumps)
         both = edges.union(edges.select("y", "x"))
         rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("v"))
-        near = both.groupBy("x").agg(F.min_by("y", rank("y")).alias("y"))
-        hook = near.select("x", F.when(rank("y") < rank("x"), F.col("y")).otherwise(F.col("x")).alias("up"))
-        hook = scratch.put(f"hook{done}", hook)
+        near = both.groupBy("x").agg(F.min(rank("y")).alias("y"))
+        hook = near.select("x", F.least(F.col("y"), rank("x"))["v"].alias("up"))
         above = hook.select(F.col("x").alias("up"), F.col("up").alias("top"))
-        jump = hook.join(above, "up").select("x", "top")
-        jump = scratch.put(f"jump{done}", jump)
-        moved = state.join(jump, state["root"] == jump["x"], "left").select("id", F.coalesce("top", "root").alias("root"))
-        state = scratch.put(f"state{done + 1}", moved)
-        of = lambda c: jump.select(F.col("x").alias(c), F.col("top").alias("t" + c))
+        jump = scratch.put(f"jump{done}", hook.join(above, "up").select("x", "top"))
+        jumps.append(jump)
+        of = lambda c, jump=jump: jump.select(F.col("x").alias(c), F.col("top").alias("t" + c))
         left = edges.join(of("x"), "x").join(of("y"), "y").select(F.col("tx").alias("x"), F.col("ty").alias("y"))
         edges = scratch.put(f"edges{done + 1}", left.where("x <> y").distinct())
-        scratch.drop(f"edges{done}", f"state{done}", f"hook{done}", f"jump{done}")
-        done += 1
+        if done:
+            scratch.drop(f"edges{done}")
+    state = first.select(F.col("x").alias("id")).union(first.select(F.col("y").alias("id"))).distinct().select("id", F.col("id").alias("root"))
+    for jump in jumps:
+        state = state.join(jump.withColumnRenamed("x", "root"), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
     least = state.groupBy("root").agg(F.min("id").alias("least"))
     result = scratch.put("classes", state.join(least, "root").select("id", F.col("least").alias("root")))
-    scratch.drop(f"edges{done}", f"state{done}")
+    scratch.drop("edges0", f"edges{len(jumps)}", *[f"jump{k}" for k in range(len(jumps))])
     return result
 
 
-def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def across_classes(members: DataFrame, least: float) -> DataFrame:
+    """Candidate pairs (a, b) of ``members`` (id, root, tokens) with different roots.
+
+    Every pair whose token sets have Jaccard similarity ``least`` is among them.
+    """
+    rows = members.select("id", "root", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
+    # A token of a single class ties nothing, but keeps its place in the order.
+    counts = counts.select("token", "df", (F.col("low") != F.col("high")).alias("crosses"))
+    ordered = rows.join(counts, "token").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", "crosses"))).alias("t"))
+    prefix = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
+    heads = ordered.select("id", "root", "n", F.posexplode(F.slice("t", F.lit(1), prefix)).alias("at", "e")).where("e.crosses")
+    heads = heads.select("id", "root", "n", "at", F.col("e.token").alias("token"))
+    left = heads.select("token", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    right = heads.select("token", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    # For the first token that both have, nothing before it is shared.
+    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
+    enough = most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9
+    return left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough).select("a", "b").distinct()
+
+
+def link_buckets(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], least: float, scratch: Scratch
+) -> tuple[DataFrame, DataFrame]:
     """Classes and links of ``members`` (bucket long, id long).
 
-    ``verify`` takes distinct pairs (a, b) and returns those that are alike.
+    ``verify`` takes distinct pairs (a, b) and returns those of Jaccard similarity
+    ``least``; ``tokens`` takes ids and returns (id, tokens), their sets.
     Returns (id, root) for every id with a link, and the links (a, b).
     """
     # The leader has the least id under an order that each bucket has for itself.
@@ -71,18 +95,15 @@ def link_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     links = scratch.put("links", verify(tested))
     classes = union_find(links, scratch)
 
-    # Several classes in a bucket: their members are tested against each other.
-    own = classes.select("id", "root")
-    placed = shared.join(own, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    placed = shared.join(classes, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    open_ = scratch.put("open", placed.join(split, "bucket"))
-    left = open_.select("bucket", F.col("id").alias("a"), F.col("root").alias("ra"))
-    right = open_.select("bucket", F.col("id").alias("b"), F.col("root").alias("rb"))
-    rest = left.join(right, "bucket").where("a < b and ra <> rb").select("a", "b").distinct()
-    rest = scratch.put("rest", rest.join(tested, ["a", "b"], "left_anti"))
-    scratch.drop("open", "shared", "leaders")
+    open_ = scratch.put("open", placed.join(split, "bucket").select("id", "root").distinct())
+    scratch.drop("shared", "leaders")
+    sets = scratch.put("sets", tokens(open_.select("id")).join(open_, "id"))
+    rest = scratch.put("rest", across_classes(sets, least).join(tested, ["a", "b"], "left_anti"))
+    scratch.drop("open", "sets", "tested")
     more = scratch.put("more", verify(rest))
-    scratch.drop("rest", "tested")
+    scratch.drop("rest")
     if more.isEmpty():
         return classes, links
     every = links.union(more)

@@ -89,6 +89,14 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, band_slots: int, b
             yield pa.record_batch([batch.column(0).slice(low, many), pa.array(digests[0]), pa.array(digests[1]), lists], names=["doc_id", "d1", "d2", "bands"])
 
 
+def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for low in range(0, batch.num_rows, 500):
+            part = batch.slice(low, 500)
+            sets = [arrays.shingle_set(t, size).view(np.int64) for t in part.column("text").to_pylist()]
+            yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
+
+
 def _alike(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
     known = functools.lru_cache(maxsize=256)(lambda text: arrays.shingle_set(text, size))
     for batch in batches:
@@ -112,15 +120,22 @@ def classes(
     # rows that repeat a doc_id give its text once
     lookup = texts.where("doc_id is not null")
 
+    def held(ids: DataFrame, name: str) -> DataFrame:
+        own = lookup.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        return scratch.put(name, own.groupBy("doc_id").agg(F.min("text").alias("text")))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        held = lookup.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-        held = scratch.put(f"texts{len(scratch._paths)}", held)
-        left, right = (held.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
+        texts_ = held(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "texts")
+        left, right = (texts_.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-        return both.mapInArrow(lambda it: _alike(it, size, least), "a long, b long")
+        alike = scratch.put("alike", both.mapInArrow(lambda it: _alike(it, size, least), "a long, b long"))
+        scratch.drop("texts")
+        return alike
+
+    def tokens(ids: DataFrame) -> DataFrame:
+        return held(ids, "open-texts").mapInArrow(lambda it: _sets(it, size), "id long, tokens array<long>")
 
-    found, _ = link_buckets(members, verify, scratch)
+    found, _ = link_buckets(members, verify, tokens, least, scratch)
     reps = copies.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
     reps = reps.select("d1", "d2", "rep", F.coalesce("root", "rep").alias("class_id"))
     own = signed.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"], "left")
