@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from loomgraph.functions import fixed, ids, paths, text
 from loomgraph.functions.source_facts import source_facts
-from loomgraph.session import spread
+from loomgraph.session import cut, spread
 
 DEFINING = ["class", "function", "struct", "enum", "trait", "impl", "type"]
 
@@ -166,9 +166,13 @@ def definition_records(facts: DataFrame) -> DataFrame:
     )
 
 
-def extract_code(files: DataFrame) -> dict[str, DataFrame]:
-    """nodes, edges, calls, definitions, errors of ``files(path, content)``."""
-    scanned = scan(files)
+def extract_code(files: DataFrame, stored: bool = False) -> dict[str, DataFrame]:
+    """nodes, edges, calls, definitions, errors of ``files(path, content)``.
+
+    ``stored`` writes what the parser found first: for callers that use several
+    of the results, so that each file is parsed once.
+    """
+    scanned = cut(scan(files)) if stored else scan(files)
     facts = facts_of(scanned)
     return {
         "nodes": node_records(scanned, facts),

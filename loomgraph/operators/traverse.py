@@ -51,11 +51,21 @@ def match_rank(name: str) -> Column:
     return rank.when(F.contains(bare, F.lit(short)), 3) if short else rank
 
 
+def find_nodes(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """(lookup, id, match): for the place of each name its best match, ties in node order, from one scan."""
+    best = []
+    for name in names:
+        match = match_rank(name)
+        rank = F.when(match.isNotNull(), F.struct(match.alias("match"), F.col("ord")))
+        best.append(F.min_by(F.struct(F.col("id"), match.alias("match")), rank))
+    found = folded(nodes).agg(*[hit.alias(f"hit{k}") for k, hit in enumerate(best)])
+    rows = F.array(*[F.struct(F.lit(k).alias("lookup"), F.col(f"hit{k}.id").alias("id"), F.col(f"hit{k}.match").alias("match")) for k in range(len(names))])
+    return found.select(F.inline(rows)).where(F.col("match").isNotNull())
+
+
 def find_node(nodes: DataFrame, name: str) -> DataFrame:
     """At most one row (id, match): the best match, ties in node order."""
-    ranked = folded(nodes).select("id", "ord", match_rank(name).alias("match")).where(F.col("match").isNotNull())
-    best = ranked.agg(F.min_by(F.struct("id", "match"), F.struct("match", "ord")).alias("hit"))
-    return best.where(F.col("hit").isNotNull()).select("hit.id", "hit.match")
+    return find_nodes(nodes, [name]).select("id", "match")
 
 
 def resolve_name(nodes: DataFrame, name: str) -> str | None:

@@ -29,7 +29,7 @@ from loomgraph.operators import (
     validate,
 )
 from loomgraph.plans import report as report_text
-from loomgraph.session import cut, reused
+from loomgraph.session import cut
 from loomgraph.sources import files as file_source
 from loomgraph.sources import graph_json
 
@@ -54,7 +54,7 @@ class BuildResult:
 
 def extract_records(files: DataFrame) -> dict[str, DataFrame]:
     """All structural records of ``files(path, content)``, one fragment per file and manifest."""
-    code = extract_code.extract_code(files)
+    code = extract_code.extract_code(files, stored=True)
     md_nodes, md_edges = extract_markdown.extract_markdown(extract_markdown.markdown_files(files))
     mf_nodes, mf_edges = extract_manifest.extract_manifests(files)
     return {
@@ -113,6 +113,13 @@ def latest_version(spark: SparkSession, store: str) -> int | None:
     return max(done, default=None)
 
 
+def stored_replies(spark: SparkSession, path: str) -> DataFrame | None:
+    """Model replies of earlier builds, by the hash of what was asked."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.parquet(path) if fs.exists(folder) else None
+
+
 def graph_from_records(records: dict[str, DataFrame], directed: bool = False) -> tuple[DataFrame, DataFrame, int, int]:
     """(nodes, edges, inferred, merges): the structural graph of validated fragments."""
     names = [n for n in RECORDS if n in records]
@@ -150,23 +157,27 @@ def build(
         now = time.perf_counter()
         result.timings[stage], clock = round(now - clock, 2), now
 
-    with reused(file_source.detect(spark, root, extra_excludes)) as found:
-        health = classify.corpus_health(found).first().asDict()
-        skipped = found.where(F.col("status") == "sensitive").count()
-        mark("detect")
-        usable = found.where((F.col("status") == "kept") & F.col("file_type").isin("code", "document", "paper")).select("path", "content")
-        records, result.cached_files, result.extracted_files = refresh_fragments(spark, usable, f"{out}/fragments", update)
-        mark("extract")
-        nodes, edges, result.inferred_edges, result.merges = graph_from_records(records, directed)
-        mark("build")
-        if model is not None:
-            docs = found.where(F.col("file_type").isin("document", "paper")).select("path", "content")
-            replies = cut(semantic.ask_model(docs, model))
-            parts = semantic.fragments(replies)
-            checked = validate.drop_invalid(parts["nodes"], parts["edges"], parts["links"])
-            nodes, edges, stats = foldin.fold_in(nodes, edges, *checked, directed=directed)
-            nodes, edges = cut(nodes), cut(edges)
-            result.semantic = stats.first().asDict()
+    found = cut(file_source.detect(spark, root, extra_excludes))
+    health = classify.corpus_health(found).first().asDict()
+    skipped = found.where(F.col("status") == "sensitive").count()
+    mark("detect")
+    readable = F.coalesce(F.col("file_type").isin("code", "document", "paper"), F.lit(False)) & (F.col("status") == "kept")
+    manifest = (F.col("status") != "sensitive") & file_source.is_manifest("rel")
+    usable = found.where(readable | manifest).select("path", "content")
+    records, result.cached_files, result.extracted_files = refresh_fragments(spark, usable, f"{out}/fragments", update)
+    mark("extract")
+    nodes, edges, result.inferred_edges, result.merges = graph_from_records(records, directed)
+    mark("build")
+    if model is not None:
+        docs = found.where(F.col("file_type").isin("document", "paper")).select("path", "content")
+        known = stored_replies(spark, f"{out}/replies") if update else None
+        replies = cut(semantic.ask_model(docs, model, known))
+        replies.where("reply is not null").select("hash", "reply").write.mode("overwrite").parquet(f"{out}/replies")
+        parts = semantic.fragments(replies)
+        checked = validate.drop_invalid(parts["nodes"], parts["edges"], parts["links"])
+        nodes, edges, stats = foldin.fold_in(nodes, edges, *checked, directed=directed)
+        nodes, edges = cut(nodes), cut(edges)
+        result.semantic = stats.first().asDict()
     mark("semantic")
     membership = cut(community.cluster(nodes, edges, resolution))
     named = cut(community.communities(nodes, edges, membership))

@@ -186,12 +186,7 @@ def _lookup_sql() -> str:
 
 @query("find_node", _lookup_sql())
 def find_node(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = star_nodes(spark, sf_dir)
-    found = [traverse.find_node(nodes, name).withColumn("lookup", F.lit(i)) for i, name in enumerate(LOOKUPS)]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.select("lookup", "id", "match")
+    return traverse.find_nodes(star_nodes(spark, sf_dir), LOOKUPS)
 
 
 QUESTION = "how does the old bolt connect to Nation_4 and the customer"

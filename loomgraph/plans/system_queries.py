@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed
-from loomgraph.operators import incremental, ledger, semantic
+from loomgraph.operators import analyze, incremental, ledger, semantic
 from loomgraph.plans.registry import query
 from loomgraph.session import cut, ensure_checkpoint_dir, spread
 from loomgraph.sources import files as file_source
@@ -49,10 +49,10 @@ def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.price(calls.unionByName(phases)).withColumn("superseded", F.lit(False))
 
 
-def _cost_sql() -> str:
+def _cost_sql(prices: list[tuple[str, float, float]] = fixed.PRICES) -> str:
     arms = " ".join(
         f"WHEN starts_with(model, '{p}') THEN CAST(round_even(CAST(prompt_tokens / 1e6 * {float(a)!r} + completion_tokens / 1e6 * {float(b)!r} AS DECIMAL(30, 20)), 6) AS DOUBLE)"
-        for p, a, b in fixed.PRICES
+        for p, a, b in prices
     )
     return f"CASE {arms} ELSE 0.0 END"
 
@@ -70,6 +70,19 @@ def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir).where(F.col("kind") == "llm").select("seq", "model", "cost_usd")
 
 
+_OVERRIDES = '{"gpt-4o": [1.0, 2.0], "local-7b": [0.37, 0.29]}'
+
+
+@query(
+    "call_costs_overridden",
+    f"WITH {_LEDGER_SQL} SELECT seq, model, {_cost_sql(ledger.price_list(_OVERRIDES))} AS cost_usd FROM (SELECT * EXCLUDE (cost_usd) FROM ledger) WHERE kind = 'llm'",
+)
+def call_costs_overridden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings may change known prices and add new ones."""
+    rows = ledger.price(_ledger(spark, sf_dir).drop("cost_usd"), ledger.price_list(_OVERRIDES))
+    return rows.where(F.col("kind") == "llm").select("seq", "model", "cost_usd")
+
+
 def _sums_sql(source: str) -> str:
     return f"""SELECT purpose, count(*) FILTER (kind = 'llm') AS calls, count(*) FILTER (kind = 'llm' AND error IS NOT NULL) AS failed_calls,
     CAST(coalesce(sum(prompt_tokens), 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(sum(completion_tokens), 0) AS BIGINT) AS completion_tokens,
@@ -357,6 +370,40 @@ def semantic_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return semantic.prompts(docs, token_budget=10_000)
 
 
+@query(
+    "action_tools",
+    """SELECT conv_id, turn, CASE turn % 4 WHEN 1 THEN NULL ELSE role || (turn % 4) END AS tool FROM conversations""",
+)
+def action_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions in replies that think aloud, are cut short, or have text around them."""
+    tool = F.concat("role", (F.col("turn") % 4).cast("string"))
+    flat = F.concat(F.lit('{"tool": "'), tool, F.lit('"}'))
+    reply = (
+        F.when(F.col("turn") % 4 == 0, F.concat(F.lit("<thought>"), "text", F.lit(" {1} </thought> "), flat))
+        .when(F.col("turn") % 4 == 1, F.concat(F.lit("<thought>"), "text"))
+        .when(F.col("turn") % 4 == 2, F.concat("text", F.lit(" "), flat, F.lit(" "), "text"))
+        .otherwise(F.concat(F.lit('{"tool": "'), tool, F.lit('", "args": {"n": 1}}')))
+    )
+    found = table(spark, sf_dir, "conversations").select("conv_id", "turn", semantic.action_object(reply).alias("action"))
+    return found.select("conv_id", "turn", F.get_json_object("action", "$.tool").alias("tool"))
+
+
+_JSON_KEYS = ", ".join(f"'{w}'" for w in fixed.JSON_NOISE_LABELS)
+
+
+@query(
+    "json_key_noise",
+    f"""WITH w AS (SELECT page_id, unnest(regexp_extract_all(html, '[A-Za-z]+')) AS label FROM pages WHERE page_id % 3 <> 1)
+    SELECT page_id, count(*) AS n FROM w WHERE lower(label) IN ({_JSON_KEYS}) GROUP BY page_id""",
+)
+def json_key_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of pages as labels; a third of the pages is stored under another suffix, where no key is noise."""
+    word = F.explode(F.regexp_extract_all("html", F.lit("[A-Za-z]+"), F.lit(0))).alias("label")
+    path = F.concat("page_id", F.when(F.col("page_id") % 3 == 1, ".md").otherwise(".JSON")).alias("source_file")
+    words = table(spark, sf_dir, "pages").select("page_id", path, word)
+    return words.where(analyze.is_json_key()).groupBy("page_id").agg(F.count("*").alias("n"))
+
+
 # --- export ------------------------------------------------------------------------------------------
 
 
@@ -371,3 +418,12 @@ def semantic_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def node_link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_json.node_link_rows(star_nodes(spark, sf_dir), star_edges(spark, sf_dir))
+
+
+@query(
+    "drawing_rows",
+    f"""WITH {STAR_SQL} SELECT 'nodes' AS section, '{{"id":"' || id || '","label":"' || label || '","file_type":"' || file_type || '","source_file":"' || source_file || '"}}' AS json FROM nodes
+    UNION ALL SELECT 'links', '{{"source":"' || source || '","target":"' || target || '","relation":"' || relation || '","confidence":"' || confidence || '"}}' FROM edges""",
+)
+def drawing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_json.drawing_rows(star_nodes(spark, sf_dir), star_edges(spark, sf_dir))

@@ -132,6 +132,11 @@ def _below_ignored(rel: Column, rules: list[str]) -> Column:
     return F.exists(folders, lambda folder: classify.ignored(folder, rules))
 
 
+def is_manifest(rel: Column | str) -> Column:
+    """Package manifests are read whatever their suffix."""
+    return F.lower(paths.basename(rel)).isin(fixed.MANIFEST_NAMES)
+
+
 def detect(spark: SparkSession, root: str, extra_excludes: list[str] | None = None) -> DataFrame:
     """(path, rel, size, mtime_ns, status, file_type, content, words).
 
@@ -140,7 +145,8 @@ def detect(spark: SparkSession, root: str, extra_excludes: list[str] | None = No
     """
     files = candidates(spark, root, extra_excludes)
     by_name = classify.classify("rel", F.lit(""))
-    joined = read_contents(files, root, ~F.col("sensitive") & by_name.isin("code", "document", "paper"))
+    wanted = by_name.isin("code", "document", "paper") | is_manifest("rel")
+    joined = read_contents(files, root, ~F.col("sensitive") & wanted)
     kind = F.when(~F.col("sensitive"), classify.classify("rel", "content"))
     typed = joined.withColumn("file_type", kind)
     return typed.select(

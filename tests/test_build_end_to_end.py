@@ -108,3 +108,16 @@ def test_semantic_pass(spark, corpus, tmp_path):
     )
     r = build(spark, str(corpus), str(tmp_path / "g"), model=lambda prompt: reply, write_report=False)
     assert r.semantic == {"concepts": 2, "concept_edges": 3, "code_links": 1, "unresolved": 1}
+
+
+def test_replies_are_kept_and_manifests_are_read(spark, corpus, tmp_path):
+    (corpus / "go.mod").write_text("module shop\n\nrequire (\n\texample.org/dep v1.0\n)\n")
+
+    def model(prompt):
+        raise AssertionError("asked again")
+
+    first = build(spark, str(corpus), str(tmp_path / "g"), update=True, model=lambda prompt: '{"nodes": [{"id": "retry", "label": "Retry"}]}', write_report=False)
+    again = build(spark, str(corpus), str(tmp_path / "g"), update=True, model=model, write_report=False)
+    assert first.semantic["concepts"] == again.semantic["concepts"] == 1
+    labels = {r["label"] for r in StoredGraph.open(spark, str(tmp_path / "g")).nodes.collect()}
+    assert {"shop", "example.org/dep"} <= labels
