@@ -15,13 +15,46 @@ bucket and joins what is alike, without listing all pairs of a bucket:
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.tables import Scratch
 
+#: Groups of tokens whose frequencies order the prefixes.
+GROUPS = 1 << 18
+#: Bits of the bitmap that keeps rows nobody needs out of a shuffle.
+MARKS = 1 << 23
+
+
+def marks(ids: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size in which the hash of every id is marked."""
+    bit = F.pmod(F.xxhash64(column), F.lit(MARKS))
+    words = ids.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr("1L").alias("one"), (bit % 64).cast("int").alias("b"))
+    found = words.groupBy("w").agg(F.expr("bit_or(shiftleft(one, b))").alias("bits")).toArrow()  # MARKS / 64 rows at most
+    out = np.zeros(MARKS // 64, np.int64)
+    out[found["w"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def marked(rows: DataFrame, column: str, bitmap: np.ndarray) -> DataFrame:
+    """The rows whose id may be marked: all that are, and few others while the bitmap is not full.
+
+    A join with the ids themselves decides; this keeps most other rows out of its shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(batch.num_columns - 1).to_numpy()
+            keep = (bitmap[at >> 6] >> (at & 63)) & 1
+            yield batch.select(batch.schema.names[:-1]).filter(pa.array(keep.astype(bool)))
+
+    return rows.withColumn("_mark", F.pmod(F.xxhash64(column), F.lit(MARKS))).mapInArrow(run, rows.schema)
+
 
 def union_find(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(a, b) -> (id, root) for every id that has a link; the root is the least id of its class.
@@ -55,19 +88,37 @@ def union_find(links: DataFrame, scratch: Scratch) -> DataFrame:
     return result
 
 
-def across_classes(members: DataFrame, least: float) -> DataFrame:
+def _heads(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    """(token, id, root, n, at) for the prefix of each set, its tokens ordered by frequency."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 1000):
+            part = batch.slice(low, 1000)
+            lists = part.column("tokens")
+            tokens, n = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((tokens, frequency[tokens & (len(frequency) - 1)], row))
+            at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
+            head = at < (n - np.ceil(n * least - 1e-9) + 1)[row]
+            row, at, token = row[head], at[head], tokens[order][head]
+            take = lambda c, part=part, row=row: part.column(c).take(pa.array(row))
+            yield pa.record_batch([pa.array(token), take("id"), take("root"), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "id", "root", "n", "at"])
+
+
+def across_classes(members: DataFrame, least: float, scratch: Scratch) -> DataFrame:
     """Candidate pairs (a, b) of ``members`` (id, root, tokens) with different roots.
 
-    Every pair whose token sets have Jaccard similarity ``least`` is among them.
+    Every pair whose token sets have Jaccard similarity ``least`` is among them: that
+    holds for prefixes in any common order. Frequencies are kept for groups of
+    tokens, of which there is a fixed number.
     """
-    rows = members.select("id", "root", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high"))
-    # A token of a single class ties nothing, but keeps its place in the order.
-    counts = counts.select("token", "df", (F.col("low") != F.col("high")).alias("crosses"))
-    ordered = rows.join(counts, "token").groupBy("id", "root", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token", "crosses"))).alias("t"))
-    prefix = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
-    heads = ordered.select("id", "root", "n", F.posexplode(F.slice("t", F.lit(1), prefix)).alias("at", "e")).where("e.crosses")
-    heads = heads.select("id", "root", "n", "at", F.col("e.token").alias("token"))
+    group = F.expr(f"token & {GROUPS - 1}L").cast("int").alias("g")
+    counts = members.select(F.explode("tokens").alias("token")).groupBy(group).count().toArrow()  # GROUPS rows at most
+    frequency = np.zeros(GROUPS, np.int64)
+    frequency[counts["g"].to_numpy()] = counts["count"].to_numpy()
+    heads = members.select("id", "root", "tokens").mapInArrow(lambda it: _heads(it, frequency, least), "token long, id long, root long, n int, at int")
+    heads = scratch.put("heads", heads)
+    crossing = heads.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    heads = heads.join(crossing, "token")
     left = heads.select("token", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"))
     right = heads.select("token", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
     # For the first token that both have, nothing before it is shared.
@@ -100,8 +151,8 @@ def link_buckets(
     open_ = scratch.put("open", placed.join(split, "bucket").select("id", "root").distinct())
     scratch.drop("shared", "leaders")
     sets = scratch.put("sets", tokens(open_.select("id")).join(open_, "id"))
-    rest = scratch.put("rest", across_classes(sets, least).join(tested, ["a", "b"], "left_anti"))
-    scratch.drop("open", "sets", "tested")
+    rest = scratch.put("rest", across_classes(sets, least, scratch).join(tested, ["a", "b"], "left_anti"))
+    scratch.drop("open", "sets", "heads", "tested")
     more = scratch.put("more", verify(rest))
     scratch.drop("rest")
     if more.isEmpty():

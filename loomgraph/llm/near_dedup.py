@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm import arrays
-from loomgraph.llm.linking import link_buckets
+from loomgraph.llm.linking import link_buckets, marked, marks
 from loomgraph.llm.tables import Scratch
 
 SHINGLE_WORDS = 5
@@ -120,22 +120,28 @@ def classes(
     # rows that repeat a doc_id give its text once
     lookup = texts.where("doc_id is not null")
 
-    def held(ids: DataFrame, name: str) -> DataFrame:
-        own = lookup.join(ids.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        return scratch.put(name, own.groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts_: list[DataFrame] = []
+
+    def held(ids: DataFrame) -> DataFrame:
+        """Texts of the first call's ids: those of later calls are among them."""
+        if not texts_:
+            ids = scratch.put("needed", ids.select(F.col("id").alias("doc_id")).distinct())
+            own = marked(lookup, "doc_id", marks(ids, "doc_id")).join(ids, "doc_id", "left_semi")
+            texts_.append(scratch.put("texts", own.groupBy("doc_id").agg(F.min("text").alias("text"))))
+        return texts_[0]
 
     def verify(pairs: DataFrame) -> DataFrame:
-        texts_ = held(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), "texts")
-        left, right = (texts_.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
+        known = held(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
+        left, right = (known.select(F.col("doc_id").alias(c), F.col("text").alias("t" + c)) for c in "ab")
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-        alike = scratch.put("alike", both.mapInArrow(lambda it: _alike(it, size, least), "a long, b long"))
-        scratch.drop("texts")
-        return alike
+        return both.mapInArrow(lambda it: _alike(it, size, least), "a long, b long")
 
     def tokens(ids: DataFrame) -> DataFrame:
-        return held(ids, "open-texts").mapInArrow(lambda it: _sets(it, size), "id long, tokens array<long>")
+        own = held(ids).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+        return own.mapInArrow(lambda it: _sets(it, size), "id long, tokens array<long>")
 
     found, _ = link_buckets(members, verify, tokens, least, scratch)
+    scratch.drop("needed", "texts")
     reps = copies.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
     reps = reps.select("d1", "d2", "rep", F.coalesce("root", "rep").alias("class_id"))
     own = signed.select("doc_id", "d1", "d2").join(reps, ["d1", "d2"], "left")
