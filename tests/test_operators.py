@@ -49,7 +49,7 @@ def test_gate(spark):
     kept = validate.drop_invalid(nodes, edges)
     assert {r.id for r in kept[0].collect()} == {"a"}
     assert {r.source for r in kept[1].collect()} == {"a", "q"}
-    with pytest.raises(ValueError, match="4 error"):
+    with pytest.raises(ValueError, match="4 violations"):
         validate.assert_valid(nodes, edges)
 
 
