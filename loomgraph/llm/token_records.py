@@ -108,25 +108,37 @@ def _tokenizer(path: str):
 
 
 class _Memo(dict):
-    """Packed ids of single words, filled on demand."""
+    """Packed ids of single words."""
 
     def __init__(self, how: Encoding):
         super().__init__()
         self.how, self.tokenizer = how, _tokenizer(how.tokenizer)
 
     def pack(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def packed(self, ids: list[int]) -> bytes:
         if self.how.id_bytes == 2 and ids and max(ids) > 0xFFFF:
             raise ValueError("the vocabulary needs id_bytes=4")
         return np.array(ids, self.how.dtype).tobytes()
 
+    def learn(self, words: list[str]) -> None:
+        """Encode the words that are new all at once, a blank between them, and part the ids by offset."""
+        new = [w for w in dict.fromkeys(words) if w not in self and len(w) <= MEMO_CHARS]
+        if len(self) + len(new) > MEMO_WORDS:
+            self.clear()
+            new = [w for w in dict.fromkeys(words) if len(w) <= MEMO_CHARS]
+        if not new:
+            return
+        encoded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        lengths = np.array([len(w) + 1 for w in new])
+        word = np.searchsorted(np.cumsum(lengths) - lengths, np.array([a for a, _ in encoded.offsets], np.int64), "right") - 1
+        packed, size = self.packed(encoded.ids), self.how.id_bytes
+        edges = (np.searchsorted(word, np.arange(len(new) + 1)) * size).tolist()
+        self.update((w, packed[edges[k] : edges[k + 1]]) for k, w in enumerate(new))
+
     def __missing__(self, word: str) -> bytes:
-        packed = self.pack(word)
-        if len(word) <= MEMO_CHARS:
-            if len(self) >= MEMO_WORDS:
-                self.clear()
-            self[word] = packed
-        return packed
+        return self.pack(word)  # too long to keep
 
 
 @functools.lru_cache(maxsize=2)
@@ -138,7 +150,9 @@ def encode(text: str | None, how: Encoding) -> bytes:
     """Packed ids of a whole text, with the end id."""
     memo, text = _memo(how), text or ""
     if how.words_apart:
-        body = b"".join(map(memo.__getitem__, text.replace("\n", " ").split(" ")))
+        words = text.replace("\n", " ").split(" ")
+        memo.learn(words)
+        body = b"".join(map(memo.__getitem__, words))
     else:
         body = memo.pack(text)
     return body if how.end_id is None else body + np.array([how.end_id], how.dtype).tobytes()
