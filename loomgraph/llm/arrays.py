@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most bytes or characters that are held as wide numbers at a time.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WORD_BASE = 0x100000001B3

@@ -98,11 +98,13 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 
 
 def _alike(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
-    known = functools.lru_cache(maxsize=256)(lambda text: arrays.shingle_set(text, size))
+    known = functools.lru_cache(maxsize=64)(lambda text: arrays.shingle_set(text, size))
     for batch in batches:
-        texts = zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)
-        keep = [arrays.jaccard(known(x), known(y)) >= least for x, y in texts]
-        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for low in range(0, batch.num_rows, 500):
+            part = batch.slice(low, 500)
+            texts = zip(part.column("ta").to_pylist(), part.column("tb").to_pylist(), strict=True)
+            keep = [arrays.jaccard(known(x), known(y)) >= least for x, y in texts]
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def classes(
