@@ -18,9 +18,10 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 
+#: Start and end in a text, edits, sentence.
+Place = tuple[int, int, int, int]
+
 MATCHES = "doc_id long, license string, coverage double, edits long, spans array<struct<start:long,end:long>>"
 
 
@@ -107,24 +111,114 @@ def build_index(templates: list[tuple[str, str]]) -> tuple[Index, list[int]]:
     return Index.build(passages, budgets, needed, GRAM, winnow), owners
 
 
-def _best_apart(rows: dict[tuple[int, str], tuple]) -> dict[tuple[int, str], tuple]:
-    """Of licenses that claim the same characters of a text, the best match."""
-    out: dict[tuple[int, str], tuple] = {}
-    taken: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for (row, name), entry in sorted(rows.items(), key=lambda x: (-x[1][0], -x[1][1], -sum(s["end"] - s["start"] for s in x[1][2]), x[0])):
-        own = [(s["start"], s["end"]) for s in entry[2]]
-        if not any(a < end and start < b for a, b in own for start, end in taken[row]):
-            out[row, name] = entry
-            taken[row] += own
+class _Taken:
+    """Places of a text that licenses hold, found by cells of 64 characters."""
+
+    def __init__(self) -> None:
+        self.cells: dict[int, list[tuple[int, int, str, int]]] = defaultdict(list)
+
+    def add(self, start: int, end: int, name: str, value: int) -> None:
+        for cell in range(start >> 6, ((end - 1) >> 6) + 1):
+            self.cells[cell].append((start, end, name, value))
+
+    def held(self, start: int, end: int, name: str, value: int) -> bool:
+        """Whether another license has more than ``value`` on most of the place, or of the shorter one."""
+        for cell in range(start >> 6, ((end - 1) >> 6) + 1):
+            for a, b, other, have in self.cells.get(cell, ()):
+                if other != name and have > value and 2 * (min(b, end) - max(a, start)) > min(b - a, end - start):
+                    return True
+        return False
+
+
+def _contest(places: list[Place], name: Callable[[int], str], length: Callable[[int], int], owners: list[int], size: dict[int, int]) -> list[Place]:
+    """The places that each license wins from the others.
+
+    On each place the sentence with most characters less twice its edits wins. Where
+    sentences of several licenses are equal, the place goes to the license of which more
+    of the text stands around it: a run of sentences in the template's order counts its
+    matched characters less the missing ones.
+    """
+    taken, won = _Taken(), defaultdict(list)
+    for place in sorted(places, key=lambda x: (2 * x[2] - length(x[3]), x)):
+        start, end, edits, p = place
+        if not taken.held(start, end, name(p), length(p) - 2 * edits):
+            taken.add(start, end, name(p), length(p) - 2 * edits)
+            won[owners[p]].append(place)
+
+    def entry(k: int, run: list[Place]) -> tuple[int, str, int, list[Place]]:
+        return size[k] - sum(2 * (length(p) - e) for _, _, e, p in run), name(run[0][3]), k, run
+
+    heap = []
+    for k, own in won.items():
+        runs: list[list[Place]] = []
+        for place in sorted(own):
+            if runs and runs[-1][-1][3] < place[3]:
+                runs[-1].append(place)
+            else:
+                runs.append([place])
+        heap += [entry(k, run) for run in runs]
+    heapq.heapify(heap)
+    taken, out = _Taken(), []
+    while heap:
+        _, own_name, k, run = heapq.heappop(heap)
+        rest = [x for x in run if not taken.held(x[0], x[1], own_name, 0)]
+        if len(rest) == len(run):
+            for x in run:
+                taken.add(x[0], x[1], own_name, 1)
+            out += run
+        elif rest:
+            heapq.heappush(heap, entry(k, rest))
+    return out
+
+
+def _stated(found: list[Place], templates: list[tuple[str, str]], passages: list[np.ndarray], owners: list[int], size: dict[int, int], least: float) -> dict[str, tuple[float, int, list[Place]]]:
+    """(coverage, edits, places) of each license that one text states.
+
+    Templates whose won places do not reach ``least`` leave, the least covered first,
+    and their places are open to the others again.
+    """
+
+    def name(p: int) -> str:
+        return templates[owners[p]][0]
+
+    def length(p: int) -> int:
+        return len(passages[p])
+
+    # Neighbouring bands find a place more than once: the best alignment stays.
+    places, once = [], defaultdict(_Taken)
+    for place in sorted(set(found), key=lambda x: (x[2], x)):
+        if not once[place[3]].held(place[0], place[1], "", 0):
+            once[place[3]].add(place[0], place[1], "place", 1)
+            places.append(place)
+
+    def covered(own: list[Place]) -> dict[int, tuple[float, int, int]]:
+        edits: dict[int, dict[int, int]] = defaultdict(dict)
+        for _, _, e, p in own:
+            edits[owners[p]][p] = min(e, edits[owners[p]].get(p, e))
+        return {k: (sum(length(p) - e for p, e in v.items()) / size[k], -sum(v.values()), sum(map(length, v))) for k, v in edits.items()}
+
+    alive = {k for k, v in covered(places).items() if v[0] >= least}
+    while alive:
+        won = _contest([x for x in places if owners[x[3]] in alive], name, length, owners, size)
+        shares = covered(won)
+        short = [k for k in alive if k in shares and shares[k][0] < least]
+        alive = {k for k in alive if k in shares}
+        if not short:
+            break
+        alive.discard(min(short, key=lambda k: (shares[k], -k)))
+    out: dict[str, tuple[float, int, list[Place]]] = {}
+    for k in sorted(alive, key=lambda k: (tuple(-x for x in shares[k]), k)):
+        out.setdefault(templates[k][0], (shares[k][0], -shares[k][1], [x for x in won if owners[x[3]] == k]))
     return out
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least: float = COVERAGE) -> DataFrame:
     """A row for each document and license that it states, as MATCHES.
 
-    Where the wordings of several licenses fit the same characters, the best stays.
-    ``coverage`` is the matched share of the best template of the license;
-    ``spans`` are the places of its sentences in the text as it is.
+    Where the wordings of several licenses fit the same characters, the best has them,
+    place by place: a license keeps what it states elsewhere. ``coverage`` is the share
+    of the license's best template that its own places match; ``spans`` are the places
+    of its sentences in the text as it is.
     """
     templates = TEMPLATES if templates is None else templates
     if sum(len(t) for _, t in templates) > TEMPLATE_CHARS:
@@ -139,25 +233,20 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, least:
             ids = batch.column("doc_id").to_pylist()
             for low, _, codes, offsets, own in texts_of(batch):
                 found = find(index, codes, offsets, winnow)
-                best: dict[tuple[int, int], tuple] = {}
+                places: dict[int, list[Place]] = defaultdict(list)
                 for r, p, start, end, edits in zip(*(x.tolist() for x in (found.row, found.passage, found.start, found.end, found.edits)), strict=True):
-                    sentences = best.setdefault((r, owners[p]), ({}, []))
-                    sentences[0][p] = min(edits, sentences[0].get(p, edits))
-                    sentences[1].append((int(own[start]), int(own[end - 1]) + 1))
+                    places[r].append((start, end, edits, p))
                 rows: dict[tuple[int, str], tuple] = {}
-                for (r, k), (edits, places) in best.items():
-                    share = sum(len(index.passages[p]) - e for p, e in edits.items()) / size[k]
-                    entry = (round(share, 6), -sum(edits.values()), spans([x[0] for x in places], [x[1] for x in places]))
-                    if share >= least and entry[:2] > rows.get((r, templates[k][0]), (0.0, 0))[:2]:
-                        rows[r, templates[k][0]] = entry
-                rows = _best_apart(rows)
+                for r, own_places in places.items():
+                    for name, (share, edits, held) in _stated(own_places, templates, index.passages, owners, size, least).items():
+                        rows[r, name] = (round(share, 6), edits, spans([int(own[x[0]]) for x in held], [int(own[x[1] - 1]) + 1 for x in held]))
                 if rows:
                     yield pa.record_batch(
                         [
                             pa.array([ids[low + r] for r, _ in rows], pa.int64()),
                             pa.array([name for _, name in rows], pa.string()),
                             pa.array([v[0] for v in rows.values()], pa.float64()),
-                            pa.array([-v[1] for v in rows.values()], pa.int64()),
+                            pa.array([v[1] for v in rows.values()], pa.int64()),
                             pa.array([v[2] for v in rows.values()], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
                         ],
                         names=["doc_id", "license", "coverage", "edits", "spans"],

@@ -310,6 +310,30 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(odd, []).count() == 0
 
 
+def test_similar_licenses_in_one_text(spark):
+    rng = random.Random(17)
+    lines = {"CC-BY-4.0": "Licensed under CC BY 4.0.", "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
+    names = [own for n in (1, 2, 3) for own in itertools.permutations(lines, n)]
+    texts = [prose(rng, 20) + "".join(f"\n{lines[name]}\n{prose(rng, 20)}" for name in own) for own in names]
+    # neighbours without other text between them
+    names.append(tuple(lines))
+    texts.append(" ".join(lines.values()))
+    got = licenses.scan(frame(spark, [(k, t, "a") for k, t in enumerate(texts)])).collect()
+    assert sorted((r["doc_id"], r["license"]) for r in got) == sorted((k, name) for k, own in enumerate(names) for name in own)
+    for r in got:
+        assert (r["coverage"], r["edits"]) == (1.0, 0)
+        assert [texts[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"]] == [lines[r["license"]]]
+
+
+def test_licenses_that_share_sentences(spark):
+    rng = random.Random(18)
+    shared, more, other = (prose(rng, 20).replace(".", ",").replace("\n", " ") + "." for _ in range(3))
+    templates = [("two", f"{shared} {other}"), ("three", f"{shared} {more} {other}"), ("else", f"{prose(rng, 60)} {shared}")]
+    texts = [f"{shared} {other}", f"{shared} {more} {other}", f"{shared} {other}\n{prose(rng, 30)}\n{shared} {more} {other}"]
+    got = licenses.scan(frame(spark, [(k, t, "a") for k, t in enumerate(texts)]), templates).collect()
+    assert {(r["doc_id"], r["license"]): r["coverage"] for r in got} == {(0, "two"): 1.0, (1, "three"): 1.0, (2, "two"): 1.0, (2, "three"): 1.0}
+
+
 # ---- 7 lines
 
 
