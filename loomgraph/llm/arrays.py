@@ -197,14 +197,22 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
 
 
 def edit_alignments(
-    text: np.ndarray, low: np.ndarray, high: np.ndarray, patterns: np.ndarray, sizes: np.ndarray, first: np.ndarray, width: int
+    text: np.ndarray,
+    low: np.ndarray,
+    high: np.ndarray,
+    patterns: np.ndarray,
+    sizes: np.ndarray,
+    first: np.ndarray,
+    width: int,
+    most: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best banded alignment of many patterns, each with a region of ``text``.
 
     Pattern i (row i of ``patterns``, ``sizes[i]`` long) may start on any of
     ``width`` diagonals from text place ``first[i]`` on and must stay on them;
     text outside ``[low[i], high[i])`` matches nothing. Returns the edits, and the
-    start and end of the matched text.
+    start and end of the matched text. Of patterns that need more than ``most[i]`` edits
+    only that is known: they are given up and have very many.
     """
     many = len(sizes)
     big = np.int64(1) << 32
@@ -214,19 +222,28 @@ def edit_alignments(
     best = np.full(many, np.iinfo(np.int64).max)
     end = np.zeros(many, np.int64)
     padded = np.append(text, np.uint32(0xFFFFFFFF))
+    live = np.arange(many)
     for i in range(int(sizes.max()) if many else 0):
-        place = first[:, None] + column[None, :] + i
-        outside = (place < low[:, None]) | (place >= high[:, None])
+        place = first[live, None] + column[None, :] + i
+        outside = (place < low[live, None]) | (place >= high[live, None])
         char = padded[np.where(outside, len(text), place)]
-        change = cost + big * (char != patterns[:, i : i + 1])
+        change = cost + big * (char != patterns[live, i : i + 1])
         skip = np.full_like(cost, np.iinfo(np.int64).max // 2)
         skip[:, :-1] = cost[:, 1:] + big  # a pattern character without text
         cost = np.minimum(change, skip)
         cost = np.minimum.accumulate(cost - big * column, axis=1) + big * column  # text without a pattern character
-        ready = np.flatnonzero(sizes == i + 1)
+        ready = np.flatnonzero(sizes[live] == i + 1)
         if len(ready):
             at = cost[ready].argmin(axis=1)
-            best[ready] = cost[ready, at]
-            end[ready] = first[ready] + at + i + 1
+            best[live[ready]] = cost[ready, at]
+            end[live[ready]] = first[live[ready]] + at + i + 1
+        if i % 8 == 7:
+            open_ = sizes[live] > i + 1
+            if most is not None:
+                open_ &= cost.min(axis=1) >> np.int64(32) <= most[live]
+            if 4 * open_.sum() < 3 * len(live):
+                live, cost = live[open_], cost[open_]
+                if not len(live):
+                    break
     start = first + (best & (big - 1))
     return best >> np.int64(32), np.maximum(start, low), np.minimum(end, high)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm import arrays
+from loomgraph.llm import arrays, license_notices
 from loomgraph.llm.passages import Index, find, spans, texts_of
 
 GRAM, WINDOW = 8, 5
@@ -38,6 +38,7 @@ RATE, COVERAGE = 0.12, 0.5
 TEMPLATE_CHARS = 2_000_000
 
 # Wording of public licenses and license notices, by SPDX name where there is one.
+# Opening paragraphs count by themselves, beside the whole texts.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -75,6 +76,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+TEMPLATES = list(dict.fromkeys([*TEMPLATES, *license_notices.statements(), *license_notices.notices(), *license_notices.texts()]))
 
 #: Start and end in a text, edits, sentence.
 Place = tuple[int, int, int, int]
@@ -100,7 +102,7 @@ def build_index(templates: list[tuple[str, str]]) -> tuple[Index, list[int]]:
     """The index of all sentences, and the template that each belongs to."""
     passages, owners = [], []
     for k, (_, text) in enumerate(templates):
-        for sentence in re.split(r"(?<=\.)\s+", text):
+        for sentence in re.split(r"(?<! v\.)(?<=\.)\s+", text):
             codes, _, _ = arrays.plain([sentence])
             if len(codes) >= GRAM:
                 passages.append(codes)

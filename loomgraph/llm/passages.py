@@ -19,6 +19,8 @@ from loomgraph.llm import arrays
 _BITS = 20
 #: Most candidates that are aligned at a time.
 _ALIGNED = 2000
+#: Length of the grams that are counted in passages from so many characters on.
+_SHORT, _COUNTED = 4, 100
 
 
 @dataclass
@@ -34,6 +36,7 @@ class Index:
     passage: np.ndarray
     place: np.ndarray
     bitmap: np.ndarray
+    sizes: np.ndarray  # of the passages
 
     @staticmethod
     def build(
@@ -54,7 +57,7 @@ class Index:
         bitmap[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         return Index(
             passages, budgets, needed, q, keys, np.append(first, len(every)),
-            np.concatenate(who)[order], np.concatenate(where)[order], bitmap,
+            np.concatenate(who)[order], np.concatenate(where)[order], bitmap, np.array([len(p) for p in passages], np.int64),
         )
 
     def hits(self, grams: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,6 +83,22 @@ class Matches:
     edits: np.ndarray
 
 
+def _plausible(index: Index, codes: np.ndarray, passage: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether long passages share as many short grams with their band's text as the
+    q-gram lemma asks for; short ones are aligned faster than counted."""
+    keep = np.ones(len(passage), bool)
+    long = np.flatnonzero(index.sizes[passage] >= _COUNTED)
+    if len(long):
+        text = arrays.grams(codes, _SHORT)
+        own = {k: arrays.grams(index.passages[k], _SHORT) for k in np.unique(passage[long]).tolist()}
+        for i in long.tolist():
+            k = passage[i]
+            end = int(first[i] + index.sizes[k] + 2 * (index.budgets[k] + 1))
+            near = text[max(0, int(first[i])) : max(0, end)]
+            keep[i] = np.isin(own[k], near).sum() >= index.sizes[k] - _SHORT + 1 - _SHORT * index.budgets[k]
+    return keep
+
+
 def find(index: Index, codes: np.ndarray, offsets: np.ndarray, choose: Callable[[np.ndarray], np.ndarray] | None = None) -> Matches:
     """Occurrences of passages within their edit budgets in texts laid end to end.
 
@@ -95,7 +114,7 @@ def find(index: Index, codes: np.ndarray, offsets: np.ndarray, choose: Callable[
     place, passage, where = index.hits(grams, at)
     # Bands of two budget widths that overlap by one: any occurrence lies in one of them whole.
     width = index.budgets[passage] + 1
-    lead = 1 + max((len(p) for p in index.passages), default=0)
+    lead = 1 + int(index.sizes.max(initial=0))
     band = (place - where + lead) // width
     spread = len(codes) + 2 * lead + 2
     key = ((passage * many + rows[place]) * spread + band) if len(place) else np.zeros(0, np.int64)
@@ -103,15 +122,22 @@ def find(index: Index, codes: np.ndarray, offsets: np.ndarray, choose: Callable[
     passage, row, band = key // spread // many, key // spread % many, key % spread
     keep = shared >= index.needed[passage] if len(key) else np.zeros(0, bool)
     passage, row, band = passage[keep], row[keep], band[keep]
+    # Alike sizes are aligned together: the longest passage sets the steps and the width of all.
+    order = np.argsort(index.sizes[passage], kind="stable")
+    passage, row, band = passage[order], row[order], band[order]
+    if choose is not None:
+        keep = _plausible(index, codes, passage, band * (index.budgets[passage] + 1) - lead)
+        passage, row, band = passage[keep], row[keep], band[keep]
     found: list[tuple[np.ndarray, ...]] = []
     for low in range(0, len(passage), _ALIGNED):
         p, r, b = passage[low : low + _ALIGNED], row[low : low + _ALIGNED], band[low : low + _ALIGNED]
-        sizes = np.array([len(index.passages[k]) for k in p])
+        sizes = index.sizes[p]
         patterns = np.zeros((len(p), sizes.max()), np.uint32)
         for i, k in enumerate(p):
             patterns[i, : sizes[i]] = index.passages[k]
         first = b * (index.budgets[p] + 1) - lead
-        edits, start, end = arrays.edit_alignments(codes, offsets[r], offsets[r + 1], patterns, sizes, first, int(2 * (index.budgets[p].max() + 1)))
+        width = int(2 * (index.budgets[p].max() + 1))
+        edits, start, end = arrays.edit_alignments(codes, offsets[r], offsets[r + 1], patterns, sizes, first, width, index.budgets[p])
         good = edits <= index.budgets[p]
         found.append((r[good], p[good], start[good], end[good], edits[good]))
     if not found:

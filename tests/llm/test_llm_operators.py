@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontaminate, fingerprints, licenses, line_dedup, mixing, near_dedup, quality, queries, token_records, url_filter
+from loomgraph.llm import chat, decontaminate, fingerprints, license_notices, licenses, line_dedup, mixing, near_dedup, quality, queries, token_records, url_filter
 from loomgraph.llm.tables import new_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -334,6 +334,24 @@ def test_licenses_that_share_sentences(spark):
     assert {(r["doc_id"], r["license"]): r["coverage"] for r in got} == {(0, "two"): 1.0, (1, "three"): 1.0, (2, "two"): 1.0, (2, "three"): 1.0}
 
 
+def test_whole_texts_and_versions_of_licenses(spark):
+    rng = random.Random(19)
+    lines = {
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+        "LGPL-2.1": "Licensed under the GNU Lesser General Public License, version 2.1.", "AGPL-3.0": "Licensed under the GNU Affero General Public License, version 3.",
+        "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.", "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.", "CC-BY-3.0": "Licensed under CC BY 3.0.",
+        "CC0-1.0": "Licensed under CC0 1.0.", "Apache-1.1": "Licensed under the Apache License, Version 1.1.", "BSD": "Licensed under the BSD License.",
+    }
+    cases = [*lines.items(), *license_notices.notices(), *license_notices.texts()]
+    texts = [f"{prose(rng, 20)}\n{text}\n{prose(rng, 20)}" for _, text in cases]
+    got = defaultdict(dict)
+    for r in licenses.scan(frame(spark, [(k, t, "a") for k, t in enumerate(texts)]).repartition(8)).collect():
+        got[r["doc_id"]][r["license"]] = r["coverage"]
+    for k, (name, _) in enumerate(cases):
+        # some whole texts also have this line
+        assert set(got[k]) - {"all-rights-reserved"} == {name} and got[k][name] > 0.99, (name, got[k])
+
+
 # ---- 7 lines
 
 
