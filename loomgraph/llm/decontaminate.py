@@ -1,8 +1,9 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts and benchmark items are compared in lower case with single blanks. An item
-is cut into regions of ``REGION`` characters that overlap by half (a shorter
-item is one region). A region of n characters occurs in a text if ``RATE`` * n
+is cut into regions of ``REGION`` characters, one at every quarter of that length (a shorter
+item is one region), so any excerpt of an item from REGION * 5 / 4 - 1 characters on holds a
+region whole. A region of n characters occurs in a text if ``RATE`` * n
 edits turn it into a piece of the text. Each edit spoils at most q of the n - q + 1
 character q-grams, so an occurrence with e edits shares at least n - q + 1 - e * q of
 them with the text, all on e + 1 neighbouring diagonals. Shared q-grams are counted in
@@ -32,7 +33,7 @@ from loomgraph.llm import arrays
 from loomgraph.llm.passages import Index, find, spans, texts_of
 
 #: Length of the grams, characters of a region, edits for each character of it.
-Q, REGION, RATE = 8, 160, 0.1
+Q, REGION, RATE = 8, 80, 0.1
 #: About so many characters of the benchmark are held by a task.
 SLICE = 400_000
 
@@ -43,7 +44,7 @@ def regions(codes: np.ndarray, size: int = REGION) -> list[np.ndarray]:
     """Overlapping pieces that cover an item; the last one is flush with its end."""
     if len(codes) <= size:
         return [codes]
-    starts = [*range(0, len(codes) - size, size // 2), len(codes) - size]
+    starts = [*range(0, len(codes) - size, size // 4), len(codes) - size]
     return [codes[s : s + size] for s in starts]
 
 

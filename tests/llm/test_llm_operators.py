@@ -291,6 +291,33 @@ def test_decontamination(spark, odd, empty):
         decontaminate.SLICE = sliced
 
 
+def test_excerpts_of_items(spark):
+    rng = random.Random(16)
+    items = [(0, prose(rng, 36)), (1, prose(rng, 60))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows, want = [], set()
+    for k, text in items:
+        words = text.split()
+        for n in (20, 25, 30):
+            for at in range(len(words) - n + 1):
+                piece = " ".join(words[at : at + n])
+                piece = piece.replace("e", "3", rng.randint(0, 4))
+                rows.append((len(rows), f"{prose(rng, 15)} {piece} {prose(rng, 15)}", "a"))
+                if len(piece) >= decontaminate.REGION * 5 // 4 - 1:
+                    want.add((len(rows) - 1, k))
+    assert len(want) > 0.95 * len(rows)
+    docs = frame(spark, rows)
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    # Brute force over every start of a region's length: nothing else is found.
+    for i, k in found - want:
+        codes = " ".join(items[k][1].lower().split())
+        text = " ".join(rows[i][1].lower().split())
+        size = decontaminate.REGION
+        assert any(distance(codes[a : a + size], text[b : b + size]) <= 2 * size * decontaminate.RATE for a in range(0, len(codes) - size + 1, 5) for b in range(0, len(text) - size + 1, 5))
+    assert want <= found
+    assert {r["doc_id"] for r in decontaminate.clean(docs, bench).select("doc_id").collect()} == set(range(len(rows))) - {i for i, _ in found}
+
+
 # ---- 6 licenses
 
 
