@@ -425,6 +425,23 @@ def test_line_dedup_against_brute_force(spark, odd, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_edits_that_lines_of_a_length_bear(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    # (length of the line, characters replaced in its middle, alike)
+    cases = [(39, 1, True), (38, 1, False), (60, 1, True), (84, 6, True), (83, 6, False), (114, 6, True), (30, 1, False), (200, 6, True)]
+    rows, want = [], {}
+    for k, (n, changed, alike) in enumerate(cases * 5):
+        line = "".join(rng.choice(letters) for _ in range(n))
+        at = n // 2 - changed // 2
+        rows.append((k, f"{line}\n{line[:at]}{'0123456789'[:changed]}{line[at + changed:]}", "a"))
+        both = [line_set(x) for x in rows[-1][1].split("\n")]
+        if min(map(len, both)) == n - line_dedup.SHINGLE_CHARS + 1:  # no shingle twice
+            want[k] = [1] if alike else []
+    got = {r["row"]["doc_id"]: r["lines_dropped"] for r in line_dedup.rewritten(frame(spark, rows)).collect()}
+    assert len(want) > 30 and {k: got[k] for k in want} == want
+
+
 # ---- 8 mixing
 
 
