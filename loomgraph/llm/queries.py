@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and SQL where it can say the same."""
+"""The registered queries of the thirteen operators, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontaminate, fingerprints, licenses, line_dedup, mixing, near_dedup, quality, token_records, url_filter
+from loomgraph.llm import (
+    centroids,
+    chat,
+    decontaminate,
+    fingerprints,
+    lexical_search,
+    licenses,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality,
+    secret_scan,
+    token_records,
+    url_filter,
+)
 from loomgraph.llm.tables import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -80,11 +94,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secret_scan.scan(docs, secret_scan.fit(docs))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Plan] = {
     f.__name__: f
     for f in (
         op1_token_records, op2_near_dedup, op3_quality, op4_chat_format, op5_decontaminate,
         op6_license_scan, op7_line_dedup, op8_mix_sources, op9_fingerprints, op10_url_filter,
+        op11_secret_scan, op12_centroids, op13_lexical_search,
     )
 }
 
@@ -202,4 +230,72 @@ select page_id, host, path, rule, coalesce(ruled, case when upper < 0.5 then 'bl
 from marked join h2 using (host)
 """
 
-ORACLES: dict[str, str] = {"op4_chat_format": CHAT_SQL, "op9_fingerprints": FINGERPRINT_SQL, "op10_url_filter": URL_SQL}
+
+
+def centroid_sql(rounds: int = 10) -> str:
+    """All rounds written out; ``v`` and ``c`` are lists of integers."""
+    near = "arg_min(k, (d, k))::int as k, min(d) as d"
+    apart = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d"
+    parts = [
+        """usable as materialized (
+  select vec_id, row_number() over (order by vec_id, v) as r, v from (
+    select vec_id, list_transform(embedding, lambda x: floor(greatest(-134217728, least(134217728, 1024 * x::double)))::bigint) as v
+    from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: coalesce(isfinite(x::double), false))) = 64)
+), c0 as materialized (
+  select k, v as c from (select row_number() over (order by sha256('3:' || coalesce(vec_id::varchar, '')), v) - 1 as k, v from usable) where k < 8
+)"""
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} as materialized (select r, {near} from (select r, k, {apart} from usable cross join c{n}) group by r)")
+        if n < rounds:
+            parts.append(f"""s{n} as (
+  select k, i, count(*) as n, sum(x)::bigint as s
+  from (select k, unnest(v) as x, unnest(range(64)) as i from usable join a{n} using (r)) group by k, i
+), m{n} as (
+  select k, list((s - ((s % n) + n) % n) // n order by i) as c from s{n} group by k
+), c{n + 1} as materialized (select k, coalesce(m.c, c.c)::bigint[] as c from c{n} c left join m{n} m using (k))""")
+    return f"""with {", ".join(parts)}
+select vec_id, k as cluster, d as distance, sum(d) over (partition by k)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+  sha256(array_to_string(c, ',')) as centroid_sha256
+from usable join a{rounds} using (r) join c{rounds} using (k)"""
+
+
+SEARCH_SQL = r"""
+with docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from documents
+), items as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as t
+  from benchmark
+), sizes as (
+  select r, doc_id, len(t) as n from docs where len(t) > 0
+), totals as (
+  select count(*) as big_n, sum(n)::bigint as l from sizes
+), asked as (
+  select item_id, term, count(*) as times from (select item_id, unnest(t) as term from items) group by all
+), postings as (
+  select r, term, count(*) as tf from (select r, unnest(t) as term from docs) where term in (select term from asked) group by all
+), weights as (
+  select term, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::bigint as w
+  from (select distinct term from asked) left join (select term, count(*) as df from postings group by term) using (term), totals
+  where df > 0
+), scored as (
+  select item_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * n * big_n) // l)))))::bigint as score
+  from asked join postings using (term) join weights using (term) join sizes using (r), totals
+  group by all
+)
+select item_id, rank::int as rank, doc_id, score from (
+  select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank
+  from scored join sizes using (r) where score > 0
+) where rank <= 20
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_chat_format": CHAT_SQL,
+    "op9_fingerprints": FINGERPRINT_SQL,
+    "op10_url_filter": URL_SQL,
+    "op12_centroids": centroid_sql(),
+    "op13_lexical_search": SEARCH_SQL,
+}
