@@ -6,8 +6,8 @@ statistically compatible (Hoeffding bounds on every continuation, recursively) a
 into a probabilistic automaton, the commonest first. A literal prefix stays a chain, a
 random rest becomes a loop. The runs of the same characters that no rule touches are
 candidates: another automaton is inferred from a sample of them, and a candidate is a
-secret if it is as likely under a credential automaton as labelled values that were held
-out, and more likely than under the plain one by ``ODDS``.
+secret if its characters are as likely under a credential automaton as those of labelled
+values that were held out, and it is more likely there than under the plain one by ``ODDS``.
 
 The sample of a kind holds the ``SAMPLE`` distinct values of least hash in all documents:
 it does not depend on partitions, and no task returns more. Everything else covers whole
@@ -99,16 +99,16 @@ class Automaton:
     ends: list[float]
     unseen: list[float]
 
-    def score(self, value: bytes) -> float:
-        """Log likelihood of a value for each of its characters."""
+    def score(self, value: bytes) -> tuple[float, float]:
+        """Log likelihood of a value's characters, and of its end after them."""
         state, total = 0, 0.0
         for at, symbol in enumerate(value):
             step = self.steps[state].get(symbol)
             if step is None:  # from here on all symbols are equally likely
-                return (total + self.unseen[state] - (len(value) - at) * math.log(SYMBOLS)) / len(value)
+                return total + self.unseen[state] - (len(value) - at) * math.log(SYMBOLS), 0.0
             state = step[0]
             total += step[1]
-        return (total + self.ends[state]) / len(value)
+        return total, self.ends[state]
 
 
 def uniform() -> Automaton:
@@ -202,32 +202,52 @@ class PrefixTree:
         return out
 
 
+@dataclass
+class Format:
+    """An automaton, and how likely a character of held-out values is: usually, and how much less at the low end of one character."""
+
+    automaton: Automaton
+    usual: float
+    less: float
+
+    @staticmethod
+    def learn(words: list[bytes]) -> Format:
+        """Every ``HELD_OUT``-th value is held out."""
+        automaton = PrefixTree([w for k, w in enumerate(words) if k % HELD_OUT], ALPHA).automaton()
+        each = sorted((automaton.score(w)[0] / len(w), len(w)) for w in words[::HELD_OUT])
+        usual, (low, size) = each[len(each) // 2][0], each[int(LOW_SHARE * len(each))]
+        return Format(automaton, usual, (usual - low) * math.sqrt(size))
+
+    def gain(self, value: bytes) -> float:
+        """Log likelihood of a value of this format; of any other minus infinity."""
+        inside, end = self.automaton.score(value)
+        fits = inside / len(value) >= self.usual - self.less / math.sqrt(len(value))
+        return inside + end if fits else -math.inf
+
+
 @dataclass
 class Formats:
-    """Automata of credentials with their lower bounds, and of plain runs."""
+    """Formats of credentials, and the automaton of plain runs."""
 
     plain: Automaton = field(default_factory=uniform)
-    kinds: dict[int, tuple[Automaton, float]] = field(default_factory=dict)
+    kinds: dict[int, Format] = field(default_factory=dict)
     odds: float = ODDS
 
     def is_secret(self, value: bytes) -> bool:
-        least = self.plain.score(value) + math.log(self.odds) / len(value)
-        return any((score := automaton.score(value)) >= bound and score >= least for automaton, bound in self.kinds.values())
+        least = sum(self.plain.score(value)) + math.log(self.odds)
+        return any(f.gain(value) >= least for f in self.kinds.values())
 
 
 def learn(sample: dict[int, list[bytes]], least: int = LEAST) -> Formats:
     """``sample`` holds values by kind, and candidates at the number of ``format``, each in an order of chance."""
-    out = Formats()
-    plain = KINDS.index("format")
+    out, plain = Formats(), KINDS.index("format")
     for kind, words in sorted(sample.items()):
         if len(words) < least:
             continue
         if kind == plain:
             out.plain = PrefixTree(words, ALPHA).automaton()
-            continue
-        automaton = PrefixTree([w for k, w in enumerate(words) if k % HELD_OUT], ALPHA).automaton()
-        held = sorted(automaton.score(w) for w in words[::HELD_OUT])
-        out.kinds[kind] = automaton, held[int(LOW_SHARE * len(held))]
+        else:
+            out.kinds[kind] = Format.learn(words)
     return out
 
 
