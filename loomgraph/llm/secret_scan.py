@@ -7,7 +7,7 @@ into a probabilistic automaton, the commonest first. A literal prefix stays a ch
 random rest becomes a loop. The runs of the same characters that no rule touches are
 candidates: another automaton is inferred from a sample of them, and a candidate is a
 secret if its characters are as likely under a credential automaton as those of labelled
-values that were held out, and it is more likely there than under the plain one by ``ODDS``.
+values that were held out, and it is more likely there than under the plain one, or as a plain number, by ``ODDS``.
 
 The sample of a kind holds the ``SAMPLE`` distinct values of least hash in all documents:
 it does not depend on partitions, and no task returns more. Everything else covers whole
@@ -234,7 +234,10 @@ class Formats:
     odds: float = ODDS
 
     def is_secret(self, value: bytes) -> bool:
-        least = sum(self.plain.score(value)) + math.log(self.odds)
+        least = sum(self.plain.score(value))
+        if value.isdigit():  # as a number
+            least = max(least, -len(value) * math.log(10))
+        least += math.log(self.odds)
         return any(f.gain(value) >= least for f in self.kinds.values())
 
 
