@@ -208,15 +208,17 @@ class Ranks:
         by_bound = np.argsort(-bounds, kind="stable")
         groups = np.argsort(mask, kind="stable")
         first = np.concatenate(([0], np.cumsum(np.bincount(mask, minlength=len(bounds)))))
-        done, step = 0, self.top
+        upto = np.cumsum(np.diff(first)[by_bound])  # documents in the masks so far
+        done, want = 0, self.top
         while done < len(by_bound) and bounds[by_bound[done]] >= self.floors[item]:
-            some = by_bound[done : done + step]
+            stop = 1 + int(np.searchsorted(upto, (upto[done - 1] if done else 0) + want))
+            some = by_bound[done:stop]
             some = some[bounds[some] >= self.floors[item]]
             docs = low + np.concatenate([groups[first[k] : first[k + 1]] for k in some])
             for at in range(0, len(docs), CELLS // (8 * len(places)) + 1):
                 part = docs[at : at + CELLS // (8 * len(places)) + 1]
                 self.add(item, block.scores(part, places, gains), block.ids[part], block.missing[part])
-            done, step = done + step, step * 2
+            done, want = stop, want * 2
 
 
 def blocks(batches: Iterator[pa.RecordBatch], stats: Statistics) -> Iterator[Block]:
