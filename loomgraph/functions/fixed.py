@@ -119,7 +119,6 @@ QUERY_BUDGET = 60
 
 
 # --- Fixed values: communities ----------------------------------------------------
-LOUVAIN_THRESHOLD = 1e-4
 SPLIT_RESOLUTION = 2.0
 MAX_COMMUNITY_FRACTION = 0.25
 MIN_SPLIT_SIZE = 10

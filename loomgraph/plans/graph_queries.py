@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed
-from loomgraph.operators import analyze, assemble, community, traverse
+from loomgraph.operators import analyze, assemble, community, leiden, traverse
 from loomgraph.plans.registry import query
 from loomgraph.sources.tables import (
     STAR_SQL,
     TRADE_SQL,
-    geo_edges,
     star_edges,
     star_membership,
     star_nodes,
@@ -355,23 +354,70 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT u, arg_min(c, (-gain, c)) AS best, max(gain) > max(CASE WHEN c = u THEN gain END) + 1e-12 AS better FROM gains GROUP BY u""",
 )
 def modularity_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adjacency = community.weighted_adjacency(trade_edges(spark, sf_dir))
+    adjacency = leiden.weighted_adjacency(trade_edges(spark, sf_dir))
     state = adjacency.groupBy("u").agg(F.sum("w").alias("k")).select("u", F.col("u").alias("c"), "k")
     total = adjacency.agg(F.sum("w")).first()[0]
-    return community.best_moves(community.candidate_gains(adjacency, state, total, 1.0)).select("u", "best", "better")
+    return leiden.best_moves(leiden.candidate_gains(adjacency, state, total, 1.0)).select("u", "best", "better")
 
 
-@query("cluster_geography")
+@query(
+    "cluster_geography",
+    f"""WITH {STAR_SQL} SELECT count(*) AS nodes, count(*) AS distinct_nodes, 0 AS movable, 0 AS torn, TRUE AS better_than_given
+    FROM nodes WHERE id IN (SELECT id FROM deg)""",
+)
 def cluster_geography(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of the region - nation - customer / supplier graph."""
-    nodes = star_nodes(spark, sf_dir).where(F.col("file_type").isin("document", "code") & ~F.col("id").rlike("^(order|part)_"))
-    edges = geo_edges(spark, sf_dir).withColumns({"k1": F.least("source", "target"), "k2": F.greatest("source", "target")})
-    return community.cluster(nodes, edges)
+    """What must hold of communities of the whole graph: nobody is lost, none is torn, no node gains by moving alone."""
+    nodes, edges = star_nodes(spark, sf_dir), star_edges(spark, sf_dir)
+    found = community.partition(edges)
+    given = nodes.join(star_membership(spark, sf_dir), "id", "left").select("id", F.coalesce(F.col("cid").cast("string"), "id").alias("community"))
+    better = community.quality(edges, found).crossJoin(community.quality(edges, given).select(F.col("modularity").alias("given")))  # single rows
+    counted = found.agg(F.count("*").alias("placed"), F.count_distinct("id").alias("distinct_nodes"))
+    return better.crossJoin(counted).select(
+        F.col("placed").alias("nodes"), "distinct_nodes", F.col("movable").cast("int").alias("movable"), F.col("torn").cast("int").alias("torn"),
+        (F.col("modularity") > F.col("given")).alias("better_than_given"),
+    )
+
+
+HUB_ROUNDS = 6
+
+HUBS_SQL = f"""WITH {STAR_SQL},
+all_deg AS (SELECT nodes.id, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN deg USING (id)),
+ranked AS (SELECT degree, row_number() OVER (ORDER BY degree) - 1 AS pos, count(*) OVER () AS n FROM all_deg),
+hubs AS (SELECT id FROM all_deg WHERE degree > (SELECT degree FROM ranked WHERE pos = greatest(0, CAST(floor(n * 99 / 100.0) AS BIGINT) - 1))),
+pairs AS (SELECT DISTINCT id, other FROM sym WHERE id <> other),
+p0 AS (SELECT id, CAST(cid AS VARCHAR) AS community FROM membership WHERE id NOT IN (SELECT id FROM hubs))""" + "".join(
+    f""",
+f{k} AS (SELECT id FROM hubs WHERE id NOT IN (SELECT id FROM p{k - 1}) AND id NOT IN (
+  SELECT pairs.id FROM pairs JOIN hubs h ON pairs.other = h.id WHERE other < pairs.id AND other NOT IN (SELECT id FROM p{k - 1}))),
+v{k} AS (SELECT sym.id, community, count(*) AS votes FROM sym JOIN f{k} USING (id) JOIN p{k - 1} p ON sym.other = p.id GROUP BY sym.id, community),
+p{k} AS (SELECT * FROM p{k - 1} UNION ALL SELECT f{k}.id, coalesce(c, f{k}.id) FROM f{k}
+  LEFT JOIN (SELECT id, arg_min(community, (-votes, community)) AS c FROM v{k} GROUP BY id) USING (id))"""
+    for k in range(1, HUB_ROUNDS + 1)
+)
+
+
+@query("hubs_reattached", HUBS_SQL + f" SELECT id, community FROM p{HUB_ROUNDS} WHERE id IN (SELECT id FROM hubs)")
+def hubs_reattached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best-connected percent of nodes voted back into the given communities, in id order."""
+    nodes, edges = star_nodes(spark, sf_dir), star_edges(spark, sf_dir)
+    hubs = community.hubs_above(community.node_degrees(nodes, edges), 99.0).select("id")
+    given = star_membership(spark, sf_dir).select("id", F.col("cid").cast("string").alias("community"))
+    placed = community.reattach_hubs(hubs, edges, given.join(hubs, "id", "left_anti"))
+    return placed.join(hubs, "id", "left_semi")
 
 
-@query("cluster_without_hubs")
+@query(
+    "cluster_without_hubs",
+    f"""WITH {STAR_SQL} SELECT count(*) AS nodes, count(*) AS distinct_nodes, TRUE AS numbered, TRUE AS largest_first FROM nodes""",
+)
 def cluster_without_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As above with the best-connected percent of nodes reattached by vote."""
-    nodes = star_nodes(spark, sf_dir).where(~F.col("id").rlike("^(order|part)_"))
-    edges = geo_edges(spark, sf_dir).withColumns({"k1": F.least("source", "target"), "k2": F.greatest("source", "target")})
-    return community.cluster(nodes, edges, hub_percentile=99.0)
+    """Communities of the whole graph, its best-connected percent of nodes reattached by vote, and their numbers."""
+    found = community.cluster(star_nodes(spark, sf_dir), star_edges(spark, sf_dir), hub_percentile=99.0)
+    sizes = found.groupBy("cid").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    later = sizes.select((F.col("cid") - 1).alias("cid"), F.col("n").alias("next"))
+    return sizes.join(later, "cid", "left").agg(
+        F.sum("n").alias("nodes"),
+        F.sum("ids").alias("distinct_nodes"),
+        ((F.min("cid") == 0) & (F.max("cid") == F.count("*") - 1)).alias("numbered"),
+        F.bool_and(F.col("n") >= F.coalesce("next", F.lit(0))).alias("largest_first"),
+    )

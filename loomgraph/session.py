@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Applied when we build the session ourselves; a cluster's own session keeps
@@ -69,6 +69,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_with(df: DataFrame, *measures: Column) -> tuple[DataFrame, dict]:
+    """``cut`` and aggregates of the written rows, taken while they are written."""
+    seen = Observation()
+    kept = cut(df.observe(seen, *measures))
+    return kept, seen.get
+
+
 @contextmanager
 def reused(df: DataFrame) -> Iterator[DataFrame]:
     """Keep ``df`` on the executors while a loop reads it again and again.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.similarity import jaro_winkler_pair
 from loomgraph.operators import (
     analyze, assemble, community, components, dedupe, extract_code, extract_manifest, extract_markdown,
-    foldin, ranking, resolve, traverse, validate,
+    foldin, leiden, ranking, resolve, traverse, validate,
 )
 from loomgraph.schema import EDGE_RECORD, NODE_RECORD
 
@@ -205,7 +205,7 @@ def two_cycles(spark):
 
 def test_two_cycles(spark):
     nodes, edges = two_cycles(spark)
-    found = community.louvain(edges).collect()
+    found = community.partition(edges).collect()
     groups = {}
     for r in found:
         groups.setdefault(r.community, set()).add(r.id)
@@ -231,12 +231,72 @@ def test_modularity_beats_singletons(spark):
     rng = random.Random(7)
     pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(120)}
     edges = edges_of(spark, [(f"n{a:02d}", f"n{b:02d}") for a, b in sorted(pairs)])
-    adjacency = community.weighted_adjacency(edges)
+    adjacency = leiden.weighted_adjacency(edges)
     total = adjacency.agg(F.sum("w")).first()[0]
     strength = adjacency.groupBy("u").agg(F.sum("w").alias("k"))
-    found = community.louvain(edges).withColumnRenamed("id", "u").withColumnRenamed("community", "c")
+    found = community.partition(edges).withColumnRenamed("id", "u").withColumnRenamed("community", "c")
     single = strength.withColumn("c", F.col("u"))
-    assert community.modularity(adjacency, found.join(strength, "u"), total) > community.modularity(adjacency, single, total) + 0.1
+    assert leiden.modularity(adjacency, found.join(strength, "u"), total) > leiden.modularity(adjacency, single, total) + 0.1
+
+
+def test_communities_are_connected_and_settled(spark):
+    rng = random.Random(11)
+    pairs = {(f"n{a:02d}", f"n{b:02d}") for _ in range(130) for a, b in [sorted(rng.sample(range(60), 2))]}
+    pairs |= {("n00", f"leaf{k}") for k in range(30)} | {("z1", "z2")}
+    edges = edges_of(spark, sorted(pairs))
+    found = {r.id: r.community for r in community.partition(edges).collect()}
+    assert set(found) == {x for p in pairs for x in p}
+    links, degree = {}, {}
+    for a, b in pairs:
+        for x, y in ((a, b), (b, a)):
+            links.setdefault(x, []).append(y)
+            degree[x] = degree.get(x, 0) + 1
+    total, tot = 2 * len(pairs), {}
+    for x, c in found.items():
+        tot[c] = tot.get(c, 0) + degree[x]
+    for x, c in found.items():  # no node gains by moving alone
+        gain = {d: sum(found[y] == d for y in links[x]) - degree[x] * (tot[d] - (degree[x] if d == c else 0)) / total for d in {found[y] for y in links[x]} | {c}}
+        assert max(gain.values()) <= gain[c] + 1e-8
+    for c in tot:
+        members = {x for x in found if found[x] == c}
+        seen, todo = set(), [min(members)]
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [y for y in links[x] if y in members]
+        assert seen == members and c == min(members)
+    quality = community.quality(edges, spark.createDataFrame([*found.items()], "id string, community string")).first()
+    inside = 2 * sum(found[a] == found[b] for a, b in pairs)
+    assert (quality.nodes, quality.communities, quality.movable, quality.torn) == (len(found), len(tot), 0, 0)
+    assert abs(quality.modularity - (inside / total - sum((t / total) ** 2 for t in tot.values()))) < 1e-9
+
+
+def test_torn_community_is_seen(spark):
+    edges = edges_of(spark, [("a", "b"), ("c", "d"), ("b", "x"), ("x", "c")])
+    given = spark.createDataFrame([(n, "x" if n == "x" else "all") for n in "abcdx"], "id string, community string")
+    assert community.quality(edges, given).first().torn == 1
+
+
+def test_hubs_vote_in_order(spark, monkeypatch):
+    rng = random.Random(2)
+    hubs = [f"h{k}" for k in range(8)]
+    others = {f"n{k:02d}": f"c{k % 5}" for k in range(40)}
+    pairs = {(h, n) for h in hubs for n in rng.sample(sorted(others), 5)} | {(a, b) for i, a in enumerate(hubs[:5]) for b in hubs[i + 1 : 5]}
+    pairs |= {("h5", "h6"), ("h0", "h7"), ("lonely", "lonely")}
+    placed = dict(others)
+    for h in [*hubs, "lonely"]:
+        votes = {}
+        for a, b in pairs:
+            if h in (a, b) and a != b and (other := b if a == h else a) in placed:
+                votes[placed[other]] = votes.get(placed[other], 0) + 1
+        placed[h] = min(votes, key=lambda c: (-votes[c], c)) if votes else h
+    fronts, real = [], community.cut
+    monkeypatch.setattr(community, "cut", lambda df: (fronts.append(df.columns), real(df))[1])
+    ids = spark.createDataFrame([(h,) for h in [*hubs, "lonely"]], "id string")
+    got = community.reattach_hubs(ids, edges_of(spark, sorted(pairs)), spark.createDataFrame([*others.items()], "id string, community string"))
+    assert {r.id: r.community for r in got.collect()} == placed
+    assert fronts.count(["id", "waits"]) == 1 + 5  # a clique of five takes five rounds
 
 
 # --- analysis and walks ----------------------------------------------------------------------
@@ -283,7 +343,6 @@ def test_gods_surprises_gaps(spark):
     one_file = nodes.withColumn("source_file", F.lit("all.py"))
     bridges = analyze.surprising_connections(one_file, edges, top_n=2).collect()
     assert {(r.source, r.target) for r in bridges} == {("authservice", "dbpool"), ("auth_py", "authservice")} or bridges[0].score == 0.6
-    assert analyze.suggested_questions(["A", "B", "C"], ["X", "Y"])[0] == "How do A and B interact?"
 
 
 # --- extractors ------------------------------------------------------------------------------
