@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from loomgraph.operators.assemble import degrees, symmetric
 from loomgraph.schema import CONFIDENCES
 from loomgraph.session import cut, reused
 
+#: Rows that a batch of sources may spread over the links of a graph.
+FLOW_ROWS = 20_000_000
+
 
 def with_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(degrees(edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
@@ -154,60 +159,85 @@ def inferred_average(edges: DataFrame) -> DataFrame:
 # --- edge betweenness ----------------------------------------------------------------
 
 
-def edge_betweenness(edges: DataFrame) -> DataFrame:
-    """(k1, k2, score): share of all shortest paths that use an edge.
+def _twins(named: DataFrame) -> DataFrame:
+    """(id, twin, m): nodes with the same neighbours share a ``twin``, of which there are ``m``.
 
-    Brandes' method as joins: every node is a source, and one frontier frame
-    holds (source, node, paths) for all of them; distances grow level by level,
-    then dependencies flow back level by level. Work is proportional to
-    sources x edges, as the exact measure requires, and is spread over both.
+    Neighbour sets are told apart by their size and two 64-bit hash sums.
     """
-    named = symmetric(edges.where(F.col("source") != F.col("target")).select("source", "target")).distinct()
-    # the walk holds sources x nodes rows, so it runs on numbers rather than names
-    names = cut(named.select("id").distinct().withColumn("no", F.monotonically_increasing_id()))
-    left, right = names.toDF("id", "a"), names.toDF("other", "b")
-    links = cut(named.join(left, "id").join(right, "other").select(F.col("a").alias("id"), F.col("b").alias("other")))
-    vertices = names.select(F.col("no").alias("id"))
-    n = vertices.count()
-    frontier = cut(vertices.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths")))
-    seen = frontier.select("s", "id")
-    levels = [frontier]
+    digest = [F.sum(F.xxhash64("other", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in range(2)]
+    signed = cut(named.groupBy("id").agg(F.count("*").alias("n"), *digest))
+    kinds = signed.groupBy("n", "h0", "h1").agg(F.min("id").alias("first"), F.count("*").alias("m"))
+    kinds = cut(kinds.withColumn("twin", F.monotonically_increasing_id()))
+    return signed.join(kinds, ["n", "h0", "h1"]).select("id", "twin", F.col("m").cast("double").alias("m"))
+
+
+def _batch_shares(sources: DataFrame, links: DataFrame) -> DataFrame | None:
+    """(a, b, part): what the shortest paths of these sources add to the links between kinds of twins."""
+    levels = [cut(sources.select(F.col("id").alias("s"), "id", F.lit(1.0).alias("paths"), F.lit(1.0).alias("mult"), "m"))]
+    near = levels[0].where("m = 1").select("s", "id")  # other twins of a source are still to be reached
     while True:
         reached = (
-            frontier.join(links, "id")
+            levels[-1]
+            .join(links, "id")
             .groupBy("s", F.col("other").alias("id"))
-            .agg(F.sum("paths").alias("paths"))
-            .join(seen, ["s", "id"], "left_anti")
+            .agg(F.sum(F.col("paths") * F.col("mult")).alias("paths"), F.max("m_other").alias("m"))
+            .join(near, ["s", "id"], "left_anti")
         )
-        frontier = cut(reached)
+        mult = F.col("m") - F.when(F.col("s") == F.col("id"), 1.0).otherwise(0.0)
+        frontier = cut(reached.select("s", "id", "paths", mult.alias("mult"), "m"))
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-        seen = cut(seen.unionByName(frontier.select("s", "id")))
+        near = frontier.select("s", "id").unionByName(levels[-1].select("s", "id") if len(levels) > 1 else near)
+        levels.append(frontier)  # links lead one level up, down or nowhere: two levels are all that can be met again
     below = levels[-1].withColumn("dep", F.lit(0.0))
-    shares = []
-    for upper in reversed(levels[:-1]):
-        lower = below.select("s", F.col("id").alias("other"), F.col("paths").alias("paths2"), "dep")
+    shares = None
+    for depth in range(len(levels) - 2, -1, -1):
+        lower = below.select("s", F.col("id").alias("other"), F.col("paths").alias("paths2"), F.col("mult").alias("mult2"), "dep", F.col("m").alias("m2"))
         flow = (
-            upper.join(links, "id")
+            levels[depth]
+            .join(links.select("id", "other"), "id")
             .join(lower, ["s", "other"])
-            .select("s", "id", "other", (F.col("paths") / F.col("paths2") * (1 + F.col("dep"))).alias("share"))
+            .select("s", "id", "other", "m", "m2", "mult2", (F.col("paths") / F.col("paths2") * (1 + F.col("dep"))).alias("share"))
         )
         with reused(flow) as share:
-            ends = share.groupBy(F.least("id", "other").alias("k1"), F.greatest("id", "other").alias("k2"))
-            shares.append(cut(ends.agg(F.sum("share").alias("part"))))
-            back = share.groupBy("s", "id").agg(F.sum("share").alias("dep"))
-            below = cut(upper.join(back, ["s", "id"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0))))
-    if not shares:
+            # How many of the source's twins send this much over one link.
+            senders = F.lit(1.0) if depth == 0 else F.when(F.col("other") == F.col("s"), F.col("m2") - 1).otherwise(F.col("ms"))
+            of = share if depth == 0 else share.join(F.broadcast(sources.select(F.col("id").alias("s"), F.col("m").alias("ms"))), "s")  # a batch of sources
+            ends = of.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+            part = cut(ends.agg(F.sum(F.col("share") * senders).alias("part")))
+            shares = part if shares is None else shares.unionByName(part)
+            back = share.groupBy("s", "id").agg(F.sum(F.col("share") * F.col("mult2")).alias("dep"))
+            below = cut(levels[depth].join(back, ["s", "id"], "left").withColumn("dep", F.coalesce("dep", F.lit(0.0))))
+    return None if shares is None else cut(shares.groupBy("a", "b").agg(F.sum("part").alias("part")))
+
+
+def edge_betweenness(edges: DataFrame, flow_rows: int = FLOW_ROWS) -> DataFrame:
+    """(k1, k2, score): share of all shortest paths that use an edge.
+
+    Brandes' method as joins over a smaller graph: nodes with the same neighbours (the
+    leaves of a hub, the suppliers of the same nations) are twins, and one of them stands
+    for all with their number as weight. Sources are taken in batches of which the paths
+    to every node and over every link stay within ``flow_rows``; a batch walks level by
+    level, meets again only the two levels next to it, and leaves one sum for each link.
+    """
+    named = cut(symmetric(edges.where(F.col("source") != F.col("target")).select("source", "target")).distinct())
+    kinds = cut(_twins(named))
+    left, right = kinds.toDF("id", "a", "ma"), kinds.toDF("other", "b", "m_other")
+    between = cut(named.join(left, "id").join(right, "other").select("id", "other", F.col("a"), "b", "m_other"))
+    links = cut(between.select(F.col("a").alias("id"), F.col("b").alias("other"), "m_other").distinct())
+    sources = cut(kinds.select(F.col("twin").alias("id"), "m").distinct())
+    counts = sources.agg(F.count("*").alias("kinds"), F.sum("m").alias("n")).first()
+    n, batches = counts["n"] or 0, max(1, math.ceil(counts["kinds"] * links.count() / flow_rows))
+    total = None
+    for k in range(batches):
+        part = _batch_shares(cut(sources.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == k)), links)
+        if part is not None:
+            total = part if total is None else total.unionByName(part)
+    if total is None:
         return edges.select(F.least("source", "target").alias("k1"), F.greatest("source", "target").alias("k2"), F.lit(0.0).alias("score"))
-    total = shares[0]
-    for part in shares[1:]:
-        total = total.unionByName(part)
-    scored = total.groupBy("k1", "k2").agg((F.sum("part") / (n * (n - 1))).alias("score"))
-    first, second = names.toDF("n1", "k1"), names.toDF("n2", "k2")
-    return scored.join(first, "k1").join(second, "k2").select(
-        F.least("n1", "n2").alias("k1"), F.greatest("n1", "n2").alias("k2"), "score"
-    )
+    scored = total.groupBy("a", "b").agg((F.sum("part") / (n * (n - 1))).alias("score"))
+    pairs = between.where("id < other").select(F.col("id").alias("k1"), F.col("other").alias("k2"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(scored, ["a", "b"]).select("k1", "k2", "score")
 
 
 def bridge_edges(nodes: DataFrame, edges: DataFrame, top_n: int = 5) -> DataFrame:

@@ -345,6 +345,45 @@ def test_gods_surprises_gaps(spark):
     assert {(r.source, r.target) for r in bridges} == {("authservice", "dbpool"), ("auth_py", "authservice")} or bridges[0].score == 0.6
 
 
+def plain_betweenness(pairs):
+    links = {}
+    for a, b in pairs:
+        if a != b:
+            links.setdefault(a, set()).add(b)
+            links.setdefault(b, set()).add(a)
+    score = {}
+    for s in links:
+        far, paths, order = {s: 0}, {s: 1.0}, [s]
+        for v in order:
+            for w in sorted(links[v]):
+                if w not in far:
+                    far[w], paths[w] = far[v] + 1, 0.0
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    paths[w] += paths[v]
+        dep = dict.fromkeys(order, 0.0)
+        for w in reversed(order):
+            for v in links[w]:
+                if far[v] + 1 == far[w]:
+                    share = paths[v] / paths[w] * (1 + dep[w])
+                    dep[v] += share
+                    k = (min(v, w), max(v, w))
+                    score[k] = score.get(k, 0.0) + share
+    n = len(links)
+    return {k: x / (n * (n - 1)) for k, x in score.items()}
+
+
+@pytest.mark.parametrize("flow_rows", [10**6, 900])
+def test_betweenness_equals_a_plain_walk(spark, flow_rows):
+    rng = random.Random(6)
+    pairs = {tuple(rng.sample([f"n{k:02d}" for k in range(14)], 2)) for _ in range(18)}
+    pairs |= {("n00", f"leaf{k}") for k in range(6)} | {(f"s{k}", f"t{j}") for k in range(4) for j in range(3)}  # leaves; twins on both sides
+    pairs |= {("t0", "n01"), ("p", "q"), ("self", "self"), ("n00", "leaf0")}
+    got = {(r.k1, r.k2): r.score for r in analyze.edge_betweenness(edges_of(spark, sorted(pairs)), flow_rows).collect()}
+    want = plain_betweenness(pairs)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 # --- extractors ------------------------------------------------------------------------------
 
 
