@@ -14,6 +14,7 @@ from loomgraph.sources import graph_json
 from loomgraph.sources.tables import STAR_SQL, document_files, document_files_sql, star_edges, star_nodes, table
 from loomgraph.streaming import events as event_log
 from loomgraph.streaming import incremental as stream_state
+from loomgraph.streaming import windows
 
 # --- ledger: turns are model calls, events are phases -------------------------------
 
@@ -244,6 +245,47 @@ def stream_latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reported.groupBy("path").agg(F.max_by("hash", "version").alias("hash"))
 
 
+def _event_stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The event table, a tenth of it sent twice, as a stream."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value")
+    e.unionAll(e.where("event_id % 10 = 0")).write.parquet(f"{folder}/in")
+    return spark.readStream.schema(windows.EVENT).parquet(f"{folder}/in")
+
+
+def _drained(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    event_log.deliver(stream, f"{folder}/out", f"{folder}/offsets").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+_CLOSED_SQL = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
+
+
+@query(
+    "event_windows",
+    f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events
+    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_CLOSED_SQL} GROUP BY ALL""",
+)
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly windows by a stream with repeated events; the last hour before the end of the stream is still open."""
+    folder = _stream_folder(spark)
+    closed = _drained(spark, windows.tumbling(_event_stream(spark, sf_dir, folder), "1 hour", "1 hour"), folder)
+    return closed.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query(
+    "event_sessions",
+    f"""WITH marked AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 4 HOUR, TRUE) AS fresh FROM events),
+    numbered AS (SELECT *, sum(fresh::int) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS no FROM marked)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, strftime(max(ts) + INTERVAL 4 HOUR, '%Y-%m-%d %H:%M:%S.%f') AS "end",
+    count(*) AS n, round(sum(value), 2) AS total FROM numbered GROUP BY user_id, no HAVING max(ts) + INTERVAL 4 HOUR <= {_CLOSED_SQL}""",
+)
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of each user by a stream with repeated events."""
+    folder = _stream_folder(spark)
+    over = _drained(spark, windows.sessions(_event_stream(spark, sf_dir, folder), "4 hours", "1 hour"), folder)
+    return over.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c in ("start", "end")})
+
+
 # --- raw-file tools ------------------------------------------------------------------------
 
 _FILES_SQL = document_files_sql()

@@ -8,6 +8,7 @@ from loomgraph.sources import files as file_source
 from loomgraph.sources import graph_json
 from loomgraph.streaming import events as event_log
 from loomgraph.streaming import incremental as stream_state
+from loomgraph.streaming import windows
 
 
 def ledger_of(spark, rows):
@@ -85,6 +86,30 @@ def test_stream_state(spark, tmp_path):
     assert got == [("a", "h1", "added"), ("b", "h1", "added"), ("b", "h2", "changed")]
 
 
+def test_event_time_windows(spark, tmp_path):
+    """Late rows are left out, repeats count once, open windows and sessions stay in the state across restarts."""
+    src = str(tmp_path / "in")
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(windows.EVENT).parquet(src)
+    runs = {"hours": windows.tumbling(stream, "1 hour", "30 minutes"), "sessions": windows.sessions(stream, "20 minutes", "30 minutes")}
+    batches = [
+        [(1, "10:05", 7, 1.0), (2, "10:10", 7, 2.0), (2, "10:10", 7, 2.0), (3, "10:50", 8, 4.0)],
+        [(4, "10:25", 7, 8.0), (3, "10:50", 8, 4.0), (5, "12:00", 7, 16.0)],  # 4 is out of order but in time
+        [(6, "10:30", 7, 32.0), (7, "14:00", 9, 64.0)],  # 6 is late: the watermark is 11:30
+    ]
+    for batch in batches:
+        rows = [(i, f"2024-01-01 {at}:00", user, "view", value) for i, at, user, value in batch]
+        spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+        for name, df in runs.items():
+            event_log.deliver(df, str(tmp_path / name), str(tmp_path / f"{name}-offsets")).awaitTermination()
+    hours = spark.read.parquet(str(tmp_path / "hours")).orderBy("start").collect()
+    assert [(r.start.hour, r.n, r.total) for r in hours] == [(10, 4, 15.0), (12, 1, 16.0)]
+    over = spark.read.parquet(str(tmp_path / "sessions")).orderBy("start").collect()
+    assert [(r.user_id, r.start.strftime("%H:%M"), r.end.strftime("%H:%M"), r.n, r.total) for r in over] == [
+        (7, "10:05", "10:45", 3, 11.0), (8, "10:50", "11:10", 1, 4.0), (7, "12:00", "12:20", 1, 16.0),
+    ]
+
+
 def test_scan_and_raw_tools(spark, tmp_path):
     root = tmp_path / "repo"
     for rel, body in {"src/app.py": "x = 1\ny = token\n", "docs/readme.md": "# Hi", "node_modules/lib.js": "a", ".venv/site.py": "b", "creds.json": "{}",
