@@ -6,11 +6,12 @@ bucket and joins what is alike, without listing all pairs of a bucket:
 1. every bucket has a leader, chosen by an order of its own, and each member is
    tested against it; members of one large group of copies so meet many leaders
    and become one class in one pass over the buckets;
-2. a leader that is unlike two members says nothing about them. Members of buckets
-   that still hold several classes are compared by an exact prefix filter: with
-   shingles in order of frequency, rarest first, two sets of Jaccard similarity t share
-   one of the first n - ceil(t n) + 1 of each. What many members have in common is late
-   in that order, so large classes do not meet pair by pair.
+2. a leader that is unlike two members says nothing about them. Buckets of three and
+   more that still hold several classes are compared inside tasks: members of the
+   bucket's largest class and the others are dealt to chunks of bounded size, a task
+   gets the texts of one pair of chunks and returns a spanning forest of what it finds
+   alike between classes. No pair becomes a row, members of the largest class are not
+   compared with each other, and of buckets with the same members one is compared.
 """
 
 from __future__ import annotations
@@ -19,14 +20,21 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm import arrays
 from loomgraph.llm.tables import Scratch
 
-#: Groups of tokens whose frequencies order the prefixes.
-GROUPS = 1 << 18
+#: Texts to (row, hash) of their elements.
+Shingles = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+
+#: Most members and characters of a chunk (one member at least) that meet another chunk in a task.
+MEMBERS, CHARS = 4096, 1 << 22
+#: Up to this many rows are compared set by set.
+SMALL = 48
+#: Rows whose shared elements are counted together, and cells of a 0/1 matrix.
+BLOCK, CELLS = 256, 1 << 24
 #: Bits of the bitmap that keeps rows nobody needs out of a shuffle.
 MARKS = 1 << 23
 
@@ -88,75 +96,174 @@ def union_find(links: DataFrame, scratch: Scratch) -> DataFrame:
     return result
 
 
-def _heads(batches: Iterator[pa.RecordBatch], frequency: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
-    """(token, id, root, n, at) for the prefix of each set, its tokens ordered by frequency."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            part = batch.slice(low, 1000)
-            lists = part.column("tokens")
-            tokens, n = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy()
-            row = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((tokens, frequency[tokens & (len(frequency) - 1)], row))
-            at = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n)
-            head = at < (n - np.ceil(n * least - 1e-9) + 1)[row]
-            row, at, token = row[head], at[head], tokens[order][head]
-            take = lambda c, part=part, row=row: part.column(c).take(pa.array(row))
-            yield pa.record_batch([pa.array(token), take("id"), take("root"), pa.array(n[row].astype(np.int32)), pa.array(at.astype(np.int32))], names=["token", "id", "root", "n", "at"])
-
-
-def across_classes(members: DataFrame, least: float, scratch: Scratch) -> DataFrame:
-    """Candidate pairs (a, b) of ``members`` (id, root, tokens) with different roots.
-
-    Every pair whose token sets have Jaccard similarity ``least`` is among them: that
-    holds for prefixes in any common order. Frequencies are kept for groups of
-    tokens, of which there is a fixed number.
+def _shared_counts(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, how many elements it shares with each row), row by row.
+
+    Elements that many rows hold are counted by products of 0/1 matrices, the others by the
+    list of rows that hold them.
+    """
+    n = len(sets)
+    rows = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, holders = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = holders > n // 8
+    dense = np.flatnonzero(common)
+    number = np.cumsum(common) - 1
+    order = np.argsort(column, kind="stable")
+    ends = np.concatenate(([0], np.cumsum(holders)))
+    sorted_rows = rows[order]
+    bounds = np.searchsorted(rows, np.arange(n + 1))
+    step = max(1, CELLS // n)
+    at_dense = common[column]
+    for low in range(0, n, BLOCK):
+        high = min(n, low + BLOCK)
+        shared = np.zeros((high - low, n), np.float32)
+        for first in range(0, len(dense), step):
+            part = at_dense & (number[column] >= first) & (number[column] < first + step)
+            matrix = np.zeros((n, min(step, len(dense) - first)), np.float32)
+            matrix[rows[part], number[column[part]] - first] = 1
+            shared += matrix[low:high] @ matrix.T
+        for row in range(low, high):
+            own = column[bounds[row] : bounds[row + 1]]
+            own = own[~common[own] & (holders[own] > 1)]
+            if len(own):
+                shared[row - low] += np.bincount(np.concatenate([sorted_rows[ends[c] : ends[c + 1]] for c in own]), minlength=n)
+            yield row, shared[row - low]
+
+
+def forest(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray | None, least: float) -> list[tuple[int, int]]:
+    """Pairs of rows that join different classes: their sorted sets have Jaccard similarity ``least``.
+
+    ``sides`` restricts the comparison to rows of different sides.
     """
-    group = F.expr(f"token & {GROUPS - 1}L").cast("int").alias("g")
-    counts = members.select(F.explode("tokens").alias("token")).groupBy(group).count().toArrow()  # GROUPS rows at most
-    frequency = np.zeros(GROUPS, np.int64)
-    frequency[counts["g"].to_numpy()] = counts["count"].to_numpy()
-    heads = members.select("id", "root", "tokens").mapInArrow(lambda it: _heads(it, frequency, least), "token long, id long, root long, n int, at int")
-    heads = scratch.put("heads", heads)
-    crossing = heads.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    heads = heads.join(crossing, "token")
-    left = heads.select("token", F.col("id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("at").alias("ia"))
-    right = heads.select("token", F.col("id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("at").alias("ib"))
-    # For the first token that both have, nothing before it is shared.
-    most = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    enough = most >= F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-9
-    return left.join(right, "token").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & enough).select("a", "b").distinct()
+    n, found = len(sets), []
+    comp = np.unique(roots, return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    if n > SMALL:
+        for row, both in _shared_counts(sets):
+            alike = (comp != comp[row]) & (both >= least * (sizes + sizes[row] - both.astype(np.float64)))
+            if sides is not None:
+                alike &= sides != sides[row]
+            for other in np.flatnonzero(alike).tolist():
+                if comp[other] != comp[row]:
+                    found.append((row, other))
+                    comp[comp == comp[other]] = comp[row]
+        return found
+    comp = comp.tolist()
+    own = [frozenset(s.tolist()) for s in sets]
+    count = sizes.tolist()
+    for x in range(n):
+        for y in range(x + 1, n):
+            if comp[x] == comp[y] or (sides is not None and sides[x] == sides[y]) or min(count[x], count[y]) < least * max(count[x], count[y]):
+                continue
+            both = len(own[x] & own[y])
+            if both >= least * (count[x] + count[y] - both):
+                found.append((x, y))
+                old, new = comp[y], comp[x]
+                comp = [new if c == old else c for c in comp]
+    return found
+
+
+def _compare(batches: Iterator[pa.RecordBatch], shingles: Shingles, least: float) -> Iterator[pa.RecordBatch]:
+    """Forests of the groups (bucket, i, j), whose rows follow each other."""
+    held: list[pa.RecordBatch] = []
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        key = np.stack([table[c].to_numpy() for c in ("bucket", "i", "j")])
+        starts = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+        ids, roots, sides = (table[c].to_numpy() for c in ("id", "root", "side"))
+        texts, out = table["text"].combine_chunks(), []
+        _, offsets = arrays.utf8(texts)
+        sets: list[np.ndarray] = []
+        for low, high in arrays.slices(offsets):
+            row, hashes = shingles(texts.slice(low, high - low))
+            order = np.lexsort((hashes, row))
+            row, hashes = row[order], hashes[order]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+            row, hashes = row[new], hashes[new]
+            sets += np.split(hashes, np.searchsorted(row, np.arange(1, high - low)))
+        for low, high in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+            own = None if key[1, low] == key[2, low] else sides[low:high]
+            out += [(ids[low + x], ids[low + y]) for x, y in forest(sets[low:high], roots[low:high], own, least)]
+        both = np.array(out, np.int64).reshape(-1, 2)
+        return pa.record_batch([pa.array(both.min(axis=1, initial=2**63 - 1)), pa.array(both.max(axis=1, initial=-(2**63)))], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [batch.column(c)[batch.num_rows - 1].as_py() for c in range(3)]
+        same = np.logical_and.reduce([batch.column(c).to_numpy() == last[c] for c in range(3)])
+        begin = batch.num_rows - int(same.sum())  # the last group may go on in the next batch
+        before = [held[-1].column(c)[0].as_py() for c in range(3)] if held else last
+        if begin or before != last:
+            yield settle(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+            held = []
+        held.append(batch.slice(begin))
+    if held:
+        yield settle(pa.Table.from_batches(held))
+
+
+def compare_open(placed: DataFrame, texts: DataFrame, shingles: Shingles, least: float) -> DataFrame:
+    """Links (a, b) between classes that share a bucket of ``placed`` (bucket, id, root, chars)."""
+    one = placed.groupBy("bucket", "root").agg(
+        F.count("*").alias("n"),
+        F.sum("chars").alias("chars"),
+        F.bit_xor(F.xxhash64("id")).alias("h1"),
+        F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"),
+    )
+    most = F.max(F.struct("n", "chars", "root"))
+    stats = one.groupBy("bucket").agg(
+        most.alias("main"), F.sum("n").alias("n"), F.sum("chars").alias("chars"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")
+    )
+    # Two members have met: one of them led.
+    stats = stats.where((F.col("main.n") < F.col("n")) & (F.col("n") > 2))
+    stats = stats.groupBy("n", "chars", "h1", "h2").agg(F.min("bucket").alias("bucket"), F.min("main").alias("main"))
+    chunks = lambda n, chars: F.ceil(F.greatest(n / MEMBERS, chars / CHARS)).cast("int")
+    whole = (F.col("n") <= MEMBERS) & (F.col("chars") <= CHARS)
+    main = F.when(whole, 1).otherwise(chunks(F.col("main.n"), F.col("main.chars")))
+    rest = F.when(whole, 0).otherwise(chunks(F.col("n") - F.col("main.n"), F.col("chars") - F.col("main.chars")))
+    stats = stats.select("bucket", F.col("main.root").alias("first"), main.alias("c1"), rest.alias("c2"))
+    rows = placed.join(stats, "bucket")
+    leads, deal = (F.col("root") == F.col("first")) & (F.col("c2") > 0), F.xxhash64("id", F.lit(2))
+    side = F.when(F.col("c2") == 0, 0).when(leads, F.pmod(deal, F.col("c1"))).otherwise(F.col("c1") + F.pmod(deal, F.col("c2"))).cast("int")
+    peers = F.when(F.col("c2") == 0, F.array(F.lit(0))).otherwise(F.sequence(F.when(leads, F.col("c1")).otherwise(0), F.col("c1") + F.col("c2") - 1))
+    rows = rows.select("bucket", "id", "root", side.alias("side"), peers.alias("peers"))
+    rows = rows.withColumn("peer", F.explode("peers"))
+    rows = rows.select("bucket", F.least("side", "peer").alias("i"), F.greatest("side", "peer").alias("j"), "id", "root", "side")
+    given = rows.join(texts, "id").select("bucket", "i", "j", "id", "root", "side", "text")
+    given = given.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return given.mapInArrow(lambda it: _compare(it, shingles, least), "a long, b long")
 
 
 def link_buckets(
-    members: DataFrame, verify: Callable[[DataFrame], DataFrame], tokens: Callable[[DataFrame], DataFrame], least: float, scratch: Scratch
-) -> tuple[DataFrame, DataFrame]:
-    """Classes and links of ``members`` (bucket long, id long).
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], texts: Callable[[], DataFrame], shingles: Shingles, least: float, scratch: Scratch
+) -> DataFrame:
+    """Classes (id, root) of ``members`` (bucket long, id long) for every id with a link.
 
-    ``verify`` takes distinct pairs (a, b) and returns those of Jaccard similarity
-    ``least``; ``tokens`` takes ids and returns (id, tokens), their sets.
-    Returns (id, root) for every id with a link, and the links (a, b).
+    ``verify`` takes distinct pairs (a, b) and returns those of Jaccard similarity ``least``;
+    after its first call ``texts`` gives (id, text) of every member that shares a bucket, and
+    ``shingles`` takes such texts and returns (row, hash) of their elements.
     """
     # The leader has the least id under an order that each bucket has for itself.
     order = F.col("id").bitwiseXOR(F.col("bucket"))
     leaders = members.groupBy("bucket").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low <> high")
     leaders = scratch.put("leaders", leaders.select("bucket", F.col("low").bitwiseXOR(F.col("bucket")).alias("a")))
     shared = scratch.put("shared", members.join(leaders, "bucket").select("bucket", "id", "a").distinct())
+    scratch.drop("leaders")
     pairs = shared.where("id <> a").select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
     tested = scratch.put("tested", pairs)
     links = scratch.put("links", verify(tested))
     classes = union_find(links, scratch)
+    scratch.drop("tested")
 
-    placed = shared.join(classes, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket")
-    open_ = scratch.put("open", placed.join(split, "bucket").select("id", "root").distinct())
-    scratch.drop("shared", "leaders")
-    sets = scratch.put("sets", tokens(open_.select("id")).join(open_, "id"))
-    rest = scratch.put("rest", across_classes(sets, least, scratch).join(tested, ["a", "b"], "left_anti"))
-    scratch.drop("open", "sets", "heads", "tested")
-    more = scratch.put("more", verify(rest))
-    scratch.drop("rest")
+    sized = texts().select("id", F.length("text").cast("long").alias("chars"))
+    placed = shared.select("bucket", "id").join(classes, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    split = placed.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"))
+    placed = scratch.put("open", placed.join(split.where("r0 <> r1 and n > 2").select("bucket"), "bucket").join(sized, "id"))
+    scratch.drop("shared")
+    more = scratch.put("more", compare_open(placed, texts(), shingles, least))
+    scratch.drop("open")
     if more.isEmpty():
-        return classes, links
-    every = links.union(more)
+        return classes
     scratch.drop("classes")
-    return union_find(every, scratch), every
+    return union_find(links.union(more), scratch)

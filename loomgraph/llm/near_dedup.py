@@ -89,12 +89,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], size: int, band_slots: int, b
             yield pa.record_batch([batch.column(0).slice(low, many), pa.array(digests[0]), pa.array(digests[1]), lists], names=["doc_id", "d1", "d2", "bands"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
-            sets = [arrays.shingle_set(t, size).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.record_batch([part.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "tokens"])
+def _shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    rows, hashes, _ = arrays.word_shingles(*arrays.words(*arrays.utf8(texts)), size)
+    return rows, hashes
 
 
 def _alike(batches: Iterator[pa.RecordBatch], size: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -113,14 +110,14 @@ def classes(
     """(doc_id, class_id, copy_of): the least doc_id of the class, and of the equal texts."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dedup")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
-    signed = texts.mapInArrow(lambda it: _signatures(it, size, band_slots, bands), SIGNATURES)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    signed = rows.mapInArrow(lambda it: _signatures(it, size, band_slots, bands), SIGNATURES)
     signed = scratch.put("signed", signed)
     copies = signed.where("doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands"))
     copies = scratch.put("copies", copies)
     members = copies.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
     # rows that repeat a doc_id give its text once
-    lookup = texts.where("doc_id is not null")
+    lookup = rows.where("doc_id is not null")
 
     texts_: list[DataFrame] = []
 
@@ -138,11 +135,10 @@ def classes(
         both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
         return both.mapInArrow(lambda it: _alike(it, size, least), "a long, b long")
 
-    def tokens(ids: DataFrame) -> DataFrame:
-        own = held(ids).join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-        return own.mapInArrow(lambda it: _sets(it, size), "id long, tokens array<long>")
+    def texts() -> DataFrame:
+        return texts_[0].select(F.col("doc_id").alias("id"), "text")
 
-    found, _ = link_buckets(members, verify, tokens, least, scratch)
+    found = link_buckets(members, verify, texts, lambda column: _shingles(column, size), least, scratch)
     scratch.drop("needed", "texts")
     reps = copies.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left")
     reps = reps.select("d1", "d2", "rep", F.coalesce("root", "rep").alias("class_id"))

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm import chat, decontaminate, fingerprints, license_notices, licenses, line_dedup, mixing, near_dedup, quality, queries, token_records, url_filter
+from loomgraph.llm import chat, decontaminate, fingerprints, license_notices, licenses, line_dedup, linking, mixing, near_dedup, quality, queries, token_records, url_filter
 from loomgraph.llm.tables import new_folder
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,6 +164,57 @@ def test_members_that_only_meet_through_others(spark):
     assert set(got.values()) == {0}
 
 
+def group_near_the_threshold(rng, many, stray):
+    """Versions of one text, most pairs of them just below the threshold, and copies of one version."""
+    words = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(many):
+        own = list(words)
+        for at in rng.sample(range(200), rng.choice([2, 4, 6, 8])):
+            own[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(own), "a"))
+    first = rows[0][1].split(" ")
+    for i in range(many, many + stray):
+        own = list(first)
+        own[rng.randrange(200)] = f"n{i}"
+        rows.append((i, " ".join(own), "a"))
+    return rows
+
+
+@pytest.mark.parametrize("bounds", [(4096, 1 << 22), (16, 1 << 22), (4096, 20_000)])
+def test_groups_just_below_the_threshold(spark, monkeypatch, bounds):
+    """The same classes in one chunk and in many, whatever bounds them."""
+    monkeypatch.setattr(linking, "MEMBERS", bounds[0])
+    monkeypatch.setattr(linking, "CHARS", bounds[1])
+    rows = group_near_the_threshold(random.Random(21), 90, 40)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(frame(spark, rows)).collect()}
+    want = brute_classes(word_sets([(i, t) for i, t, _ in rows]))
+    assert len(set(want.values())) > 10
+    assert got == want
+
+
+@pytest.mark.parametrize("many", [3, 40, 60, 400])
+@pytest.mark.parametrize("sided", [False, True])
+def test_forest_joins_what_all_pairs_join(many, sided):
+    rng = np.random.default_rng(many)
+    base = rng.integers(0, 2**63, 120).astype(np.uint64)
+    sets = [np.unique(np.append(rng.choice(base, rng.integers(80, 120), replace=False), rng.integers(0, 2**63, k % 9).astype(np.uint64))) for k in range(many)]
+    roots, sides = rng.integers(0, many, many), rng.integers(0, 2, many) if sided else None
+
+    def classes(pairs):
+        of = {r: r for r in range(many)}
+        for x, y in pairs:
+            old, new = of[roots[x]], of[roots[y]]
+            of = {r: new if c == old else c for r, c in of.items()}
+        return {frozenset(x for x in range(many) if of[roots[x]] == c) for c in of.values()} - {frozenset()}
+
+    own = [set(s.tolist()) for s in sets]
+    alike = [(x, y) for x in range(many) for y in range(x) if not (sided and sides[x] == sides[y]) and len(own[x] & own[y]) >= 0.8 * len(own[x] | own[y])]
+    found = linking.forest(sets, roots, sides, 0.8)
+    assert len(found) < many
+    assert classes(found) == classes(alike)
+
+
 # ---- 3 quality
 
 
