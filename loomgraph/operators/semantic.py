@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,14 +88,14 @@ def prompts(files: DataFrame, token_budget: int = fixed.SEMANTIC_TOKEN_BUDGET) -
 
 
 def ask_model(files: DataFrame, model: Callable[[str], str] | None, cache: DataFrame | None = None) -> DataFrame:
-    """(path, hash, reply, error). Cached replies, by content hash, are not asked again."""
+    """(path, part, hash, reply, error). Cached replies, by content hash, are not asked again."""
     asked = prompts(files)
     if model is None:
-        return asked.select("path", "hash", F.lit(None).cast("string").alias("reply"), F.lit("skipped").alias("error"))
+        return asked.select("path", "part", "hash", F.lit(None).cast("string").alias("reply"), F.lit("skipped").alias("error"))
     known = None
     if cache is not None:
         replies = cache.groupBy("hash").agg(F.min("reply").alias("reply"))
-        known = asked.join(replies, "hash").select("path", "hash", "reply", F.lit(None).cast("string").alias("error"))
+        known = asked.join(replies, "hash").select("path", "part", "hash", "reply", F.lit(None).cast("string").alias("error"))
         asked = asked.join(replies, "hash", "left_anti")
 
     def call(batches):
@@ -108,26 +108,41 @@ def ask_model(files: DataFrame, model: Callable[[str], str] | None, cache: DataF
                 except Exception as e:  # noqa: BLE001 - one bad document must not fail the run
                     replies.append(None)
                     errors.append(f"llm: {type(e).__name__}: {e}")
-            yield pd.DataFrame({"path": pdf["path"], "hash": pdf["hash"], "reply": replies, "error": errors})
+            yield pd.DataFrame({"path": pdf["path"], "part": pdf["part"], "hash": pdf["hash"], "reply": replies, "error": errors})
 
-    fresh = spread(asked).mapInPandas(call, "path string, hash string, reply string, error string")
+    fresh = spread(asked).mapInPandas(call, "path string, part int, hash string, reply string, error string")
     return fresh if known is None else fresh.unionByName(known)
 
 
 def fragments(replies: DataFrame) -> dict[str, DataFrame]:
-    """nodes, edges, links, errors records of model replies ``(path, reply)``.
+    """nodes, edges, links, errors records of model replies ``(path, part, reply)``.
 
+    The parts of a document make one fragment: its records are ordered by part and place
+    in the reply, a concept that several parts name is the first one's, an edge or link may
+    use any concept of the document, and there is one anchor. Replies without a column
+    ``part`` are whole documents.
     Unnamed concepts, edges that leave the reply's concepts and self-edges are dropped.
     """
-    parsed = cut(replies.select("path", "error", json_object(F.col("reply")).alias("json")))
+    part = F.col("part") if "part" in replies.columns else F.lit(0)
+    parsed = cut(replies.select("path", part.cast("long").alias("part"), "error", json_object(F.col("reply")).alias("json")))
     bad = parsed.where(F.col("json").isNull()).select(
         "path", F.coalesce("error", F.lit("llm returned unparseable JSON")).alias("error")
     )
-    r = parsed.where(F.col("json").isNotNull()).select("path", F.from_json("json", REPLY).alias("r"))
+    r = parsed.where(F.col("json").isNotNull()).select("path", "part", "json", F.from_json("json", REPLY).alias("r"))
+    # Places count on from part to part; a document has few parts, and replies are short.
+    own_parts = Window.partitionBy("path")
+    earlier = own_parts.orderBy("part", "json").rowsBetween(Window.unboundedPreceding, -1)
+    many = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
+    before = lambda c: F.coalesce(F.sum(many(c)).over(earlier), F.lit(0))
+    r = r.select(
+        "path", "r", before("r.nodes").alias("n0"), before("r.edges").alias("e0"), before("r.code_links").alias("l0"),
+        F.sum(many("r.edges")).over(own_parts).alias("n_edges"),
+    )
     none = F.lit(None).cast("string")
     own = [F.col("path").alias("source_file")]
     concepts = (
-        r.select("path", F.size("r.edges").alias("n_edges"), F.posexplode("r.nodes").alias("at", "n"))
+        r.select("path", "n_edges", "n0", F.posexplode("r.nodes").alias("at", "n"))
+        .withColumn("at", F.col("n0") + F.col("at"))
         .withColumn("label", F.btrim(F.coalesce("n.label", F.lit(""))))
         .where(F.col("label") != "")
         .withColumn("id", ids.concept_id(F.coalesce(F.nullif("n.id", F.lit("")), F.col("label"))))
@@ -136,7 +151,7 @@ def fragments(replies: DataFrame) -> dict[str, DataFrame]:
     )
     concepts = cut(concepts)
     file_id = ids.document_id("path")
-    anchors = r.select(file_id.alias("id"), paths.basename("path").alias("label"), F.lit("document").alias("file_type"), *own,
+    anchors = r.select("path").distinct().select(file_id.alias("id"), paths.basename("path").alias("label"), F.lit("document").alias("file_type"), *own,
                        F.lit("L1").alias("source_location"), none.alias("kind"), none.alias("summary"),
                        F.col("path").alias("fragment_key"), F.lit(0).cast("long").alias("pos"))
     nodes = anchors.unionByName(
@@ -148,7 +163,8 @@ def fragments(replies: DataFrame) -> dict[str, DataFrame]:
     relation = F.btrim(F.coalesce(F.nullif("e.relation", F.lit("")), F.lit("references")))
     score = text.clamp_score("e.confidence_score")
     claimed = (
-        r.select("path", F.posexplode("r.edges").alias("at", "e"))
+        r.select("path", "e0", F.posexplode("r.edges").alias("at", "e"))
+        .withColumn("at", F.col("e0") + F.col("at"))
         .select("path", "at", ids.concept_id("e.source").alias("source"), ids.concept_id("e.target").alias("target"),
                 F.when(relation.isin(fixed.SEMANTIC_RELATIONS), relation).otherwise("references").alias("relation"), score.alias("score"))
         .where(F.col("source") != F.col("target"))
@@ -161,10 +177,11 @@ def fragments(replies: DataFrame) -> dict[str, DataFrame]:
     ).unionByName(
         concepts.select(file_id.alias("source"), F.col("id").alias("target"), F.lit("contains").alias("relation"), F.lit("EXTRACTED").alias("confidence"),
                         F.lit(None).cast("double").alias("confidence_score"), *own, none.alias("source_location"), F.lit(1.0).alias("weight"),
-                        F.col("path").alias("fragment_key"), (F.col("at") + F.greatest("n_edges", F.lit(0))).cast("long").alias("pos"))
+                        F.col("path").alias("fragment_key"), (F.col("at") + F.col("n_edges")).cast("long").alias("pos"))
     )
     links = (
-        r.select("path", F.posexplode("r.code_links").alias("at", "l"))
+        r.select("path", "l0", F.posexplode("r.code_links").alias("at", "l"))
+        .withColumn("at", F.col("l0") + F.col("at"))
         .select("path", "at", ids.concept_id("l.concept_id").alias("id"), F.btrim(F.coalesce("l.code_name", F.lit(""))).alias("code_name"))
         .where(F.col("code_name") != "")
         .join(known, ["path", "id"], "left_semi")

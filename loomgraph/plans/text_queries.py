@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import fixed, ids, paths, text
+from loomgraph.functions import fixed, ids, paths, text, urls
 from loomgraph.functions.similarity import jaro_winkler
 from loomgraph.operators import classify
 from loomgraph.plans.registry import query
@@ -70,7 +70,7 @@ def fragment_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT page_id, list_filter(string_split(regexp_extract(url, '://([^/]+)', 1), '.'), lambda x: TRUE)[-1] AS stem FROM pages",
 )
 def module_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", ids.module_stem(F.parse_url("url", F.lit("HOST"))).alias("stem"))
+    return table(spark, sf_dir, "pages").select("page_id", ids.module_stem(urls.url_host(F.col("url"))).alias("stem"))
 
 
 @query(
@@ -219,8 +219,7 @@ def score_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT page_id, regexp_matches(url, '^https?://[^/?#]') AS valid, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages",
 )
 def url_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = F.try_parse_url("url", F.lit("PROTOCOL")).isin("http", "https") & (F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")) != "")
-    return table(spark, sf_dir, "pages").select("page_id", valid.alias("valid"), F.parse_url("url", F.lit("HOST")).alias("host"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.valid_url(F.col("url")).alias("valid"), urls.url_host(F.col("url")).alias("host"))
 
 
 # --- classification ----------------------------------------------------------------

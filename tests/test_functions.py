@@ -6,7 +6,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from loomgraph.functions import fixed, ids, paths, text
+from loomgraph.functions import fixed, ids, paths, text, urls
 from loomgraph.functions.similarity import jaro_winkler_pair
 from loomgraph.operators import classify, ledger
 
@@ -116,3 +116,13 @@ def test_prices(spark):
     rows = spark.createDataFrame([("gpt-4o-x", 1_000_000, 1_000_000), ("unknown", 5, 5), ("deepseek-v3", 123, 457)], "m string, p long, c long")
     got = [r[0] for r in rows.select(ledger.estimate_cost(F.col("m"), F.col("p"), F.col("c"), prices)).collect()]
     assert got == [3.0, 0.0, round(123 / 1e6 * 0.27 + 457 / 1e6 * 1.10, 6)]
+
+
+def test_urls_that_cannot_be_read_are_invalid(spark):
+    cases = [
+        ("http://a.org/x", True, "a.org"), ("HTTPS://a.org", True, "a.org"), ("ftp://a.org/x", False, "a.org"), ("file:///etc/passwd", False, None),
+        ("http://a b/ c", False, None), ("http://", False, None), ("no scheme", False, None), ("", False, None), (None, False, None),
+    ]
+    df = spark.createDataFrame([(u,) for u, _, _ in cases], "url string")
+    got = df.select("url", urls.valid_url(F.col("url")).alias("valid"), urls.url_host(F.col("url")).alias("host")).collect()
+    assert [tuple(r) for r in got] == cases

@@ -167,6 +167,34 @@ def test_model_errors_and_cache(spark):
     assert {r.error for r in semantic.ask_model(files, None).collect()} == {"skipped"}
 
 
+def test_parts_of_a_document_keep_their_order(spark):
+    def reply(names, edges=(), links=()):
+        return json.dumps({
+            "nodes": [{"id": n, "label": n, "summary": f"{n} of {names[0]}"} for n in names],
+            "edges": [{"source": a, "target": b, "relation": "references"} for a, b in edges],
+            "code_links": [{"concept_id": c, "code_name": code} for c, code in links],
+        })
+
+    rows = [
+        ("a.md", 1, reply(["beta", "gamma"], [("gamma", "alpha"), ("beta", "gamma")], [("gamma", "two")]), None),
+        ("a.md", 0, reply(["alpha", "beta"], [("alpha", "beta")], [("alpha", "one")]), None),
+        ("a.md", 2, None, "llm: down"),
+    ]
+    for partitions in (1, 3):
+        asked = spark.createDataFrame(rows, "path string, part int, reply string, error string").repartition(partitions)
+        got = {k: v.collect() for k, v in semantic.fragments(asked).items()}
+        nodes = sorted(got["nodes"], key=lambda r: r.pos)
+        assert [(r.pos, r.label) for r in nodes] == [(0, "a.md"), (1, "alpha"), (2, "beta"), (4, "gamma")]
+        assert nodes[2].summary == "beta of alpha"  # the first part that names it
+        edges = sorted(got["edges"], key=lambda r: r.pos)
+        assert len({r.pos for r in edges}) == len(edges) == 6
+        by_id = {r.id: r.label for r in nodes}
+        assert [(by_id[r.source], by_id[r.target]) for r in edges[:3]] == [("alpha", "beta"), ("gamma", "alpha"), ("beta", "gamma")]
+        assert {r.relation for r in edges[3:]} == {"contains"}
+        assert [r.code_name for r in sorted(got["links"], key=lambda r: r.pos)] == ["one", "two"]
+        assert [r.error for r in got["errors"]] == ["llm: down"]
+
+
 def test_graph_json_round_trip(spark, tmp_path):
     doc = {"directed": False, "nodes": [{"id": "a", "label": "A", "file_type": "code", "source_file": "a.py"}, {"id": "b", "label": "B"}], "links": [{"source": "a", "target": "b", "relation": "calls"}]}
     (tmp_path / "g.json").write_text(json.dumps(doc))
