@@ -47,8 +47,3 @@ def change_summary(current: DataFrame, snapshot: DataFrame) -> DataFrame:
     )
     joined = current.select("path", "hash").join(old, "path", "full")
     return joined.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
-
-
-def append_fragments(fragments: DataFrame, path: str) -> None:
-    """Write-once store, laid out by hash prefix so a lookup touches few folders."""
-    fragments.withColumn("shard", F.left("hash", F.lit(2))).write.mode("append").partitionBy("shard").parquet(path)

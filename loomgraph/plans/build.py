@@ -23,7 +23,6 @@ from loomgraph.operators import (
     extract_manifest,
     extract_markdown,
     foldin,
-    incremental,
     resolve,
     semantic,
     validate,
@@ -31,9 +30,8 @@ from loomgraph.operators import (
 from loomgraph.plans import report as report_text
 from loomgraph.session import cut
 from loomgraph.sources import files as file_source
-from loomgraph.sources import graph_json
-
-RECORDS = ("nodes", "edges", "calls", "definitions")
+from loomgraph.sources import fragment_store, graph_json
+from loomgraph.sources.fragment_store import RECORDS
 
 
 @dataclass
@@ -66,51 +64,15 @@ def extract_records(files: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _owner(df: DataFrame) -> DataFrame:
-    return df.withColumn("path", F.regexp_replace("fragment_key", "^manifest:", ""))
-
-
 def refresh_fragments(spark: SparkSession, files: DataFrame, store: str, update: bool) -> tuple[dict[str, DataFrame], int, int]:
-    """Extract what is new or changed, replay the rest, and store the result as the next version."""
-    hashed = files.select("path", "content", F.sha2("content", 256).alias("hash"))
-    current = hashed.select("path", "hash")
-    previous = latest_version(spark, store) if update else None
-    version = 0 if previous is None else previous + 1
-    target = f"{store}/v{version:06d}"
-    if previous is None:
-        records = extract_records(hashed.select("path", "content"))
-    else:
-        old = f"{store}/v{previous:06d}"
-        known = spark.read.parquet(f"{old}/files")
-        replay, fresh = incremental.split_cached(current, known)
-        replay = cut(replay)
-        records = extract_records(hashed.join(fresh.select("path"), "path", "left_semi").select("path", "content"))
-        for name in RECORDS:
-            kept = _owner(spark.read.parquet(f"{old}/{name}")).join(replay.select("path"), "path", "left_semi").drop("path")
-            records[name] = records[name].unionByName(kept)
-    for name in (*RECORDS, "errors"):
-        records[name].write.mode("overwrite").parquet(f"{target}/{name}")
-    failed = spark.read.parquet(f"{target}/errors").select("path")
-    current.join(failed, "path", "left_anti").write.mode("overwrite").parquet(f"{target}/files")
-    total = current.count()
-    cached = 0 if previous is None else replay.count()
-    stored = {name: spark.read.parquet(f"{target}/{name}") for name in RECORDS}
-    return stored, cached, total - cached
-
-
-def latest_version(spark: SparkSession, store: str) -> int | None:
-    """Newest complete fragment version; the file list is written last and marks it."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(store)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    done = [
-        int(s.getPath().getName()[1:])
-        for s in fs.listStatus(folder)
-        if s.getPath().getName().startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "files/_SUCCESS"))
-    ]
-    return max(done, default=None)
+    """(records, reused files, extracted files): extract what is new or changed and add it to the store.
+
+    A build from scratch reuses nothing and leaves no older version behind.
+    """
+    version, reused, extracted = fragment_store.refresh(spark, files, store, extract_records, update)
+    if not update:
+        fragment_store.expire(spark, store)
+    return fragment_store.read(spark, store, version), reused, extracted
 
 
 def stored_replies(spark: SparkSession, path: str) -> DataFrame | None:
@@ -157,19 +119,23 @@ def build(
         now = time.perf_counter()
         result.timings[stage], clock = round(now - clock, 2), now
 
-    found = cut(file_source.detect(spark, root, extra_excludes))
+    known = fragment_store.latest_files(spark, f"{out}/fragments") if update else None
+    found = cut(file_source.detect(spark, root, extra_excludes, known))
     health = classify.corpus_health(found).first().asDict()
     skipped = found.where(F.col("status") == "sensitive").count()
     mark("detect")
     readable = F.coalesce(F.col("file_type").isin("code", "document", "paper"), F.lit(False)) & (F.col("status") == "kept")
     manifest = (F.col("status") != "sensitive") & file_source.is_manifest("rel")
-    usable = found.where(readable | manifest).select("path", "content")
+    usable = found.where((readable | manifest) & F.col("hash").isNotNull())
     records, result.cached_files, result.extracted_files = refresh_fragments(spark, usable, f"{out}/fragments", update)
     mark("extract")
     nodes, edges, result.inferred_edges, result.merges = graph_from_records(records, directed)
     mark("build")
     if model is not None:
-        docs = found.where(F.col("file_type").isin("document", "paper")).select("path", "content")
+        # Replies are known by what was asked, so unchanged documents are read for them after all.
+        docs = found.where(F.col("file_type").isin("document", "paper"))
+        unread = file_source.read_contents(docs.where("content is null").drop("content"), root, F.lit(True))
+        docs = docs.where("content is not null").unionByName(unread).select("path", "content")
         known = stored_replies(spark, f"{out}/replies") if update else None
         replies = cut(semantic.ask_model(docs, model, known))
         replies.where("reply is not null").select("hash", "reply").write.mode("overwrite").parquet(f"{out}/replies")

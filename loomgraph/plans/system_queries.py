@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed
 from loomgraph.operators import analyze, incremental, ledger, semantic
+from loomgraph.plans.build import extract_records
 from loomgraph.plans.registry import query
 from loomgraph.session import cut, ensure_checkpoint_dir, spread
 from loomgraph.sources import files as file_source
-from loomgraph.sources import graph_json
+from loomgraph.sources import fragment_store, graph_json
 from loomgraph.sources.tables import STAR_SQL, document_files, document_files_sql, star_edges, star_nodes, table
 from loomgraph.streaming import events as event_log
 from loomgraph.streaming import incremental as stream_state
@@ -194,6 +195,36 @@ def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.change_summary(incremental.current_hashes(now, old, contents), old)
 
 
+_STORED_SQL = """SELECT version, source || '/' || doc_id || '.md' AS path,
+    sha256(CASE WHEN version = 1 AND doc_id % 10 = 3 THEN coalesce(text, '') || '!' ELSE coalesce(text, '') END) AS hash,
+    CASE WHEN version > 0 AND doc_id % 10 = 8 OR version = 1 AND doc_id % 10 = 3 THEN 1 ELSE 0 END AS delta, 1 AS anchors
+    FROM documents CROSS JOIN (VALUES (0), (1), (2)) v(version) WHERE NOT (version = 0 AND doc_id % 10 = 8 OR version = 1 AND doc_id % 10 = 9)"""
+
+
+@query("fragment_store_versions", _STORED_SQL)
+def fragment_store_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown files in three versions of a fragment store, each read back.
+
+    Version 1 adds, changes and removes a tenth each; version 2 takes the change back, so it needs no extraction.
+    """
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("turn", F.col("doc_id") % 10)
+    store = _stream_folder(spark)
+    path = F.concat("source", F.lit("/"), "doc_id", F.lit(".md"))
+    out = []
+    for version, (absent, changed) in enumerate([(8, -1), (9, 3), (-1, -1)]):
+        content = F.when(F.col("turn") == changed, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+        files = d.where(F.col("turn") != absent).select(
+            path.alias("path"), F.length("text").cast("long").alias("size"), F.lit(version).cast("long").alias("mtime_ns"), content.alias("content")
+        )
+        files = files.withColumn("hash", F.sha2("content", 256)).withColumn("file_type", F.lit("document")).withColumn("words", F.lit(0).cast("long"))
+        number, _, _ = fragment_store.refresh(spark, files, store, extract_records)
+        nodes = fragment_store.read(spark, store, number)["nodes"]
+        anchors = nodes.where(F.col("label") == F.element_at(F.split("source_file", "/"), -1)).groupBy("source_file").agg(F.count("*").alias("anchors"))
+        listed = fragment_store.file_list(spark, store, number).join(anchors.withColumnRenamed("source_file", "path"), "path", "left")
+        out.append(listed.select(F.lit(number).alias("version"), "path", "hash", "delta", "anchors"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 # --- streams ----------------------------------------------------------------------------
 
 

@@ -137,23 +137,33 @@ def is_manifest(rel: Column | str) -> Column:
     return F.lower(paths.basename(rel)).isin(fixed.MANIFEST_NAMES)
 
 
-def detect(spark: SparkSession, root: str, extra_excludes: list[str] | None = None) -> DataFrame:
-    """(path, rel, size, mtime_ns, status, file_type, content, words).
+def detect(spark: SparkSession, root: str, extra_excludes: list[str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """(path, rel, size, mtime_ns, status, file_type, content, words, hash).
 
     status is kept, sensitive or unclassified; contents are only read for
-    files that survive the checks on their name.
+    files that survive the checks on their name. A file whose size and time are those in
+    ``known`` (path, size, mtime_ns, hash, file_type, words, failed) is not opened: it
+    keeps what was known of it, and its content is null.
     """
     files = candidates(spark, root, extra_excludes)
     by_name = classify.classify("rel", F.lit(""))
     wanted = by_name.isin("code", "document", "paper") | is_manifest("rel")
-    joined = read_contents(files, root, ~F.col("sensitive") & wanted)
-    kind = F.when(~F.col("sensitive"), classify.classify("rel", "content"))
+    if known is None:
+        files = files.withColumn("_known", F.lit(None).cast("struct<hash:string,file_type:string,words:bigint>"))
+    else:
+        before = known.where("not failed").select("path", "size", "mtime_ns", F.struct("hash", "file_type", "words").alias("_known"))
+        files = files.join(before, ["path", "size", "mtime_ns"], "left")
+    old = F.col("_known").isNotNull()
+    joined = read_contents(files, root, ~F.col("sensitive") & wanted & ~old)
+    kind = F.when(~F.col("sensitive"), F.when(old, F.col("_known.file_type")).otherwise(classify.classify("rel", "content")))
     typed = joined.withColumn("file_type", kind)
+    words = F.when(F.col("file_type").isin("document", "paper"), text.word_count("content")).otherwise(F.lit(0).cast("long"))
     return typed.select(
         "path", "rel", "size", "mtime_ns",
         F.when(F.col("sensitive"), "sensitive").when(F.col("file_type").isNull(), "unclassified").otherwise("kept").alias("status"),
         "file_type", "content",
-        F.when(F.col("file_type").isin("document", "paper"), text.word_count("content")).otherwise(F.lit(0).cast("long")).alias("words"),
+        F.when(old, F.col("_known.words")).otherwise(words).alias("words"),
+        F.coalesce(F.col("_known.hash"), F.sha2("content", 256)).alias("hash"),
     )
 
 

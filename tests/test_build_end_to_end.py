@@ -1,5 +1,7 @@
 """A three-file corpus from folder to answers, with every number derived by hand."""
 
+import os
+
 import pytest
 
 from loomgraph.operators import analyze, traverse
@@ -100,6 +102,25 @@ def test_incremental(spark, corpus, built):
     assert (changed.cached_files, changed.extracted_files, changed.nodes) == (2, 1, 8)
 
 
+def test_unchanged_files_are_not_opened(spark, tmp_path):
+    root, out = tmp_path / "src", str(tmp_path / "g")
+    root.mkdir()
+    (root / "a.py").write_text("def one(): pass\n")
+    (root / "b.py").write_text("def two(): pass\n")
+    build(spark, str(root), out, update=True, write_report=False)
+    stat = (root / "a.py").stat()
+    (root / "a.py").write_text("def uno(): pass\n")
+    os.utime(root / "a.py", ns=(stat.st_atime_ns, stat.st_mtime_ns))  # nothing but its bytes tells
+    os.utime(root / "b.py", ns=(1, 1))  # read again, and found to be the same
+    again = build(spark, str(root), out, update=True, write_report=False)
+    assert (again.cached_files, again.extracted_files) == (2, 0)
+    labels = {r["label"] for r in StoredGraph.open(spark, out).nodes.collect()}
+    assert "one()" in labels and "uno()" not in labels
+    whole = build(spark, str(root), out, write_report=False)
+    assert (whole.cached_files, whole.extracted_files) == (0, 2)
+    assert "uno()" in {r["label"] for r in StoredGraph.open(spark, out).nodes.collect()}
+
+
 def test_semantic_pass(spark, corpus, tmp_path):
     reply = (
         '```json\n{"nodes": [{"id": "retry", "label": "Retry", "summary": "again"}, {"label": "Backoff"}],'

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators import incremental, ledger, semantic
 from loomgraph.schema import LEDGER
 from loomgraph.sources import files as file_source
-from loomgraph.sources import graph_json
+from loomgraph.sources import fragment_store, graph_json
 from loomgraph.streaming import events as event_log
 from loomgraph.streaming import incremental as stream_state
 from loomgraph.streaming import windows
@@ -52,11 +52,40 @@ def test_snapshot(spark):
     assert [r.path for r in replay.collect()] == ["a"] and {r.path for r in extract.collect()} == {"b", "c"}
 
 
-def test_fragment_store_is_append_only(spark, tmp_path):
-    df = spark.createDataFrame([("p", "ab12", "x")], "path string, hash string, body string")
-    incremental.append_fragments(df, str(tmp_path / "s"))
-    incremental.append_fragments(df.withColumn("hash", F.lit("cd34")), str(tmp_path / "s"))
-    assert {r.shard for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {"ab", "cd"}
+def _stored_files(spark, contents):
+    rows = [(path, len(text), 1, text) for path, text in contents.items()]
+    files = spark.createDataFrame(rows, "path string, size long, mtime_ns long, content string")
+    return files.withColumn("hash", F.sha2("content", 256)).withColumn("file_type", F.lit("code")).withColumn("words", F.lit(0).cast("long"))
+
+
+def test_fragment_store(spark, tmp_path):
+    store, asked = str(tmp_path / "store"), []
+
+    def extract(files):
+        asked.append({r.path for r in files.select("path").collect()})
+        own = files.select(F.col("path").alias("fragment_key"), "content")
+        return {**dict.fromkeys(fragment_store.RECORDS, own), "errors": files.where("content = 'bad'").select("path")}
+
+    def keep(version):
+        return {r.fragment_key: r.content for r in fragment_store.read(spark, store, version)["nodes"].collect()}
+
+    one, two = {"a": "1", "b": "bad", "c": "3"}, {"a": "2", "b": "bad", "d": "4"}
+    assert fragment_store.refresh(spark, _stored_files(spark, one), store, extract) == (0, 0, 3)
+    assert fragment_store.refresh(spark, _stored_files(spark, two), store, extract) == (1, 0, 3)
+    # an earlier content needs no extraction, a file that failed does
+    assert fragment_store.refresh(spark, _stored_files(spark, one), store, extract) == (2, 2, 1)
+    assert asked == [{"a", "b", "c"}, {"a", "b", "d"}, {"b"}]
+    assert [keep(v) for v in (0, 1, 2)] == [one, two, one]
+    # a run that was cut short leaves a delta and no version
+    spark.range(3).write.parquet(f"{store}/delta/nodes/delta=3")
+    assert fragment_store.versions(spark, store) == [0, 1, 2]
+    del one["b"]
+    assert fragment_store.refresh(spark, _stored_files(spark, one), store, extract) == (3, 2, 0) and keep(3) == one and len(asked) == 3
+    assert fragment_store.compact(spark, store) == 4 and keep(4) == one
+    fragment_store.expire(spark, store)
+    assert fragment_store.versions(spark, store) == [4] and keep(4) == one
+    assert sorted(p.name for p in (tmp_path / "store/delta/nodes").iterdir()) == ["delta=4"]
+    assert fragment_store.refresh(spark, _stored_files(spark, one).where("false"), store, extract) == (5, 0, 0) and keep(5) == {}
 
 
 def test_event_log(spark, tmp_path):
