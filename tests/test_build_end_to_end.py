@@ -5,8 +5,11 @@ import os
 import pytest
 
 from loomgraph.operators import analyze, traverse
-from loomgraph.plans.build import build
+from loomgraph.plans.build import build, refresh_fragments
 from loomgraph.plans.stored import StoredGraph
+from loomgraph.session import cut
+from loomgraph.sources import files as file_source
+from loomgraph.sources import fragment_store
 
 
 @pytest.fixture(scope="module")
@@ -103,22 +106,27 @@ def test_incremental(spark, corpus, built):
 
 
 def test_unchanged_files_are_not_opened(spark, tmp_path):
-    root, out = tmp_path / "src", str(tmp_path / "g")
+    root, store = tmp_path / "src", str(tmp_path / "fragments")
     root.mkdir()
     (root / "a.py").write_text("def one(): pass\n")
     (root / "b.py").write_text("def two(): pass\n")
-    build(spark, str(root), out, update=True, write_report=False)
+
+    def run(update):
+        known = fragment_store.latest_files(spark, store) if update else None
+        found = cut(file_source.detect(spark, str(root), known=known))
+        records, reused, extracted = refresh_fragments(spark, found, store, update)
+        opened = {r["rel"] for r in found.where("content is not null").collect()}
+        return opened, reused, extracted, {r["label"] for r in records["nodes"].collect()} & {"one()", "uno()", "two()"}
+
+    assert run(True) == ({"a.py", "b.py"}, 0, 2, {"one()", "two()"})
     stat = (root / "a.py").stat()
     (root / "a.py").write_text("def uno(): pass\n")
     os.utime(root / "a.py", ns=(stat.st_atime_ns, stat.st_mtime_ns))  # nothing but its bytes tells
     os.utime(root / "b.py", ns=(1, 1))  # read again, and found to be the same
-    again = build(spark, str(root), out, update=True, write_report=False)
-    assert (again.cached_files, again.extracted_files) == (2, 0)
-    labels = {r["label"] for r in StoredGraph.open(spark, out).nodes.collect()}
-    assert "one()" in labels and "uno()" not in labels
-    whole = build(spark, str(root), out, write_report=False)
-    assert (whole.cached_files, whole.extracted_files) == (0, 2)
-    assert "uno()" in {r["label"] for r in StoredGraph.open(spark, out).nodes.collect()}
+    assert run(True) == ({"b.py"}, 2, 0, {"one()", "two()"})
+    assert run(True) == (set(), 2, 0, {"one()", "two()"})
+    assert run(False) == ({"a.py", "b.py"}, 0, 2, {"uno()", "two()"})
+    assert fragment_store.versions(spark, store) == [3]
 
 
 def test_semantic_pass(spark, corpus, tmp_path):
