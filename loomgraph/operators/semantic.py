@@ -52,7 +52,9 @@ REPLY = T.StructType(
 
 def json_object(raw: Column) -> Column:
     """The JSON object in a reply: fences stripped, whole text first, else the outermost braces."""
-    body = F.regexp_replace(F.regexp_replace(F.btrim(raw), r"^```(?:json)?\s*", ""), r"\s*```$", "")
+    body = F.regexp_replace(F.btrim(raw), r"^```(?:json)?\s*", "")
+    # The pattern is tried at every white space of a reply, so only where a fence is at the end (a line break may follow).
+    body = F.when(F.contains(F.right(body, F.lit(5)), F.lit("```")), F.regexp_replace(body, r"\s*```$", "")).otherwise(body)
     outer = F.regexp_extract(body, r"(?s)\{.*\}", 0)
     whole_ok = F.try_parse_json(body).isNotNull()
     pick = F.when(whole_ok, body).otherwise(F.when(F.try_parse_json(F.nullif(outer, F.lit(""))).isNotNull(), outer))
@@ -114,6 +116,21 @@ def ask_model(files: DataFrame, model: Callable[[str], str] | None, cache: DataF
     return fresh if known is None else fresh.unionByName(known)
 
 
+def _parsed(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, part, error, ok, r) as a written table, and the (path, error) of bad replies."""
+    part = F.col("part") if "part" in replies.columns else F.lit(0)
+    found = replies.select("path", part.cast("long").alias("part"), "error", json_object(F.col("reply")).alias("json"))
+    # The lists are far smaller than their JSON text, which is neither written nor shuffled.
+    parsed = cut(found.select("path", "part", "error", F.col("json").isNotNull().alias("ok"), F.from_json("json", REPLY).alias("r")))
+    bad = parsed.where(~F.col("ok")).select("path", F.coalesce("error", F.lit("llm returned unparseable JSON")).alias("error"))
+    return parsed, bad
+
+
+def errors(replies: DataFrame) -> DataFrame:
+    """(path, error) of model replies that hold no JSON object."""
+    return _parsed(replies)[1]
+
+
 def fragments(replies: DataFrame) -> dict[str, DataFrame]:
     """nodes, edges, links, errors records of model replies ``(path, part, reply)``.
 
@@ -123,21 +140,21 @@ def fragments(replies: DataFrame) -> dict[str, DataFrame]:
     ``part`` are whole documents.
     Unnamed concepts, edges that leave the reply's concepts and self-edges are dropped.
     """
-    part = F.col("part") if "part" in replies.columns else F.lit(0)
-    parsed = cut(replies.select("path", part.cast("long").alias("part"), "error", json_object(F.col("reply")).alias("json")))
-    bad = parsed.where(F.col("json").isNull()).select(
-        "path", F.coalesce("error", F.lit("llm returned unparseable JSON")).alias("error")
-    )
-    r = parsed.where(F.col("json").isNotNull()).select("path", "part", "json", F.from_json("json", REPLY).alias("r"))
-    # Places count on from part to part; a document has few parts, and replies are short.
-    own_parts = Window.partitionBy("path")
-    earlier = own_parts.orderBy("part", "json").rowsBetween(Window.unboundedPreceding, -1)
+    parsed, bad = _parsed(replies)
+    r = parsed.where("ok").select("path", "part", "r")
     many = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
-    before = lambda c: F.coalesce(F.sum(many(c)).over(earlier), F.lit(0))
-    r = r.select(
-        "path", "r", before("r.nodes").alias("n0"), before("r.edges").alias("e0"), before("r.code_links").alias("l0"),
-        F.sum(many("r.edges")).over(own_parts).alias("n_edges"),
-    )
+    if r.groupBy("path").count().where("count > 1").isEmpty():
+        start = F.lit(0).cast("long")
+        r = r.select("path", "r", start.alias("n0"), start.alias("e0"), start.alias("l0"), many("r.edges").alias("n_edges"))
+    else:
+        # Places count on from part to part; a document has few parts, and replies are short.
+        own_parts = Window.partitionBy("path")
+        earlier = own_parts.orderBy("part", "r").rowsBetween(Window.unboundedPreceding, -1)
+        before = lambda c: F.coalesce(F.sum(many(c)).over(earlier), F.lit(0))
+        r = r.select(
+            "path", "r", before("r.nodes").alias("n0"), before("r.edges").alias("e0"), before("r.code_links").alias("l0"),
+            F.sum(many("r.edges")).over(own_parts).alias("n_edges"),
+        )
     none = F.lit(None).cast("string")
     own = [F.col("path").alias("source_file")]
     concepts = (

@@ -385,8 +385,7 @@ def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("lang") == "es", F.left(body, F.length(body) - 3))
         .otherwise(body)
     )
-    replies = ws.select(F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), reply.alias("reply"), F.lit(None).cast("string").alias("error"))
-    return cut(replies)  # replies are stored before they are parsed
+    return ws.select(F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), reply.alias("reply"), F.lit(None).cast("string").alias("error"))
 
 
 _REPLY_SQL = """w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]{4,}') AS w FROM documents),
@@ -428,7 +427,7 @@ def concept_code_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("reply_errors", "SELECT 'd' || doc_id || '.md' AS path, 'llm returned unparseable JSON' AS error FROM documents WHERE lang = 'es' AND len(regexp_extract_all(lower(text), '[a-z]{4,}')) >= 2")
 def reply_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return semantic.fragments(_replies(spark, sf_dir))["errors"]
+    return semantic.errors(_replies(spark, sf_dir))
 
 
 @query(

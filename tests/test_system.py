@@ -224,6 +224,25 @@ def test_parts_of_a_document_keep_their_order(spark):
         assert [r.error for r in got["errors"]] == ["llm: down"]
 
 
+def test_replies_are_written_as_lists_alone(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(semantic, "cut", lambda df: (written.append(df), df)[1])
+    asked = spark.createDataFrame([("a.md", '{"nodes": [{"id": "x", "label": "X"}]}', None), ("b.md", "no", None)], "path string, reply string, error string")
+    assert [r.path for r in semantic.errors(asked).collect()] == ["b.md"]
+    assert len(written) == 1  # errors need no concepts
+    nodes = semantic.fragments(asked)["nodes"]
+    assert sorted(r.label for r in nodes.collect()) == ["X", "a.md"]
+    assert not any({"json", "reply"} & set(df.columns) for df in written)
+    assert "Window" not in nodes._jdf.queryExecution().toString()  # one reply a document needs no places from others
+
+
+def test_fences_at_the_end_of_replies(spark):
+    bodies = ['```json\n{"a": 1}\n```', '{"a": 1} \n ```\r\n', '{"a": 1}```', '{"a": "```"}', 'see {"a": 1} ``` there']
+    got = spark.createDataFrame(list(enumerate(bodies)), "i int, raw string").select("i", semantic.json_object(F.col("raw")).alias("j"))
+    shown = {r.i: json.loads(r.j) for r in got.collect()}
+    assert shown == {0: {"a": 1}, 1: {"a": 1}, 2: {"a": 1}, 3: {"a": "```"}, 4: {"a": 1}}
+
+
 def test_graph_json_round_trip(spark, tmp_path):
     doc = {"directed": False, "nodes": [{"id": "a", "label": "A", "file_type": "code", "source_file": "a.py"}, {"id": "b", "label": "B"}], "links": [{"source": "a", "target": "b", "relation": "calls"}]}
     (tmp_path / "g.json").write_text(json.dumps(doc))
