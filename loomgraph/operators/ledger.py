@@ -21,6 +21,16 @@ def price_list(overrides_json: str | None = None) -> list[tuple[str, float, floa
     return [(k, p, c) for k, (p, c) in {**table, **extra}.items()]
 
 
+def _millionths(dollars: Column) -> Column:
+    """``dollars`` rounded half to even at six places, by the digits of its value.
+
+    ``bround`` of a double rounds its shortest notation, so a value that lies just beside a
+    half counts as one. Twenty places of it as a decimal say on which side it lies.
+    """
+    digits = F.bround((dollars * 1e20).cast("decimal(38,0)"), -14)
+    return (digits / F.lit(10**14).cast("decimal(15,0)")).cast("long") / 1e6
+
+
 def estimate_cost(model: Column, prompt: Column, completion: Column, prices: list[tuple[str, float, float]] | None = None) -> Column:
     """Dollar estimate; the first price prefix that fits the model decides.
 
@@ -29,7 +39,7 @@ def estimate_cost(model: Column, prompt: Column, completion: Column, prices: lis
     """
     cost = None
     for prefix, per_prompt, per_completion in prices or fixed.PRICES:
-        value = F.bround(prompt / 1e6 * per_prompt + completion / 1e6 * per_completion, 6)
+        value = _millionths(prompt / 1e6 * per_prompt + completion / 1e6 * per_completion)
         fits = model.startswith(prefix)
         cost = F.when(fits, value) if cost is None else cost.when(fits, value)
     return cost.otherwise(0.0) if cost is not None else F.lit(0.0)

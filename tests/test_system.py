@@ -40,6 +40,12 @@ def test_roll_up_and_supersede(spark):
     assert [r["seq"] for r in zeroed.where("superseded").collect()] == [0]
 
 
+def test_costs_beside_a_half_are_rounded_by_value(spark):
+    rows = [("gpt-4o", 367, 146), ("gpt-4o-mini-2024", 182, 72), ("gpt-4o", 1, 0), ("gpt-4o", 3, 0), ("local", 9, 9), ("gpt-4o", None, 1)]
+    calls = spark.createDataFrame(rows, "model string, prompt_tokens long, completion_tokens long")
+    assert [r.cost_usd for r in ledger.price(calls).collect()] == [0.002377, 0.000071, 0.000002, 0.000008, 0.0, None]
+
+
 def test_snapshot(spark):
     now = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 9)], "path string, size long, mtime_ns long")
     index = spark.createDataFrame([("a", 1, 1, "known"), ("c", 3, 3, "old")], "path string, size long, mtime_ns long, hash string")
