@@ -452,3 +452,22 @@ def test_manifests(spark):
         ("pyproject_toml", "defines_package", "pkg_lib"), ("pkg_lib", "depends_on", "pkg_numpy"), ("pkg_lib", "depends_on", "pkg_rich"),
         ("go_mod", "defines_package", "pkg_ex_com_m"), ("pkg_ex_com_m", "depends_on", "pkg_github_com_a_b"),
     }
+
+
+def test_aggregates_that_hardly_shrink_are_dealt_by_rows(spark):
+    from loomgraph.session import TASK_ROWS, dealt
+
+    rows = spark.range(100).withColumn("k", F.col("id") % 7)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt(rows, partitions * TASK_ROWS, "k") is rows
+    assert dealt(rows, 20 * TASK_ROWS + 1, "k").rdd.getNumPartitions() == 21
+
+
+def test_ids_of_star_nodes_are_joined_and_not_normalised(spark):
+    from loomgraph.functions import ids
+    from loomgraph.sources import tables
+
+    edges = tables.star_edges(spark, "/root/testdata/sf0.001")
+    assert "regexp_replace" not in edges.select("source", "target")._jdf.queryExecution().optimizedPlan().toString()
+    keys = spark.range(1200)
+    assert keys.where(tables._id("part", "id") != ids.make_id(F.lit("part"), F.col("id"), plain=True)).count() == 0
