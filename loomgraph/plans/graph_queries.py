@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import fixed
 from loomgraph.operators import analyze, assemble, community, leiden, traverse
 from loomgraph.plans.registry import query
+from loomgraph.session import cut
 from loomgraph.sources.tables import (
     STAR_SQL,
     TRADE_SQL,
@@ -354,7 +355,7 @@ def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT u, arg_min(c, (-gain, c)) AS best, max(gain) > max(CASE WHEN c = u THEN gain END) + 1e-12 AS better FROM gains GROUP BY u""",
 )
 def modularity_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    adjacency = leiden.weighted_adjacency(trade_edges(spark, sf_dir))
+    adjacency = cut(leiden.weighted_adjacency(trade_edges(spark, sf_dir)))
     state = adjacency.groupBy("u").agg(F.sum("w").alias("k")).select("u", F.col("u").alias("c"), "k")
     total = adjacency.agg(F.sum("w")).first()[0]
     return leiden.best_moves(leiden.candidate_gains(adjacency, state, total, 1.0)).select("u", "best", "better")
