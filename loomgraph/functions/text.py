@@ -56,7 +56,7 @@ def query_norm(label: Column | str, plain: bool = False) -> Column:
 
 def strip_call(col: Column) -> Column:
     """Drop one trailing ``()``."""
-    return F.regexp_replace(col, r"\(\)$", "")
+    return F.when(F.contains(col, F.lit("()")), F.regexp_replace(col, r"\(\)$", "")).otherwise(col)
 
 
 def bare(label: Column | str, plain: bool = False) -> Column:
@@ -65,7 +65,9 @@ def bare(label: Column | str, plain: bool = False) -> Column:
 
 def callable_key(label: Column | str) -> Column:
     """Key on which a call site meets a definition: ``  .Foo()`` -> ``foo``."""
-    col = F.regexp_replace(as_col(label), rf"(?U)^{_SPACE}+|{_SPACE}+$", "")
+    col = as_col(label)
+    visible = F.left(col, F.lit(1)).between("!", "~") & F.right(col, F.lit(1)).between("!", "~")  # nothing to strip
+    col = F.when(visible, col).otherwise(F.regexp_replace(col, rf"(?U)^{_SPACE}+|{_SPACE}+$", ""))
     return F.lower(F.ltrim(F.btrim(col, F.lit("()")), F.lit(".")))
 
 

@@ -126,3 +126,14 @@ def test_urls_that_cannot_be_read_are_invalid(spark):
     df = spark.createDataFrame([(u,) for u, _, _ in cases], "url string")
     got = df.select("url", urls.valid_url(F.col("url")).alias("valid"), urls.url_host(F.col("url")).alias("host")).collect()
     assert [tuple(r) for r in got] == cases
+
+
+def test_short_cuts_of_keys_change_nothing(spark):
+    words = [" x ", ".Foo()", "a b\t", "\u00a0Foo()", "Foo()\n", "()", "", "f()()", "\u3000x", "~", "a(b)", "\x1fy", None]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select(
+        text.callable_key("w").alias("key"),
+        F.lower(F.ltrim(F.btrim(F.regexp_replace("w", rf"(?U)^{text._SPACE}+|{text._SPACE}+$", ""), F.lit("()")), F.lit("."))).alias("plain_key"),
+        text.strip_call(F.col("w")).alias("bare"),
+        F.regexp_replace("w", r"\(\)$", "").alias("plain_bare"),
+    )
+    assert all(r.key == r.plain_key and r.bare == r.plain_bare for r in rows.collect())
