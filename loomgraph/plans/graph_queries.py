@@ -401,7 +401,8 @@ p{k} AS (SELECT * FROM p{k - 1} UNION ALL SELECT f{k}.id, coalesce(c, f{k}.id) F
 def hubs_reattached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best-connected percent of nodes voted back into the given communities, in id order."""
     nodes, edges = star_nodes(spark, sf_dir), star_edges(spark, sf_dir)
-    hubs = community.hubs_above(community.node_degrees(nodes, edges), 99.0).select("id")
+    edges = cut(edges.select("source", "target"))
+    hubs = cut(community.hubs_above(cut(community.node_degrees(nodes, edges)), 99.0).select("id"))
     given = star_membership(spark, sf_dir).select("id", F.col("cid").cast("string").alias("community"))
     placed = community.reattach_hubs(hubs, edges, given.join(hubs, "id", "left_anti"))
     return placed.join(hubs, "id", "left_semi")

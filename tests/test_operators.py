@@ -471,3 +471,16 @@ def test_ids_of_star_nodes_are_joined_and_not_normalised(spark):
     assert "regexp_replace" not in edges.select("source", "target")._jdf.queryExecution().optimizedPlan().toString()
     keys = spark.range(1200)
     assert keys.where(tables._id("part", "id") != ids.make_id(F.lit("part"), F.col("id"), plain=True)).count() == 0
+
+
+def test_queries_write_what_they_use_more_than_once(spark, monkeypatch):
+    from loomgraph.plans import graph_queries
+    from loomgraph.session import cut
+
+    written = []
+    monkeypatch.setattr(graph_queries, "cut", lambda df: (written.append(set(df.columns)), cut(df))[1], raising=False)
+    graph_queries.modularity_moves(spark, "/root/testdata/sf0.001")
+    assert written == [{"u", "v", "w"}]
+    written.clear()
+    graph_queries.hubs_reattached(spark, "/root/testdata/sf0.001")
+    assert {"source", "target"} in written and {"id"} in written
