@@ -5,8 +5,10 @@ no step lists all pairs of a group:
 
 1. equal normal forms meet in one aggregation and stand for a single label;
 2. labels that agree but for their last characters are tied to one
-   representative per prefix, which collapses runs such as numbered names;
-3. what is left is compared block by block, only across components. Blocks are
+   representative per prefix, which collapses runs such as numbered names; what was
+   tied is tied again by its representative and a longer tail, as long as that finds links;
+3. what is left is compared block by block, only across components. Members of a
+   block's largest component meet the others but not each other. Blocks are
    cut into chunks of bounded size, one task per pair of chunks, and a task
    returns a spanning forest of what it found rather than the pairs.
 """
@@ -26,7 +28,7 @@ from loomgraph.session import cut
 
 SMALL_BLOCK = 32  # blocks up to this size are joined with themselves
 CHUNK = 800  # larger blocks are compared in chunk pairs of this size
-_TAILS = (1, 2, 3)
+TAIL = 3  # last characters that one round of ties lets differ
 
 
 def label_forms(nodes: DataFrame, plain: bool = False) -> DataFrame:
@@ -50,11 +52,11 @@ def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.where(plausible).where(jaro_winkler("na", "nb") >= threshold).select("a", "b")
 
 
-def _tail_links(forms: DataFrame, threshold: float) -> DataFrame:
+def _tail_links(forms: DataFrame, threshold: float, tails: range) -> DataFrame:
     """Tie each label to one representative of the labels sharing all but its tail."""
     size = F.length("norm")
     keys = F.array(
-        *[F.when(size - t >= fixed.MERGE_BLOCK_CHARS, F.concat(F.lit(f"{t}:"), F.left("norm", size - t))) for t in _TAILS]
+        *[F.when(size - t >= fixed.MERGE_BLOCK_CHARS, F.concat(F.lit(f"{t}:"), F.left("norm", size - t))) for t in tails]
     )
     keyed = forms.select("norm", "rep", "open", F.explode(F.array_compact(keys)).alias("tail_key"))
     heads = keyed.groupBy("tail_key").agg(F.min(F.struct(~F.col("open"), F.col("norm"), F.col("rep"))).alias("h"))
@@ -68,14 +70,45 @@ def _tail_links(forms: DataFrame, threshold: float) -> DataFrame:
     return _verified(pairs, threshold)
 
 
+def _placed(forms: DataFrame, links: DataFrame) -> DataFrame:
+    """Forms with their component by the links found so far."""
+    comps = connected_components(links).withColumnRenamed("id", "rep")
+    return forms.join(comps, "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+
+
+def _ties(forms: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, forms with their component): ties over longer and longer tails.
+
+    After the first round only the least label of each component goes on, so every
+    round reads what the one before it left over, and a long run of numbered names
+    becomes one component without meeting itself.
+    """
+    links = cut(_tail_links(forms, threshold, range(1, 1 + TAIL)))
+    placed = cut(_placed(forms, links))
+    at = 1 + TAIL
+    while True:
+        least = placed.groupBy("comp").agg(F.min(F.struct((~F.col("open")).alias("closed"), "norm", "rep")).alias("m"))
+        heads = least.select("m.norm", "m.rep", (~F.col("m.closed")).alias("open"))
+        more = cut(_tail_links(heads, threshold, range(at, at + TAIL)))
+        if more.isEmpty():
+            return links, placed
+        links = links.unionByName(more)
+        placed = cut(_placed(forms, links))
+        at += TAIL
+
+
 def _blocks(forms: DataFrame) -> DataFrame:
+    """Members of the blocks that still span components; ``main`` ones are of the block's largest."""
     n = fixed.MERGE_BLOCK_CHARS
     keys = F.array_distinct(F.array(F.left("norm", F.lit(n)), F.right("norm", F.lit(n))))
     rows = forms.select("norm", "rep", "open", "comp", F.explode(keys).alias("block"))
-    stats = rows.groupBy("block").agg(
-        F.count("*").alias("n"), (F.min("comp") != F.max("comp")).alias("split"), F.max("open").alias("any_open")
-    )
-    return rows.join(stats.where(F.col("split") & F.col("any_open")).select("block", "n"), "block")
+    sizes = rows.groupBy("block", "comp").agg(F.count("*").alias("n"), F.max("open").alias("open"))
+    stats = sizes.groupBy("block").agg(
+        F.sum("n").alias("n"), F.max("n").alias("n_main"), F.max_by("comp", F.struct("n", "comp")).alias("largest"),
+        F.count("*").alias("comps"), F.max("open").alias("any_open"),
+    )
+    stats = stats.where((F.col("comps") > 1) & F.col("any_open")).drop("comps", "any_open")
+    return rows.join(stats, "block").withColumn("main", F.col("comp") == F.col("largest")).drop("largest")
 
 
 def _small_block_links(blocks: DataFrame, threshold: float) -> DataFrame:
@@ -90,9 +123,11 @@ def forest_of_chunk(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Spanning links between components inside one pair of chunks.
 
     A candidate has to pass two exact upper bounds (length ratio and shared
-    characters) before it is scored.
+    characters) before it is scored. Members of the block's largest component come
+    last and look for nobody: all others look at them.
     """
-    pdf = pdf.sort_values("norm", kind="stable").reset_index(drop=True)
+    pdf = pdf.sort_values(["main", "norm"], kind="stable").reset_index(drop=True)
+    seeking = int((~pdf["main"].to_numpy(bool)).sum())
     norms, reps = pdf["norm"].tolist(), pdf["rep"].tolist()
     comp = pd.factorize(pdf["comp"])[0]
     is_open, side = pdf["open"].to_numpy(bool), pdf["side"].to_numpy()
@@ -105,7 +140,7 @@ def forest_of_chunk(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     jaro_floor = (threshold - 0.4) / 0.6
     crossing = side.min() != side.max()
     links = []
-    for i in range(len(norms) - 1):
+    for i in range(min(seeking, len(norms) - 1)):
         rest = slice(i + 1, None)
         mask = (comp[rest] != comp[i]) & (is_open[rest] | is_open[i])
         if crossing:
@@ -123,10 +158,18 @@ def forest_of_chunk(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def _large_block_links(blocks: DataFrame, threshold: float) -> DataFrame:
-    large = blocks.where(F.col("n") > SMALL_BLOCK).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    large = large.withColumn("side", F.pmod(F.xxhash64("norm"), F.col("chunks")).cast("int"))
-    spread = large.withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "block", F.least("side", "peer").alias("i"), F.greatest("side", "peer").alias("j"), "side", "norm", "rep", "open", "comp"
+    """Chunks of the members outside the largest component meet each other and the chunks of that component."""
+    large = blocks.where(F.col("n") > SMALL_BLOCK)
+    whole = F.col("n") <= CHUNK
+    outer = F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("n_main")) / CHUNK)).cast("int")
+    inner = F.when(whole, 0).otherwise(F.ceil(F.col("n_main") / CHUNK)).cast("int")
+    large = large.withColumns({"outer": outer, "inner": inner})
+    own = F.col("main") & ~whole
+    among = F.pmod(F.xxhash64("norm"), F.when(own, F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    large = large.withColumn("side", F.when(own, F.col("outer")).otherwise(0) + among)
+    last = F.when(own, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    spread = large.withColumn("peer", F.explode(F.sequence(F.lit(0), last))).select(
+        "block", F.least("side", "peer").alias("i"), F.greatest("side", "peer").alias("j"), "side", "norm", "rep", "open", "comp", "main"
     )
     return spread.groupBy("block", "i", "j").applyInPandas(
         lambda pdf: forest_of_chunk(pdf, threshold), "a string, b string"
@@ -144,13 +187,10 @@ def merge_map(
     """
     labelled = nodes.where(F.col("label") != "")
     forms = cut(label_forms(labelled, plain))
-    near = cut(_tail_links(forms, threshold))
-    comps = connected_components(near)
-    placed = forms.join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("comp", F.coalesce("root", "rep")).drop("root")
+    near, placed = _ties(forms, threshold)
     blocks = cut(_blocks(placed))
     across = _small_block_links(blocks, threshold).unionByName(_large_block_links(blocks, threshold))
-    final = connected_components(near.unionByName(across))
-    roots = forms.join(final.withColumnRenamed("id", "rep"), "rep", "left").select("norm", F.coalesce("root", "rep").alias("root"))
+    roots = _placed(forms, near.unionByName(across)).select("norm", F.col("comp").alias("root"))
     members = labelled.select("id", "ord", text.merge_norm("label", plain).alias("norm")).join(roots, "norm").drop("norm")
     keepers = members.groupBy("root").agg(F.min_by("id", "ord").alias("keep"), F.count("*").alias("n"))
     keepers = keepers.where(F.col("n") >= 2)

@@ -154,6 +154,27 @@ def test_merge_map_equals_brute_force(spark, monkeypatch, chunk, small):
     assert {r.id: r.keep for r in merges.collect()} == brute_groups(rows)
 
 
+def test_numbered_names_are_one_component_before_blocks_are_compared(spark):
+    rows = [(f"n{i}", f"Customer#{i:09d}", "document", "c") for i in range(0, 120_000, 40)] + [(f"s{i}", f"Supplier#{i:09d}", "code", "s") for i in range(40, 120_000, 4000)]
+    forms = dedupe.label_forms(nodes_of(spark, rows), plain=True)
+    links, placed = dedupe._ties(forms, 0.92)
+    assert placed.where("norm like 'customer%'").select("comp").distinct().count() == 1
+    blocks = dedupe._blocks(placed)
+    assert not blocks.where("block = 'cust'").count()
+
+
+@pytest.mark.parametrize("chunk", [4, 100])
+def test_members_of_the_largest_component_only_meet_the_others(spark, monkeypatch, chunk):
+    monkeypatch.setattr(dedupe, "CHUNK", chunk)
+    monkeypatch.setattr(dedupe, "SMALL_BLOCK", 2)
+    main = [(f"data{c}", f"m{i}", True, "m") for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    lone = [("datayyz", "x1", True, "x1"), ("dataqqqq", "x2", True, "x2"), ("dataqqqr", "x3", True, "x3")]
+    placed = spark.createDataFrame(main + lone, "norm string, rep string, open boolean, comp string")
+    found = {frozenset((r.a, r.b)) for r in dedupe._large_block_links(dedupe._blocks(placed), 0.92).collect()}
+    assert frozenset(("x2", "x3")) in found and any("x1" in pair for pair in found)
+    assert not any(all(x.startswith("m") for x in pair) for pair in found)
+
+
 def test_rewire(spark):
     rows = [("d1", "AuthService", "code", "a.py"), ("c1", "auth service", "concept", "x.md"), ("c2", "Auth Service", "concept", "y.md"), ("other", "Database", "code", "b.py")]
     nodes = nodes_of(spark, rows)
