@@ -2,39 +2,37 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomgraph.functions import fixed, ids, paths, text
+from loomgraph.functions.slices import in_slices
 from loomgraph.functions.source_facts import source_facts
 from loomgraph.session import cut, spread
 
 DEFINING = ["class", "function", "struct", "enum", "trait", "impl", "type"]
 
-_FACT = T.StructType(
-    [
-        T.StructField("line", T.LongType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("name", T.StringType()),
-        T.StructField("owner", T.StringType()),
-    ]
+_FACT = pa.struct([("line", pa.int64()), ("kind", pa.string()), ("name", pa.string()), ("owner", pa.string())])
+_SCANNED = pa.schema([("path", pa.string()), ("language", pa.string()), ("file_id", pa.string()), ("facts", pa.list_(_FACT)), ("error", pa.string())])
+_SCANNED_DDL = (
+    "path string, language string, file_id string, facts array<struct<line: bigint, kind: string, name: string, owner: string>>, error string"
 )
 
 
-@F.pandas_udf(T.StructType([T.StructField("facts", T.ArrayType(_FACT)), T.StructField("error", T.StringType())]))
-def _scan(source: pd.Series, language: pd.Series) -> pd.DataFrame:
-    facts, errors = [], []
-    for body, grammar in zip(source, language):
-        rows, error = [], None
-        try:
-            rows = [dict(zip(("line", "kind", "name", "owner"), f)) for f in source_facts(body, grammar)]
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-            error = f"{type(e).__name__}: {e}"
-        facts.append(rows)
-        errors.append(error)
-    return pd.DataFrame({"facts": facts, "error": errors})
+def _facts_of_file(row: dict) -> dict:
+    facts, error = [], None
+    try:
+        facts = [dict(zip(("line", "kind", "name", "owner"), f)) for f in source_facts(row["content"], row["language"])]
+    except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+        error = f"{type(e).__name__}: {e}"
+    return {"path": row["path"], "language": row["language"], "file_id": row["file_id"], "facts": facts, "error": error}
+
+
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return in_slices(batches, _facts_of_file, "facts", _SCANNED)
 
 
 def language_of(path: Column | str) -> Column:
@@ -42,11 +40,15 @@ def language_of(path: Column | str) -> Column:
     return F.try_element_at(table, F.lower(paths.suffix(path)))
 
 
+def known_files(files: DataFrame) -> DataFrame:
+    """Files with a known grammar; others have no structure."""
+    known = files.withColumn("language", language_of("path")).where(F.col("language").isNotNull())
+    return known.select("path", "language", ids.code_file_id("path").alias("file_id"), "content")
+
+
 def scan(files: DataFrame) -> DataFrame:
-    """(path, language, facts, error) of every file with a known grammar; others have no structure."""
-    known = spread(files.withColumn("language", language_of("path")).where(F.col("language").isNotNull()))
-    scanned = known.select("path", "language", ids.code_file_id("path").alias("file_id"), _scan("content", "language").alias("s"))
-    return scanned.select("path", "language", "file_id", "s.facts", "s.error")
+    """(path, language, file_id, facts, error) of every file with a known grammar."""
+    return spread(known_files(files)).mapInArrow(_scan, _SCANNED_DDL)
 
 
 def _bare_name(name: Column) -> Column:
@@ -84,7 +86,7 @@ def edge_records(facts: DataFrame) -> DataFrame:
     return rows
 
 
-def node_records(scanned: DataFrame, facts: DataFrame) -> DataFrame:
+def node_records(files: DataFrame, facts: DataFrame) -> DataFrame:
     """File anchors, definitions, modules, and stubs for everything else an edge touches.
 
     Within a file the first definition of an id outranks a module, and both
@@ -117,7 +119,7 @@ def node_records(scanned: DataFrame, facts: DataFrame) -> DataFrame:
         .groupBy("path", "id")
         .agg(F.min_by(F.struct("label", "location", "kind"), F.struct("rank", "at")).alias("b"), F.min("at").alias("at"))
     )
-    anchors = scanned.select(
+    anchors = files.select(
         F.col("file_id").alias("id"),
         text.sanitize_label(paths.basename("path")).alias("label"),
         F.lit("L1").alias("source_location"),
@@ -175,7 +177,7 @@ def extract_code(files: DataFrame, stored: bool = False) -> dict[str, DataFrame]
     scanned = cut(scan(files)) if stored else scan(files)
     facts = facts_of(scanned)
     return {
-        "nodes": node_records(scanned, facts),
+        "nodes": node_records(scanned if stored else known_files(files), facts),
         "edges": edge_records(facts),
         "calls": call_records(facts),
         "definitions": definition_records(facts),

@@ -137,3 +137,21 @@ def test_short_cuts_of_keys_change_nothing(spark):
         F.regexp_replace("w", r"\(\)$", "").alias("plain_bare"),
     )
     assert all(r.key == r.plain_key and r.bare == r.plain_bare for r in rows.collect())
+
+
+def test_results_are_handed_on_before_a_batch_is_through():
+    import pyarrow as pa
+
+    from loomgraph.functions import slices
+    from loomgraph.operators import extract_code, extract_manifest
+
+    body = "\n".join(f"import m_{i}" for i in range(3000))
+    files = pa.RecordBatch.from_pylist([{"path": f"f{i}.py", "language": "python", "file_id": f"f{i}", "content": body} for i in range(40)])
+    out = list(extract_code._scan(iter([files])))
+    assert [p for b in out for p in b["path"].to_pylist()] == [f"f{i}.py" for i in range(40)]
+    assert all(len(x) == 3000 for b in out for x in b["facts"].to_pylist())
+    assert max(sum(len(x) + 1 for x in b["facts"].to_pylist()) for b in out) < slices.HELD + 3001
+    listed = '[project]\nname = "p"\ndependencies = [' + ", ".join(f'"d{i}>=1"' for i in range(9000)) + "]\n"
+    rows = pa.RecordBatch.from_pylist([{"path": f"{i}/pyproject.toml", "content": listed} for i in range(7)] + [{"path": "none", "content": None}])
+    out = list(extract_manifest._pyprojects(iter([rows])))
+    assert [b.num_rows for b in out] == [3, 3, 2] and out[-1].to_pylist()[-1] == {"path": "none", "package": None, "deps": []}
