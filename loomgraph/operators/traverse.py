@@ -159,7 +159,8 @@ def query(nodes: DataFrame, edges: DataFrame, question: str, budget: int = fixed
 
 def neighbours_of(nodes: DataFrame, edges: DataFrame, node_id: str | Column, relation: str | None = None, directed: bool = False) -> DataFrame:
     """(node, label, file_type, source_file, direction, relation, confidence) around one node."""
-    rows = incident(edges, directed).where(F.col("id") == node_id)
+    around = edges.where((F.col("source") == node_id) | (F.col("target") == node_id))
+    rows = incident(around, directed).where(F.col("id") == node_id)
     if relation:
         rows = rows.where(F.col("relation") == relation)
     info = nodes.select(F.col("id").alias("other"), "label", "file_type", F.col("source_file").alias("node_file"), "ord")
@@ -183,8 +184,9 @@ def neighbors(nodes: DataFrame, edges: DataFrame, name: str, relation: str | Non
 
 def connections(nodes: DataFrame, edges: DataFrame, node_id: str, limit: int = 30) -> DataFrame:
     """Neighbours by their own degree, strongest first."""
-    near = neighbours_of(nodes, edges, F.lit(node_id))
-    weight = degrees(edges).withColumnRenamed("id", "node")
+    near = cut(neighbours_of(nodes, edges, F.lit(node_id)))
+    ids = hint_if_small(near.select(F.col("node").alias("id")).distinct(), near.count())
+    weight = degrees(edges, ids).withColumnRenamed("id", "node")
     return near.join(weight, "node").orderBy(F.desc("degree"), "ord", "node").limit(limit).drop("ord")
 
 
@@ -219,14 +221,15 @@ def reach(nodes: DataFrame, edges: DataFrame, start: str, max_depth: int = 4, re
     earliest parent in node order. Each level is materialised once; a level's
     rows only meet the edges of its own frontier.
     """
-    walk = incident(edges, directed).select("id", "other", "relation")
+    walk = edges.select("source", "target", "relation")
     if relations is not None:
         walk = walk.where(F.col("relation").isin(relations))
     first = nodes.where(F.col("id") == start).select("id", "ord", F.lit(0).alias("depth"), F.lit("root").alias("via"))
     seen = frontier = cut(first)
     size = 1
     order = nodes.select("id", "ord")
-    with reused(walk) as steps:
+    with reused(walk) as kept:  # each edge once; both its ends as it is read
+        steps = incident(kept, directed).select("id", "other", "relation")
         for depth in range(1, max_depth + 1):
             step = (
                 steps.join(hint_if_small(frontier.select("id", F.col("ord").alias("from_ord")), size), "id")
@@ -264,9 +267,9 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int = 6) ->
     """
     if start == goal:
         return [start]
-    walk = incident(edges).select("id", "other").where(F.col("id") != F.col("other"))
-    with reused(walk) as steps:
-        return _meet(steps, start, goal, max_hops)
+    walk = edges.select("source", "target").where(F.col("source") != F.col("target"))
+    with reused(walk) as kept:
+        return _meet(incident(kept).select("id", "other"), start, goal, max_hops)
 
 
 def _meet(walk: DataFrame, start: str, goal: str, max_hops: int) -> list[str] | None:

@@ -175,6 +175,24 @@ def test_members_of_the_largest_component_only_meet_the_others(spark, monkeypatc
     assert not any(all(x.startswith("m") for x in pair) for pair in found)
 
 
+def test_degrees_are_counted_for_the_asked_nodes_alone(spark):
+    edges = edges_of(spark, [("a", "b"), ("b", "b"), ("b", "c"), ("c", "d")])
+    asked = spark.createDataFrame([("b",), ("d",), ("x",)], "id string")
+    assert {(r.id, r.degree) for r in assemble.degrees(edges, asked).collect()} == {("b", 4), ("d", 1)}
+
+
+def test_walks_keep_each_edge_once(spark, monkeypatch):
+    nodes = nodes_of(spark, [(x, x, "code", "f") for x in "abcde"])
+    edges = edges_of(spark, [("a", "b"), ("b", "b"), ("c", "b"), ("c", "d"), ("e", "d", "depends_on")])
+    kept, plain = [], traverse.reused
+    monkeypatch.setattr(traverse, "reused", lambda df: kept.append(df.count()) or plain(df))
+    assert {(r.id, r.depth, r.via) for r in traverse.reach(nodes, edges, "a", 3, ["calls"]).collect()} == {
+        ("a", 0, "root"), ("b", 1, "calls"), ("c", 2, "calls"), ("d", 3, "calls"),
+    }
+    assert traverse.shortest_path(edges, "a", "e") == ["a", "b", "c", "d", "e"]
+    assert kept == [4, 4]
+
+
 def test_rewire(spark):
     rows = [("d1", "AuthService", "code", "a.py"), ("c1", "auth service", "concept", "x.md"), ("c2", "Auth Service", "concept", "y.md"), ("other", "Database", "code", "b.py")]
     nodes = nodes_of(spark, rows)
