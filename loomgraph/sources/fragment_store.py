@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.session import cut_with
+from loomgraph.session import cut, cut_with
 
 RECORDS = ("nodes", "edges", "calls", "definitions")
 
@@ -26,6 +26,9 @@ FILES = "path string, size long, mtime_ns long, hash string, file_type string, w
 #: A version whose fragments lie in more deltas than this is written together.
 MOST_DELTAS = 32
 
+#: Most 64-bit hashes of paths that go to every task.
+MOST_HASHES = 1_000_000
+
 
 def _folders(spark: SparkSession, parent: str, prefix: str, mark: str = "_SUCCESS") -> list[int]:
     """Numbers of the folders ``<prefix>N`` below ``parent`` whose write was finished."""
@@ -84,7 +87,9 @@ def refresh(
     total, reused = seen["total"], seen["reused"]
     failed = None
     if reused < total or not total:
-        fresh = files.select("path", "content").join(placed.where("delta is null").select("path"), "path", "left_semi")
+        fresh = files.select("path", "content")
+        if reused:
+            fresh = _of_paths(fresh, placed.where("delta is null").select("path"), total - reused)
         records = extract(fresh)
         for name in (*RECORDS, "errors"):
             _owned(records[name]).write.mode("overwrite").parquet(f"{store}/delta/{name}/delta={version}")
@@ -97,6 +102,18 @@ def refresh(
     return version, reused, total - reused
 
 
+def _of_paths(files: DataFrame, paths: DataFrame, n: int) -> DataFrame:
+    """The files of ``n`` paths, written once: extraction reads its input several times.
+
+    Contents of other files are not shuffled: hashes of up to ``MOST_HASHES`` paths go to
+    every task, and the exact join meets what they leave.
+    """
+    if n <= MOST_HASHES:
+        hashes = paths.select(F.xxhash64("path").alias("h")).distinct()
+        files = files.withColumn("h", F.xxhash64("path")).join(F.broadcast(hashes), "h", "left_semi").drop("h")
+    return cut(files.join(paths, "path", "left_semi"))
+
+
 def _list_files(files: DataFrame, store: str, version: int) -> None:
     files.select("path", "size", "mtime_ns", "hash", "file_type", "words", "delta", "failed").write.mode("overwrite").parquet(f"{store}/files/v={version}")
 

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.operators import incremental, ledger, semantic
@@ -64,6 +65,23 @@ def _stored_files(spark, contents):
     return files.withColumn("hash", F.sha2("content", 256)).withColumn("file_type", F.lit("code")).withColumn("words", F.lit(0).cast("long"))
 
 
+@pytest.mark.parametrize("hashes", [0, 10])
+def test_contents_are_joined_once_before_extraction(spark, tmp_path, monkeypatch, hashes):
+    monkeypatch.setattr(fragment_store, "MOST_HASHES", hashes)
+    plans, asked = [], []
+
+    def extract(files):
+        plans.append(files._jdf.queryExecution().optimizedPlan().toString())
+        asked.append({r.path for r in files.select("path").collect()})
+        own = files.select(F.col("path").alias("fragment_key"), "content")
+        return {**dict.fromkeys(fragment_store.RECORDS, own), "errors": files.where("content = 'bad'").select("path")}
+
+    store = str(tmp_path / "store")
+    assert fragment_store.refresh(spark, _stored_files(spark, {"a": "1", "b": "2"}), store, extract) == (0, 0, 2)
+    assert fragment_store.refresh(spark, _stored_files(spark, {"a": "1", "b": "3", "c": "4"}), store, extract) == (1, 1, 2)
+    assert asked == [{"a", "b"}, {"b", "c"}] and not any("Join" in plan for plan in plans)
+
+
 def test_fragment_store(spark, tmp_path):
     store, asked = str(tmp_path / "store"), []
 
