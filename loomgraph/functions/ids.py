@@ -57,3 +57,8 @@ def fragment_id(name: Column | str, content: Column | str) -> Column:
 
 def module_stem(name: Column | str) -> Column:
     return F.substring_index(F.btrim(F.coalesce(text.as_col(name), F.lit("")), F.lit(".")), ".", -1)
+
+
+def same_id(a: str, b: str) -> Column:
+    """Two id columns are equal: for joins, whose rows are then sorted by a number first, as ids begin alike and sort slowly."""
+    return (F.xxhash64(a) == F.xxhash64(b)) & (F.col(a) == F.col(b))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed, paths
+from loomgraph.functions.ids import same_id
 from loomgraph.operators.assemble import degrees, symmetric
 from loomgraph.schema import CONFIDENCES
 from loomgraph.session import cut, reused
@@ -93,7 +94,7 @@ def surprising_connections(nodes: DataFrame, edges: DataFrame, membership: DataF
 def cross_file_connections(nodes: DataFrame, edges: DataFrame, membership: DataFrame | None, top_n: int | None = 5) -> DataFrame:
     ends = with_degree(nodes, edges).select("id", "label", "source_file", "degree")
     if membership is not None:
-        ends = ends.join(membership, "id", "left")
+        ends = ends.join(membership.select(F.col("id").alias("member"), "cid"), same_id("id", "member"), "left").drop("member")
     else:
         ends = ends.withColumn("cid", F.lit(None).cast("long"))
     u = ends.select(*[F.col(c).alias(f"u_{c}") for c in ends.columns])
@@ -103,8 +104,8 @@ def cross_file_connections(nodes: DataFrame, edges: DataFrame, membership: DataF
     confidence = F.coalesce("confidence", F.lit("EXTRACTED"))
     rows = (
         edges.select("source", "target", "relation", confidence.alias("confidence"))
-        .join(u, F.col("source") == F.col("u_id"))
-        .join(v, F.col("target") == F.col("v_id"))
+        .join(u, same_id("source", "u_id"))
+        .join(v, same_id("target", "v_id"))
         .where(crossing & ~cross_language("u_source_file", "v_source_file") & ~together)
         .withColumn("rank", confidence_rank(F.col("confidence")))
     )
