@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomgraph.functions import text
+from loomgraph.functions.ids import same_id
 
 
 def ordinal():
@@ -67,8 +68,8 @@ def merge_nodes(records: DataFrame) -> DataFrame:
 
 
 def drop_dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    ids = nodes.select("id")
-    return edges.join(ids, edges.source == ids.id, "left_semi").join(ids, edges.target == ids.id, "left_semi")
+    ids = nodes.select(F.col("id").alias("left_id"))
+    return edges.join(ids, same_id("source", "left_id"), "left_semi").join(ids, same_id("target", "left_id"), "left_semi")
 
 
 def pair_keys(directed: bool = False):
@@ -96,7 +97,8 @@ def merge_edges(records: DataFrame, directed: bool = False) -> DataFrame:
     k1, k2 = pair_keys(directed)
     r = records.withColumns({"k1": k1, "k2": k2, "ord": ordinal()})
     body = F.struct(*_EDGE_VALUES, "confidence_score")
-    first = r.groupBy("k1", "k2").agg(
+    # Groups are sorted, as they hold structs: by a number first, since ids begin alike.
+    first = r.groupBy(F.xxhash64("k1", "k2").alias("h"), "k1", "k2").agg(
         F.min_by(body, "ord").alias("e"),
         F.min("ord").alias("ord"),
         (F.min("relation") != F.max("relation")).alias("mixed"),
