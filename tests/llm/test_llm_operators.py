@@ -193,6 +193,45 @@ def test_groups_just_below_the_threshold(spark, monkeypatch, bounds):
     assert got == want
 
 
+def test_shared_members_over_partitions_and_batches(spark, monkeypatch):
+    """Buckets that span batches and partitions, small and large ones, and repeated rows."""
+    monkeypatch.setattr(linking, "CROWD", 6)
+    rng = random.Random(5)
+    rows = [(b, i) for b in range(-40, 40) for i in range(rng.choice([1, 1, 2, 3, 9, 30]))]
+    members = spark.createDataFrame(rows + rows[::3], "bucket long, id long")
+    size = Counter(b for b, _ in rows)
+    for batch in (1, 4, 7, 10_000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = linking.shared_members(members).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        pairs = [(r["bucket"], r["id"]) for r in got]
+        assert len(set(pairs)) == len(pairs)
+        assert {x for x in rows if size[x[0]] > 1} <= set(pairs)
+        assert all(r["crowded"] for r in got if size[r["bucket"]] in (1, 9, 30))
+        assert len({b for b, _ in pairs if size[b] == 1}) <= 16
+
+
+def test_sketches_lose_no_pair_and_leave_most_others_out(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    # Each row has 200 elements; buckets hold rows that share 190, 180, 178 (0.8), 150 or 100 of them.
+    sets, want, bucket = [], [], []
+    for k, common in enumerate([190, 180, 178, 150, 100] * 40):
+        for _ in range(2):
+            own = rng.integers(0, 2**63, 200 - common).astype(np.uint64)
+            sets.append(np.concatenate((base[:common], own, own)))  # some of them twice
+            bucket.append(k)
+            want.append(common)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    sizes, words = linking.sketches(rows, np.concatenate(sets), len(sets))
+    assert (sizes == 200).all()
+    shared = spark.createDataFrame([(b, i, False) for i, b in enumerate(bucket)], "bucket long, id long, crowded boolean")
+    sketched = spark.createDataFrame([(i, *map(int, (sizes[i], *words[i]))) for i in range(len(sets))], "id long, " + ", ".join(f"{c} long" for c in linking.SKETCH))
+    kept = Counter(want[r["id"]] for r in linking.plausible(shared, sketched, 0.8).collect())
+    assert kept[190] == kept[180] == kept[178] == 80
+    assert kept[100] == 0 and kept[150] < 20
+
+
 @pytest.mark.parametrize("many", [3, 40, 60, 400])
 @pytest.mark.parametrize("sided", [False, True])
 def test_forest_joins_what_all_pairs_join(many, sided):
