@@ -27,8 +27,8 @@ from loomgraph.llm.tables import table
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
-#: Text is encoded word by word: this tokenizer drops white space.
-ENCODING = dict(end_id=1, id_bytes=2, words_apart=True)
+#: Text is encoded word by word: this tokenizer drops white space. The pattern is its own, for ASCII.
+ENCODING = dict(end_id=1, id_bytes=2, words_apart=True, pieces=r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 RULES = [
     url_filter.rule("allow", "org/"),

@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -86,13 +87,16 @@ class Encoding:
 
     ``words_apart`` says that the tokenizer drops blanks and line feeds and never
     joins what they part; the text is then encoded word by word through a memo,
-    which gives the same ids.
+    which gives the same ids. ``pieces`` is the tokenizer's pattern for the pieces of
+    lower-case ASCII text: such texts skip its normalizer and pre-tokenizer, and only
+    new pieces go to its model.
     """
 
     tokenizer: str
     end_id: int | None = 1
     id_bytes: int = 2
     words_apart: bool = False
+    pieces: str | None = None
 
     @property
     def dtype(self) -> str:
@@ -128,6 +132,10 @@ class _Memo(dict):
         if len(self) + len(new) > MEMO_WORDS:
             self.clear()
             new = [w for w in dict.fromkeys(words) if len(w) <= MEMO_CHARS]
+        if self.how.pieces:
+            pieces = _pieces(self.how)
+            self.update((w, pieces.pack(w)) for w in new if pieces.take(w))
+            new = [w for w in new if w not in self]
         if not new:
             return
         encoded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
@@ -141,6 +149,40 @@ class _Memo(dict):
         return self.pack(word)  # too long to keep
 
 
+class _Pieces(dict):
+    """Packed ids of pieces that the tokenizer's model takes as they are."""
+
+    def __init__(self, how: Encoding):
+        super().__init__()
+        tokenizer = _tokenizer(how.tokenizer)
+        self.code, self.model, self.cut = "H" if how.id_bytes == 2 else "I", tokenizer.model, re.compile(how.pieces).findall
+        self.added = [token.content for token in tokenizer.get_added_tokens_decoder().values()]
+
+    def take(self, text: str) -> bool:
+        """Whether all of the text is ASCII that only ``pieces`` divides: no control characters and no added tokens."""
+        return text.isascii() and text.replace("\n", " ").isprintable() and not any(a in text for a in self.added)
+
+    def pack(self, text: str) -> bytes:
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, self.cut(text.lower())))
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = [token.id for token in self.model.tokenize(piece)]
+        try:
+            packed = struct.pack(f"<{len(ids)}{self.code}", *ids)
+        except struct.error as wide:
+            raise ValueError("the vocabulary needs id_bytes=4") from wide
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = packed
+        return packed
+
+
+@functools.lru_cache(maxsize=2)
+def _pieces(how: Encoding) -> _Pieces:
+    return _Pieces(how)
+
+
 @functools.lru_cache(maxsize=2)
 def _memo(how: Encoding) -> _Memo:
     return _Memo(how)
@@ -149,7 +191,9 @@ def _memo(how: Encoding) -> _Memo:
 def encode(text: str | None, how: Encoding) -> bytes:
     """Packed ids of a whole text, with the end id."""
     memo, text = _memo(how), text or ""
-    if how.words_apart:
+    if how.pieces and _pieces(how).take(text):
+        body = _pieces(how).pack(text)
+    elif how.words_apart:
         words = text.replace("\n", " ").split(" ")
         memo.learn(words)
         body = b"".join(map(memo.__getitem__, words))

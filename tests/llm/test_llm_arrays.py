@@ -152,6 +152,25 @@ def test_word_memo_gives_the_ids_of_the_whole_text(text):
     assert token_records.encode(text, fast) == token_records.encode(text, slow)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.one_of(st.sampled_from(" \n\t'stremvld'S0 19.,!<|>-_"), st.characters(max_codepoint=130)), max_size=60), st.sampled_from(["", "<|endoftext|>", "it's <|startoftext|>s"]))
+def test_pieces_give_the_ids_of_the_whole_text(text, added):
+    from loomgraph.llm import queries
+
+    fast = queries.encoding()
+    slow = token_records.Encoding(fast.tokenizer)
+    for whole in (text + added, text[:9] + added + text[9:]):
+        assert token_records.encode(whole, fast) == token_records.encode(whole, slow)
+
+
+def test_ascii_texts_skip_the_normalizer(monkeypatch):
+    from loomgraph.llm import queries
+
+    how = queries.encoding()
+    monkeypatch.setattr(token_records._Memo, "learn", lambda *_: pytest.fail("encoded by the whole tokenizer"))
+    assert len(token_records.encode("Don't panic:\n42 words, 'Quoted'.", how)) > 20
+
+
 def test_frames():
     data = token_records.frame(b"abc")
     assert token_records.unframe(data) == b"abc"
