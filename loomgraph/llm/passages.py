@@ -9,7 +9,7 @@ e + 1 neighbouring diagonals.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,8 @@ _BITS = 20
 _ALIGNED = 2000
 #: Length of the grams that are counted in passages from so many characters on.
 _SHORT, _COUNTED = 4, 100
+#: Bits of such a gram that tell whether two are equal.
+_CELLS = 16
 
 
 @dataclass
@@ -37,6 +39,7 @@ class Index:
     place: np.ndarray
     bitmap: np.ndarray
     sizes: np.ndarray  # of the passages
+    short: dict[int, np.ndarray] = field(default_factory=dict)  # cells of the short grams of passages that were counted
 
     @staticmethod
     def build(
@@ -83,19 +86,31 @@ class Matches:
     edits: np.ndarray
 
 
+def _cells(codes: np.ndarray) -> np.ndarray:
+    return (arrays.grams(codes, _SHORT) >> np.uint64(64 - _CELLS)).astype(np.int32)
+
+
 def _plausible(index: Index, codes: np.ndarray, passage: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Whether long passages share as many short grams with their band's text as the
-    q-gram lemma asks for; short ones are aligned faster than counted."""
+    q-gram lemma asks for; short ones are aligned faster than counted.
+
+    Grams are known by some bits of their hash: at worst too many seem shared.
+    """
     keep = np.ones(len(passage), bool)
     long = np.flatnonzero(index.sizes[passage] >= _COUNTED)
     if len(long):
-        text = arrays.grams(codes, _SHORT)
-        own = {k: arrays.grams(index.passages[k], _SHORT) for k in np.unique(passage[long]).tolist()}
-        for i in long.tolist():
-            k = passage[i]
-            end = int(first[i] + index.sizes[k] + 2 * (index.budgets[k] + 1))
-            near = text[max(0, int(first[i])) : max(0, end)]
-            keep[i] = np.isin(own[k], near).sum() >= index.sizes[k] - _SHORT + 1 - _SHORT * index.budgets[k]
+        text, near = _cells(codes), np.zeros(1 << _CELLS, bool)
+        begin = np.maximum(first, 0)
+        end = np.maximum(first + index.sizes[passage] + 2 * (index.budgets[passage] + 1), 0)
+        for k in np.unique(passage[long]).tolist():
+            if k not in index.short:
+                index.short[k] = _cells(index.passages[k])
+            own, needed = index.short[k], index.sizes[k] - _SHORT + 1 - _SHORT * index.budgets[k]
+            for i in long[passage[long] == k].tolist():
+                here = text[begin[i] : end[i]]
+                near[here] = True
+                keep[i] = np.count_nonzero(near[own]) >= needed
+                near[here] = False
     return keep
 
 

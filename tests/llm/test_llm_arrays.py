@@ -1,5 +1,6 @@
 """Numpy helpers against plain Python."""
 
+import itertools
 import random
 
 import numpy as np
@@ -8,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from loomgraph.llm import arrays, chat, licenses, line_dedup, near_dedup, token_records
+from loomgraph.llm import arrays, chat, licenses, line_dedup, near_dedup, passages, token_records
 
 texts = st.lists(st.one_of(st.none(), st.text(st.sampled_from("ab Ä\n\tß.é|<\\ 日"), max_size=40)), min_size=0, max_size=6)
 
@@ -179,3 +180,23 @@ def test_frames():
             token_records.unframe(data[:k] + bytes([data[k] ^ 1]) + data[k + 1 :])
     with pytest.raises(ValueError):
         token_records.unframe(data[:5])
+
+
+def test_plausible_candidates_are_counted_as_by_the_lemma():
+    rng = np.random.default_rng(6)
+    index, _ = licenses.build_index(licenses.TEMPLATES)
+    long = np.flatnonzero(index.sizes >= 100)
+    passage = np.sort(rng.choice(long, 60))
+    parts = [np.where(rng.random(len(index.passages[k])) < rate, 120, index.passages[k]) for k, rate in zip(passage, itertools.cycle([0.0, 0.1, 0.2, 0.5]))]
+    codes = np.concatenate(parts).astype(np.uint32)
+    first = np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1])) - index.budgets[passage]
+    text, want = arrays.grams(codes, 4), []
+    for k, start in zip(passage, first):
+        near = text[max(0, start) : start + index.sizes[k] + 2 * (index.budgets[k] + 1)]
+        want.append(np.isin(arrays.grams(index.passages[k], 4), near).sum() >= index.sizes[k] - 3 - 4 * index.budgets[k])
+    got = passages._plausible(index, codes, passage, first)
+    assert 0 < sum(want) < 60 and got[want].all() and got.sum() <= sum(want) + 2
+    # Each passage is cut into grams once, for whatever number of texts.
+    held = {k: index.short[k] for k in passage.tolist()}
+    passages._plausible(index, codes, passage, first)
+    assert all(index.short[k] is v for k, v in held.items())
