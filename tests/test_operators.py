@@ -331,6 +331,37 @@ def test_sweeps_are_few_and_blocks_of_any_size_settle(spark, monkeypatch, block_
     assert len(sweeps) <= 3 or block_rows < 2 * len(pairs)
 
 
+def test_a_graph_of_one_task_takes_one_sweep(spark, monkeypatch):
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(90), 2))) for _ in range(200)} | {(90, 91)}
+    edges = edges_of(spark, [(f"n{a:02d}", f"n{b:02d}") for a, b in sorted(pairs)])
+    sweeps, settle = [], leiden.settle
+    monkeypatch.setattr(leiden, "settle", lambda *a: sweeps.append(settle(*a)) or sweeps[-1])
+    adjacency = [frozenset(p) for p in pairs]
+    found = []
+    for links in (leiden.TASK_LINKS, 0, 120):  # in one task, never in one, and from a later level on
+        monkeypatch.setattr(leiden, "TASK_LINKS", links)
+        sweeps.clear()
+        found.append(community.partition(edges).cache())
+        if links > 1000:
+            assert [moved for _, moved, _ in sweeps] == [False]  # only the proof that nothing is left to move
+        else:
+            assert len(sweeps) > 1
+        row = community.quality(edges, found[-1]).first()
+        assert (row.nodes, row.movable, row.torn) == (len({x for p in adjacency for x in p}), 0, 0) and row.modularity > 0.35
+    again = community.partition(edges.repartition(5))
+    assert again.exceptAll(found[-1]).isEmpty()
+
+
+def test_clusters_without_hubs_take_one_sweep(spark, monkeypatch):
+    nodes, edges = two_cycles(spark)
+    sweeps, settle = [], leiden.settle
+    monkeypatch.setattr(leiden, "settle", lambda *a: sweeps.append(settle(*a)) or sweeps[-1])
+    found = community.cluster(nodes, edges, hub_percentile=75).collect()
+    assert sorted(r.id for r in found) == sorted(r.id for r in nodes.collect())
+    assert [moved for _, moved, _ in sweeps] == [False]
+
+
 def test_torn_community_is_seen(spark):
     edges = edges_of(spark, [("a", "b"), ("c", "d"), ("b", "x"), ("x", "c")])
     given = spark.createDataFrame([(n, "x" if n == "x" else "all") for n in "abcdx"], "id string, community string")
