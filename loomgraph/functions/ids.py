@@ -51,6 +51,13 @@ def concept_id(name: Column | str, plain: bool = False) -> Column:
     return make_id(F.lit("concept"), name, plain=plain)
 
 
+def concept_name(name: str | None) -> str:
+    """``concept_id`` of a Python string."""
+    if name and name.isascii() and name.isalnum():
+        return f"concept_{name.lower()}"
+    return text.folded_id(f"concept_{name.strip('_.')}" if name else "concept")
+
+
 def fragment_id(name: Column | str, content: Column | str) -> Column:
     return F.concat_ws(":", text.as_col(name), F.left(F.sha2(text.as_col(content), 256), F.lit(16)))
 

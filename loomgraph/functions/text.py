@@ -28,9 +28,14 @@ def _fold_nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x).casefold(), na_action="ignore")
 
 
+def folded_id(x: str) -> str:
+    """``id_form`` of a Python string."""
+    return re.sub(r"(?:[^\w]|_)+", "_", unicodedata.normalize("NFKC", x)).strip("_").casefold()
+
+
 @F.pandas_udf(T.StringType())
 def _fold_id(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: re.sub(r"(?:[^\w]|_)+", "_", unicodedata.normalize("NFKC", x)).strip("_").casefold(), na_action="ignore")
+    return s.map(folded_id, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())

@@ -7,10 +7,13 @@ filtering - is a Spark plan.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,15 +53,26 @@ REPLY = T.StructType(
 )
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once for a row, however often ``then`` names it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def json_object(raw: Column) -> Column:
     """The JSON object in a reply: fences stripped, whole text first, else the outermost braces."""
-    body = F.regexp_replace(F.btrim(raw), r"^```(?:json)?\s*", "")
-    # The pattern is tried at every white space of a reply, so only where a fence is at the end (a line break may follow).
-    body = F.when(F.contains(F.right(body, F.lit(5)), F.lit("```")), F.regexp_replace(body, r"\s*```$", "")).otherwise(body)
-    outer = F.regexp_extract(body, r"(?s)\{.*\}", 0)
-    whole_ok = F.try_parse_json(body).isNotNull()
-    pick = F.when(whole_ok, body).otherwise(F.when(F.try_parse_json(F.nullif(outer, F.lit(""))).isNotNull(), outer))
-    return F.when(F.btrim(pick).startswith("{"), pick)
+
+    def unfenced(body: Column) -> Column:
+        body = F.when(F.startswith(body, F.lit("```")), F.regexp_replace(body, r"^```(?:json)?\s*", "")).otherwise(body)
+        # The pattern is tried at every white space of a reply, so only where a fence is at the end (a line break may follow).
+        return once(body, lambda b: F.when(F.contains(F.right(b, F.lit(5)), F.lit("```")), F.regexp_replace(b, r"\s*```$", "")).otherwise(b))
+
+    def valid(text_: Column) -> Column:
+        return F.when(F.try_parse_json(F.nullif(text_, F.lit(""))).isNotNull(), text_)
+
+    def picked(body: Column) -> Column:
+        return F.coalesce(valid(body), once(F.regexp_extract(body, r"(?s)\{.*\}", 0), valid))
+
+    return once(once(once(F.btrim(raw), unfenced), picked), lambda pick: F.when(F.ltrim(pick).startswith("{"), pick))
 
 
 def action_object(raw: Column) -> Column:
@@ -131,6 +145,104 @@ def errors(replies: DataFrame) -> DataFrame:
     return _parsed(replies)[1]
 
 
+#: Rows of a result that leave a task together.
+HANDED_ON = 50_000
+
+
+def _flat(batch: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(values, row, place) of a column of lists."""
+    lists = batch.column(column)
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(sizes) - sizes
+    return lists.flatten(), np.repeat(np.arange(len(lists)), sizes), np.arange(sizes.sum()) - np.repeat(starts, sizes)
+
+
+def _trimmed(values: pa.Array) -> pa.Array:
+    return pc.utf8_trim(pc.fill_null(values, ""), " ")
+
+
+class _Concepts:
+    """The concepts of a batch of documents: each once for a document, where it is named first.
+
+    ``others`` are further names, whose numbers are ``codes``. ``key`` of a concept is unique in the batch.
+    """
+
+    def __init__(self, batch: pa.RecordBatch, *others: str):
+        names, row, self.place = _flat(batch, "ids")
+        self.labels = _trimmed(batch.column("labels").flatten())
+        named = pc.not_equal(self.labels, "").to_numpy(zero_copy_only=False)
+        names = pc.if_else(pc.equal(pc.fill_null(names, ""), ""), self.labels, names)
+        raw = pa.concat_arrays([names, *(batch.column(c).flatten() for c in others)]).dictionary_encode(null_encoding="encode")
+        number: dict[str, int] = {}
+        code = np.array([number.setdefault(ids.concept_name(n), len(number)) for n in raw.dictionary.to_pylist()], np.int64)
+        code = code[raw.indices.to_numpy(zero_copy_only=False)]
+        self.ids, self.row = pa.array(list(number), pa.string()), row
+        ends = np.cumsum([len(names), *(len(batch.column(c).flatten()) for c in others)])
+        self.code, *self.codes = np.split(code, ends[:-1])
+        at = np.flatnonzero(named)
+        self.key, first = np.unique(self._key(row[at], self.code[at]), return_index=True)
+        self.first = np.sort(at[first])
+
+    def _key(self, row: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return row * len(self.ids) + code
+
+    def known(self, row: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """Whether the document of ``row`` has the concept."""
+        return np.isin(self._key(row, code), self.key)
+
+
+def _handed_on(rows: int, columns: dict[str, tuple[pa.Array, np.ndarray] | pa.Array]) -> Iterator[pa.RecordBatch]:
+    """Columns given as values, or as (values, which of them), in batches of bounded size."""
+    for low in range(0, rows, HANDED_ON):
+        part = slice(low, min(rows, low + HANDED_ON))
+        taken = [c[0].take(pa.array(c[1][part])) if isinstance(c, tuple) else c[part] for c in columns.values()]
+        yield pa.record_batch(taken, names=list(columns))
+
+
+def _concept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = _Concepts(batch)
+        at = found.first
+        yield from _handed_on(len(at), {
+            "path": (batch.column("path"), found.row[at]), "id": (found.ids, found.code[at]), "label": (found.labels, at),
+            "summary": (batch.column("summaries").flatten(), at), "at": pa.array(found.place[at]),
+        })
+
+
+def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Claimed edges between concepts of a document, then those that contain its concepts (without a relation)."""
+    for batch in batches:
+        found = _Concepts(batch, "sources", "targets")
+        relations, row, place = _flat(batch, "relations")
+        source, target = found.codes
+        path = batch.column("path")
+        good = (source != target) & path.is_valid().to_numpy(zero_copy_only=False)[row]
+        good &= found.known(row, source) & found.known(row, target)
+        at = np.flatnonzero(good)
+        yield from _handed_on(len(at), {
+            "path": (path, row[at]), "source": (found.ids, source[at]), "target": (found.ids, target[at]),
+            "relation": (pc.fill_null(relations, ""), at), "score": (batch.column("scores").flatten(), at), "pos": pa.array(place[at]),
+        })
+        at, claims = found.first, np.bincount(row, minlength=batch.num_rows)
+        none = pa.nulls(len(at), pa.string())
+        yield from _handed_on(len(at), {
+            "path": (path, found.row[at]), "source": (batch.column("file"), found.row[at]), "target": (found.ids, found.code[at]),
+            "relation": none, "score": none, "pos": pa.array(found.place[at] + claims[found.row[at]]),
+        })
+
+
+def _link_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = _Concepts(batch, "linked")
+        names, row, place = _flat(batch, "code_names")
+        names, path = _trimmed(names), batch.column("path")
+        good = pc.not_equal(names, "").to_numpy(zero_copy_only=False) & path.is_valid().to_numpy(zero_copy_only=False)[row]
+        at = np.flatnonzero(good & found.known(row, found.codes[0]))
+        yield from _handed_on(len(at), {
+            "concept_id": (found.ids, found.codes[0][at]), "code_name": (names, at), "fragment_key": (path, row[at]), "pos": pa.array(place[at]),
+        })
+
+
 def fragments(replies: DataFrame) -> dict[str, DataFrame]:
     """nodes, edges, links, errors records of model replies ``(path, part, reply)``.
 
@@ -139,69 +251,44 @@ def fragments(replies: DataFrame) -> dict[str, DataFrame]:
     use any concept of the document, and there is one anchor. Replies without a column
     ``part`` are whole documents.
     Unnamed concepts, edges that leave the reply's concepts and self-edges are dropped.
+
+    A document is one row, whose lists a task takes apart; no record is shuffled.
     """
     parsed, bad = _parsed(replies)
     r = parsed.where("ok").select("path", "part", "r")
-    many = lambda c: F.greatest(F.size(c), F.lit(0)).cast("long")
     if r.groupBy("path").count().where("count > 1").isEmpty():
-        start = F.lit(0).cast("long")
-        r = r.select("path", "r", start.alias("n0"), start.alias("e0"), start.alias("l0"), many("r.edges").alias("n_edges"))
+        r = r.select("path", "r")
     else:
         # Places count on from part to part; a document has few parts, and replies are short.
-        own_parts = Window.partitionBy("path")
-        earlier = own_parts.orderBy("part", "r").rowsBetween(Window.unboundedPreceding, -1)
-        before = lambda c: F.coalesce(F.sum(many(c)).over(earlier), F.lit(0))
-        r = r.select(
-            "path", "r", before("r.nodes").alias("n0"), before("r.edges").alias("e0"), before("r.code_links").alias("l0"),
-            F.sum(many("r.edges")).over(own_parts).alias("n_edges"),
-        )
+        parts = r.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part", "r"))).alias("parts"))
+        whole = lambda f: F.flatten(F.transform("parts", lambda p: F.coalesce(p["r"][f.name], F.array().cast(f.dataType)))).alias(f.name)
+        r = parts.select("path", F.struct(*map(whole, REPLY)).alias("r"))
     none = F.lit(None).cast("string")
     own = [F.col("path").alias("source_file")]
-    concepts = (
-        r.select("path", "n_edges", "n0", F.posexplode("r.nodes").alias("at", "n"))
-        .withColumn("at", F.col("n0") + F.col("at"))
-        .withColumn("label", F.btrim(F.coalesce("n.label", F.lit(""))))
-        .where(F.col("label") != "")
-        .withColumn("id", ids.concept_id(F.coalesce(F.nullif("n.id", F.lit("")), F.col("label"))))
-        .groupBy("path", "id")
-        .agg(F.min_by(F.struct("label", F.col("n.summary").alias("summary")), "at").alias("c"), F.min("at").alias("at"), F.max("n_edges").alias("n_edges"))
-    )
-    concepts = cut(concepts)
+    concept = [F.col("r.nodes.id").alias("ids"), F.col("r.nodes.label").alias("labels")]
     file_id = ids.document_id("path")
-    anchors = r.select("path").distinct().select(file_id.alias("id"), paths.basename("path").alias("label"), F.lit("document").alias("file_type"), *own,
+    anchors = r.select(file_id.alias("id"), paths.basename("path").alias("label"), F.lit("document").alias("file_type"), *own,
                        F.lit("L1").alias("source_location"), none.alias("kind"), none.alias("summary"),
                        F.col("path").alias("fragment_key"), F.lit(0).cast("long").alias("pos"))
+    concepts = r.select("path", *concept, F.col("r.nodes.summary").alias("summaries"))
+    concepts = concepts.mapInArrow(_concept_rows, "path string, id string, label string, summary string, at long")
     nodes = anchors.unionByName(
-        concepts.select("id", "c.label", F.lit("concept").alias("file_type"), *own, none.alias("source_location"), none.alias("kind"),
-                        F.nullif(F.btrim(F.coalesce("c.summary", F.lit(""))), F.lit("")).alias("summary"),
-                        F.col("path").alias("fragment_key"), (F.col("at") + 1).cast("long").alias("pos"))
-    )
-    known = concepts.select("path", "id")
-    relation = F.btrim(F.coalesce(F.nullif("e.relation", F.lit("")), F.lit("references")))
-    score = text.clamp_score("e.confidence_score")
-    claimed = (
-        r.select("path", "e0", F.posexplode("r.edges").alias("at", "e"))
-        .withColumn("at", F.col("e0") + F.col("at"))
-        .select("path", "at", ids.concept_id("e.source").alias("source"), ids.concept_id("e.target").alias("target"),
-                F.when(relation.isin(fixed.SEMANTIC_RELATIONS), relation).otherwise("references").alias("relation"), score.alias("score"))
-        .where(F.col("source") != F.col("target"))
-        .join(known.withColumnRenamed("id", "source"), ["path", "source"], "left_semi")
-        .join(known.withColumnRenamed("id", "target"), ["path", "target"], "left_semi")
-    )
-    edges = claimed.select(
-        "source", "target", "relation", F.lit("INFERRED").alias("confidence"), F.bround("score", 2).alias("confidence_score"), *own,
-        none.alias("source_location"), F.col("score").alias("weight"), F.col("path").alias("fragment_key"), F.col("at").cast("long").alias("pos"),
-    ).unionByName(
-        concepts.select(file_id.alias("source"), F.col("id").alias("target"), F.lit("contains").alias("relation"), F.lit("EXTRACTED").alias("confidence"),
-                        F.lit(None).cast("double").alias("confidence_score"), *own, none.alias("source_location"), F.lit(1.0).alias("weight"),
-                        F.col("path").alias("fragment_key"), (F.col("at") + F.col("n_edges")).cast("long").alias("pos"))
-    )
-    links = (
-        r.select("path", "l0", F.posexplode("r.code_links").alias("at", "l"))
-        .withColumn("at", F.col("l0") + F.col("at"))
-        .select("path", "at", ids.concept_id("l.concept_id").alias("id"), F.btrim(F.coalesce("l.code_name", F.lit(""))).alias("code_name"))
-        .where(F.col("code_name") != "")
-        .join(known, ["path", "id"], "left_semi")
-        .select(F.col("id").alias("concept_id"), "code_name", F.col("path").alias("fragment_key"), F.col("at").cast("long").alias("pos"))
+        concepts.select("id", "label", F.lit("concept").alias("file_type"), *own, none.alias("source_location"), none.alias("kind"),
+                        F.nullif(F.btrim(F.coalesce("summary", F.lit(""))), F.lit("")).alias("summary"),
+                        F.col("path").alias("fragment_key"), (F.col("at") + 1).alias("pos"))
     )
+    edges = r.select(
+        "path", file_id.alias("file"), *concept, F.col("r.edges.source").alias("sources"), F.col("r.edges.target").alias("targets"),
+        F.col("r.edges.relation").alias("relations"), F.col("r.edges.confidence_score").alias("scores"),
+    ).mapInArrow(_edge_rows, "path string, source string, target string, relation string, score string, pos long")
+    claimed = F.col("relation").isNotNull()
+    relation = F.btrim("relation")
+    score = F.when(claimed, text.clamp_score("score"))
+    edges = edges.select(
+        "source", "target", F.when(~claimed, "contains").when(relation.isin(fixed.SEMANTIC_RELATIONS), relation).otherwise("references").alias("relation"),
+        F.when(claimed, "INFERRED").otherwise("EXTRACTED").alias("confidence"), F.bround(score, 2).alias("confidence_score"), *own,
+        none.alias("source_location"), F.coalesce(score, F.lit(1.0)).alias("weight"), F.col("path").alias("fragment_key"), "pos",
+    )
+    links = r.select("path", *concept, F.col("r.code_links.concept_id").alias("linked"), F.col("r.code_links.code_name").alias("code_names"))
+    links = links.mapInArrow(_link_rows, "concept_id string, code_name string, fragment_key string, pos long")
     return {"nodes": nodes, "edges": edges, "links": links, "errors": bad}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import fixed
@@ -363,27 +365,30 @@ def raw_read_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as replies: their words are concepts, neighbours are linked, some replies are broken."""
-    d = table(spark, sf_dir, "documents")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))
-    ws = spread(d).select("doc_id", "lang", words.alias("w")).where(F.size("w") >= 2)
-    at = F.sequence(F.lit(0), F.size("w") - 2)
-    nodes = F.transform("w", lambda w, i: F.struct(w.alias("id"), F.when(i % 7 == 3, "").otherwise(F.initcap(w)).alias("label"), F.concat(F.lit(" about "), w).alias("summary")))
-    edges = F.transform(
-        at,
-        lambda i: F.struct(
-            F.try_element_at("w", i + 1).alias("source"),
-            F.try_element_at("w", i + 2).alias("target"),
-            F.when(i % 3 == 0, "semantically_similar_to").when(i % 3 == 1, "mentions").otherwise("references").alias("relation"),
-            (F.length(F.try_element_at("w", i + 1)) / 16.0).alias("confidence_score"),
-        ),
-    )
-    links = F.transform("w", lambda w: F.struct(w.alias("concept_id"), F.concat(F.lit(" "), w, F.lit("()")).alias("code_name")))
-    body = F.to_json(F.struct(nodes.alias("nodes"), edges.alias("edges"), links.alias("code_links")))
-    reply = (
-        F.when(F.col("lang") == "de", F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-        .when(F.col("lang") == "fr", F.concat(F.lit("Here it is: "), body, F.lit(" done")))
-        .when(F.col("lang") == "es", F.left(body, F.length(body) - 3))
-        .otherwise(body)
+    # Two words at least, which the pattern tells without listing them. Words need no escapes: the JSON is put together as text.
+    d = table(spark, sf_dir, "documents").where(F.lower("text").rlike("(?s)[a-z]{4}[^a-z].*?[a-z]{4}"))
+    ws = spread(d).select("doc_id", "lang", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("w"))
+
+    def listed(name: str, items: Column, *parts: Callable[..., Column | str]) -> Column:
+        each = lambda x, i: F.concat(*(F.lit(p) if isinstance(p, str) else p(x, i) for p in parts))
+        return F.concat(F.lit(f'"{name}":['), F.array_join(F.transform(items, each), ","), F.lit("]"))
+
+    word = lambda w, _: w
+    label = lambda w, i: F.when(i % 7 == 3, "").otherwise(F.initcap(w))
+    nodes = listed("nodes", F.col("w"), '{"id":"', word, '","label":"', label, '","summary":" about ', word, '"}')
+    relation = lambda w, i: F.when(i % 3 == 0, "semantically_similar_to").when(i % 3 == 1, "mentions").otherwise("references")
+    score = lambda w, _: (F.length(w) / 16.0).cast("string")
+    following = lambda _, i: F.try_element_at("w", i + 2)
+    sources = F.slice("w", 1, F.size("w") - 1)
+    edges = listed("edges", sources, '{"source":"', word, '","target":"', following, '","relation":"', relation, '","confidence_score":', score, "}")
+    links = listed("code_links", F.col("w"), '{"concept_id":"', word, '","code_name":" ', word, '()"}')
+    body = F.concat(F.lit("{"), nodes, F.lit(","), edges, F.lit(","), links, F.lit("}"))
+    reply = semantic.once(
+        body,
+        lambda b: F.when(F.col("lang") == "de", F.concat(F.lit("```json\n"), b, F.lit("\n```")))
+        .when(F.col("lang") == "fr", F.concat(F.lit("Here it is: "), b, F.lit(" done")))
+        .when(F.col("lang") == "es", F.left(b, F.length(b) - 3))
+        .otherwise(b),
     )
     return ws.select(F.concat(F.lit("d"), "doc_id", F.lit(".md")).alias("path"), reply.alias("reply"), F.lit(None).cast("string").alias("error"))
 

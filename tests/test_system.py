@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.functions import fixed, ids
 from loomgraph.operators import incremental, ledger, semantic
 from loomgraph.schema import LEDGER
 from loomgraph.sources import files as file_source
@@ -260,6 +261,39 @@ def test_replies_are_written_as_lists_alone(spark, monkeypatch):
     assert "Window" not in nodes._jdf.queryExecution().toString()  # one reply a document needs no places from others
 
 
+def test_records_of_replies_are_not_shuffled(spark):
+    names = ["Straße", "É clair", "a_b", "A b", "x.y", "_", "", None, "ﬁx", "ÀB", "k9", "日本"]
+    body = {
+        "nodes": [{"id": n, "label": f" {n or 'L'} ", "summary": " "} for n in names] + [None, {"id": "k9", "label": "again"}, {"id": "mute", "label": " "}],
+        "edges": [{"source": a, "target": b, "relation": r, "confidence_score": c} for a, b, r, c in [
+            ("a_b", "x.y", " references ", 2), ("A b", "a_b", None, 0.5), ("k9", "日本", "calls", "no"), ("ÀB", "mute", "", 1), ("ﬁx", "fix", "", 1), ("k9", "ﬁx", "semantically_similar_to", None)]],
+        "code_links": [{"concept_id": "X-Y", "code_name": " f() "}, {"concept_id": "mute", "code_name": "g"}, {"concept_id": "k9", "code_name": "  "}, {"concept_id": "straSSe", "code_name": "h"}],
+    }
+    rows = [("a.md", json.dumps(body)), ("b.md", '{"nodes": null, "edges": [{"source": "k9", "target": "a"}]}'), (None, json.dumps(body))]
+    got = semantic.fragments(spark.createDataFrame(rows, "path string, reply string").withColumn("error", F.lit(None).cast("string")))
+    for kind in ("nodes", "edges", "links"):
+        assert "Exchange" not in got[kind]._jdf.queryExecution().executedPlan().toString(), kind
+    given = spark.createDataFrame([(i, n or (f"{n or 'L'}".strip())) for i, n in enumerate(names)], "i int, n string")
+    ids_ = {r.i: r.c for r in given.select("i", ids.concept_id("n").alias("c")).collect()}  # an empty id gives way to the label
+    first = {}
+    for i in range(len(names)):
+        first.setdefault(ids_[i], i)
+    nodes = got["nodes"].where("kind is null").collect()
+    for path in ("a.md", None):
+        own = {r.id: (r.label, r.pos) for r in nodes if r.source_file == path and r.file_type == "concept"}
+        assert own == {c: ((names[i] or "L").strip(), i + 1) for c, i in first.items()}
+    assert sorted(str(r.source_file) for r in nodes if r.file_type == "document") == ["None", "a.md", "b.md"]
+    edges = {(r.source, r.target, r.relation, r.weight, r.pos) for r in got["edges"].collect() if r.confidence == "INFERRED"}
+    assert edges == {
+        ("concept_a_b", "concept_x_y", "references", 1.0, 0), ("concept_k9", "concept_日本", "references", fixed.DEFAULT_EDGE_SCORE, 2),
+        ("concept_k9", "concept_fix", "semantically_similar_to", fixed.DEFAULT_EDGE_SCORE, 5),
+    }
+    holds = {(r.source_file, r.source, r.target, r.pos) for r in got["edges"].collect() if r.relation == "contains"}
+    assert {(t, p) for f, s, t, p in holds if (f, s) == ("a.md", "a_md")} == {(c, i + 6) for c, i in first.items()} and len(holds) == 2 * len(first)
+    assert {(r.concept_id, r.code_name, r.fragment_key, r.pos) for r in got["links"].collect()} == {
+        ("concept_x_y", "f()", "a.md", 0), ("concept_strasse", "h", "a.md", 3)}
+
+
 def test_fences_at_the_end_of_replies(spark):
     bodies = ['```json\n{"a": 1}\n```', '{"a": 1} \n ```\r\n', '{"a": 1}```', '{"a": "```"}', 'see {"a": 1} ``` there']
     got = spark.createDataFrame(list(enumerate(bodies)), "i int, raw string").select("i", semantic.json_object(F.col("raw")).alias("j"))
