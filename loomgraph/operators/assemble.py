@@ -90,47 +90,48 @@ def merge_edges(records: DataFrame, directed: bool = False) -> DataFrame:
     run headed by an EXTRACTED record, else the last run. A replaced edge leaves
     its score behind when the new one has none.
 
-    Pairs settled by their first record (it is EXTRACTED, or the relation never
-    changes) take one partial aggregation; only contested pairs are windowed.
+    A pair that its first record settles (it is EXTRACTED, or the relation never changes)
+    keeps that record. Records are shuffled and sorted once, by pair and order; everything
+    else is read off the sorted rows, so the disk holds no second copy of them.
     """
     k1, k2 = pair_keys(directed)
-    r = records.withColumns({"k1": k1, "k2": k2, "ord": ordinal()})
-    body = F.struct(*_EDGE_VALUES, "confidence_score")
-    # Groups are sorted, as they hold structs: by a number first, since ids begin alike.
-    first = r.groupBy(F.xxhash64("k1", "k2").alias("h"), "k1", "k2").agg(
-        F.min_by(body, "ord").alias("e"),
-        F.min("ord").alias("ord"),
-        (F.min("relation") != F.max("relation")).alias("mixed"),
-    )
-    contested = F.col("mixed") & (F.col("e.confidence") != "EXTRACTED")
-    settled = first.where(~F.coalesce(contested, F.lit(False))).select("k1", "k2", "e.*", "ord")
-    open_pairs = first.where(contested).select("k1", "k2")
-    w = Window.partitionBy("k1", "k2").orderBy("ord")
-    heads = (
-        r.join(open_pairs, ["k1", "k2"], "left_semi")
-        .withColumn("before", F.lag("relation").over(w))
-        .where(F.col("before").isNull() | (F.col("before") != F.col("relation")))
-    )
+    values = [c for c in _EDGE_VALUES if c not in ("source", "target")]
+    # The ends travel once, as the pair: as it stands (0), turned round (1), or with a null source (2) or target (3).
+    turned = F.when(F.col("source").isNull() & F.col("target").isNotNull(), 2).when(F.col("target").isNull() & F.col("source").isNotNull(), 3)
+    side = F.lit(0) if directed else F.coalesce(turned, F.when(F.col("source") != F.least("source", "target"), 1), F.lit(0))
+    r = records.select(k1, k2, side.cast("byte").alias("side"), *values, "confidence_score", "fragment_key", "pos").repartition("k1", "k2")
+    source = F.when(F.col("side") == 1, F.col("k2")).when(F.col("side") != 2, F.col("k1"))
+    target = F.when(F.col("side") == 1, F.col("k1")).when(F.col("side") != 3, F.col("k2"))
+    # Sorted by a number first, since ids begin alike.
+    r = r.withColumn("h", F.xxhash64("k1", "k2"))
+    pair = Window.partitionBy("h", "k1", "k2")
+    upto = pair.orderBy("fragment_key", "pos")
     frozen = F.col("confidence") == "EXTRACTED"
-    runs = heads.groupBy("k1", "k2").agg(
-        F.min(F.when(frozen, F.col("ord"))).alias("frozen_at"),
-        F.max("ord").alias("last_at"),
-        F.min("ord").alias("ord"),
+    mixed = F.min("relation").over(pair) != F.max("relation").over(pair)
+    seen = r.select(
+        "*",
+        F.lag("relation").over(upto).alias("before"),
+        F.row_number().over(upto).alias("nth"),
+        F.coalesce(mixed & (F.first("confidence").over(upto) != "EXTRACTED"), F.lit(False)).alias("contested"),
     )
-    final_at = F.coalesce("frozen_at", "last_at")
-    replay = heads.drop("ord").withColumn("at", ordinal()).join(runs, ["k1", "k2"])
+    head = F.col("before").isNull() | (F.col("before") != F.col("relation"))
+    frozen_at = F.min(F.when(head & frozen, ordinal())).over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    seen = seen.withColumn("frozen_at", frozen_at)
+    known = F.col("k1").isNotNull() & F.col("k2").isNotNull()
+    counts = known & head & (F.col("frozen_at").isNull() | (ordinal() <= F.col("frozen_at")))
     scored = F.col("confidence_score").isNotNull()
-    resolved = (
-        replay.where(F.col("at") <= final_at)
-        .groupBy("k1", "k2")
+    return (
+        seen.where(F.when(F.col("contested"), counts).otherwise(F.col("nth") == 1))
+        .groupBy("h", "k1", "k2")
         .agg(
-            F.max_by(F.struct(*_EDGE_VALUES), "at").alias("e"),
-            F.max_by(F.when(scored, F.col("confidence_score")), F.when(scored, F.col("at"))).alias("confidence_score"),
-            F.min("ord").alias("ord"),
+            F.max_by(F.struct("side", *values), ordinal()).alias("e"),
+            F.max_by(F.when(scored, F.col("confidence_score")), F.when(scored, ordinal())).alias("confidence_score"),
+            F.min(ordinal()).alias("ord"),
         )
         .select("k1", "k2", "e.*", "confidence_score", "ord")
+        .withColumns({"source": source, "target": target})
+        .select("k1", "k2", *_EDGE_VALUES, "confidence_score", "ord")
     )
-    return settled.unionByName(resolved)
 
 
 def attach_definitions(nodes: DataFrame, definitions: DataFrame) -> DataFrame:

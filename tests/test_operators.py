@@ -97,6 +97,21 @@ def test_edge_merge_equals_fold(spark):
     assert got == {k: (v["rel"], v["conf"], v.get("score")) for k, v in want.items()}
 
 
+def test_edge_records_are_shuffled_once(spark):
+    ends = [("b", "a", "x", "INFERRED", 1), ("b", "a", "x", "EXTRACTED", 2), ("a", "b", "y", "INFERRED", 3), ("c", "d", "x", "EXTRACTED", 4), ("d", "c", "y", "EXTRACTED", 5),
+            (None, "n", "x", "INFERRED", 6), ("n", None, "x", "INFERRED", 7), (None, "m", "x", "INFERRED", 8), ("f", "f", "x", "AMBIGUOUS", 9)]
+    records = spark.createDataFrame([edge(s, t, f"f{i}", i, relation, confidence, None) for s, t, relation, confidence, i in ends], EDGE_RECORD)
+    for directed in (False, True):
+        merged = assemble.merge_edges(records, directed)
+        assert merged._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # before the plan adapts, no reuse hides one
+        got = {(r.source, r.target, r.relation, r.ord.pos) for r in merged.collect()}
+        alone = {("f", "f", "x", 9), (None, "m", "x", 8)}
+        if directed:
+            assert got == alone | {("b", "a", "x", 1), ("a", "b", "y", 3), ("c", "d", "x", 4), ("d", "c", "y", 5), (None, "n", "x", 6), ("n", None, "x", 7)}
+        else:
+            assert got == alone | {("a", "b", "y", 1), ("c", "d", "x", 4), (None, "n", "x", 6)}
+
+
 def test_cross_file_call(spark):
     nodes = nodes_of(spark, [("a_py", "a.py", "code", "a.py", "L1"), ("auth", "auth()", "code", "a.py", "L2"), ("b_py", "b.py", "code", "b.py", "L1"),
                              ("dup1", "dup()", "code", "a.py"), ("dup2", "Dup", "code", "b.py"), ("doc", "auth", "document", "c.md")])
