@@ -232,6 +232,49 @@ def test_sketches_lose_no_pair_and_leave_most_others_out(spark):
     assert kept[100] == 0 and kept[150] < 20
 
 
+def test_wide_sketches_tell_long_sets_apart(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 2**64, 1500, np.uint64)
+    sets, want = [], []
+    for common in [1450, 1400, 1334, 1200, 1100] * 20:  # of 1,500: 1,334 are the threshold, 1,200 a similarity of 0.67
+        for _ in range(2):
+            sets.append(np.concatenate((base[:common], rng.integers(0, 2**64, 1500 - common, np.uint64))))
+            want.append(common)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    shared = spark.createDataFrame([(i // 2, i, False) for i in range(len(sets))], "bucket long, id long, crowded boolean")
+    left = {}
+    for words, names in ((linking.WORDS, linking.SKETCH), (linking.WIDE, linking.WIDE_SKETCH)):
+        sizes, cells = linking.sketches(rows, np.concatenate(sets), len(sets), words)
+        assert (sizes == 1500).all()
+        sketched = spark.createDataFrame([(i, *map(int, (sizes[i], *cells[i]))) for i in range(len(sets))], "id long, " + ", ".join(f"{c} long" for c in names))
+        left[words] = Counter(want[r["id"]] for r in linking.plausible(shared, sketched, 0.8).collect())
+        assert left[words][1450] == left[words][1400] == left[words][1334] == 40
+    assert left[linking.WORDS][1200] == left[linking.WORDS][1100] == 40  # 256 cells say nothing here
+    assert left[linking.WIDE][1100] == 0 and left[linking.WIDE][1200] < 8
+
+
+def test_unlike_long_lines_do_not_travel_with_their_texts(spark, monkeypatch):
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(400)]
+    rows = []
+    for i in range(30):
+        own = list(words[:120])
+        for at in rng.sample(range(120), 16):  # two lines share about 0.6 of their shingles
+            own[at] = rng.choice(words[120:])
+        rows.append((i, " ".join(own), "a"))
+    rows.append((30, rows[0][1].replace("a", "b", 1), "a"))
+    asked, alike = [], line_dedup.link_buckets
+
+    def linked(members, *rest):
+        asked.append({r["id"] for r in members.collect()})
+        return alike(members, *rest)
+
+    monkeypatch.setattr(line_dedup, "link_buckets", linked)
+    gone = line_dedup.drops(frame(spark, rows), band_slots=1).collect()
+    assert [(r["doc_id"], r["dropped"]) for r in gone] == [(30, [0])]
+    assert len(asked[0]) < 10  # but for those of the first and the last bucket, only the two that are alike
+
+
 @pytest.mark.parametrize("many", [3, 40, 60, 400])
 @pytest.mark.parametrize("sided", [False, True])
 def test_forest_joins_what_all_pairs_join(many, sided):
