@@ -253,6 +253,22 @@ def test_wide_sketches_tell_long_sets_apart(spark):
     assert left[linking.WIDE][1100] == 0 and left[linking.WIDE][1200] < 8
 
 
+def test_crowds_of_one_task_are_searched_too(spark, monkeypatch):
+    monkeypatch.setattr(linking, "MEMBERS", 400)
+    rng = np.random.default_rng(6)
+    sets = [rng.integers(0, 2**64, 300, np.uint64) for _ in range(320)]
+    sets.append(np.append(sets[7][:290], rng.integers(0, 2**64, 10, np.uint64)))
+    rows = np.repeat(np.arange(len(sets)), 300)
+    sizes, cells = linking.sketches(rows, np.concatenate(sets), len(sets), linking.WIDE)
+    sketched = spark.createDataFrame([(i, *map(int, (sizes[i], *cells[i]))) for i in range(len(sets))], "id long, " + ", ".join(f"{c} long" for c in linking.WIDE_SKETCH))
+    shared = [(1, i, True) for i in range(len(sets))] + [(2, i, True) for i in range(401)] + [(3, 0, True), (3, 1, True), (4, 7, False), (4, 320, False)]
+    shared = spark.createDataFrame(shared, "bucket long, id long, crowded boolean")
+    left = linking.plausible(linking.less_crowded(shared), sketched, 0.8).collect()
+    assert sorted(r["id"] for r in left if r["bucket"] == 1) == [7, 320]
+    assert len([r for r in left if r["bucket"] == 2 and r["crowded"]]) == 401  # too many for one task: all stay
+    assert sorted((r["bucket"], r["id"]) for r in left if r["bucket"] > 2) == [(4, 7), (4, 320)]
+
+
 def test_unlike_long_lines_do_not_travel_with_their_texts(spark, monkeypatch):
     rng = random.Random(13)
     words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(400)]
